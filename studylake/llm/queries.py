@@ -5,18 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm import line_dedup, mixing, url_filter
-from studylake.llm.common import table, word_count
+from studylake.llm import ann_graph, knn_join, langid, line_dedup, mixing, packing, quality, url_filter
+from studylake.llm.common import held_out, keep, table, word_count
 
 #: The rules that op8 is to apply: host, beginning of the path, verdict.
 SITES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = langid.fit_dictionaries(docs.where(~held_out(F.col("doc_id"))))
+    found = langid.identify(docs, known)
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", word_count(F.col("text")))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.voronoi_join(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = table(spark, sf_dir, "embeddings")
+    index = keep(ann_graph.build_index(data), "ann-index")
+    return ann_graph.search(index, data.where(F.col("vec_id") % 20 == 0))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -27,7 +48,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op3_mix": op3_mix, "op7_line_dedup": op7_line_dedup, "op8_url_filter": op8_url_filter}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    trees = quality.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    scored = quality.score(docs, trees)
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES = {
+    "op2_language": op2_language, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_knn": op5_knn, "op6_ann": op6_ann,
+    "op7_line_dedup": op7_line_dedup, "op8_url_filter": op8_url_filter, "op10_quality": op10_quality,
+}
 
 ORACLE_SQL = {
     "op7_line_dedup": r"""
