@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm import ann_graph, knn_join, langid, line_dedup, mixing, packing, quality, url_filter
+from studylake.llm import ann_graph, knn_join, langid, line_dedup, mixing, ngram_join, packing, quality, url_filter
 from studylake.llm.common import held_out, keep, table, word_count
 
 #: The rules that op8 is to apply: host, beginning of the path, verdict.
@@ -48,6 +48,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     trees = quality.fit(docs, labels.where(~held_out(F.col("doc_id"))))
@@ -57,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language": op2_language, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_knn": op5_knn, "op6_ann": op6_ann,
-    "op7_line_dedup": op7_line_dedup, "op8_url_filter": op8_url_filter, "op10_quality": op10_quality,
+    "op7_line_dedup": op7_line_dedup, "op8_url_filter": op8_url_filter, "op9_ngram_join": op9_ngram_join, "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
