@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm import ann_graph, knn_join, langid, line_dedup, mixing, ngram_join, packing, quality, url_filter
+from studylake.llm import ann_graph, knn_join, langid, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, url_filter
 from studylake.llm.common import held_out, keep, table, word_count
 
 #: The rules that op8 is to apply: host, beginning of the path, verdict.
 SITES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.find_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start_word", "end_word", F.col("kept_id").alias("kept_doc_id"), "cluster")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = langid.fit_dictionaries(docs.where(~held_out(F.col("doc_id"))))
@@ -61,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_language": op2_language, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_knn": op5_knn, "op6_ann": op6_ann,
+    "op1_substring_dedup": op1_substring_dedup, "op2_language": op2_language, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_knn": op5_knn, "op6_ann": op6_ann,
     "op7_line_dedup": op7_line_dedup, "op8_url_filter": op8_url_filter, "op9_ngram_join": op9_ngram_join, "op10_quality": op10_quality,
 }
 
