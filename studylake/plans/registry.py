@@ -6,19 +6,26 @@ from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 FAMILIES = ("mastery", "usage", "catalog", "clean", "layout", "sections", "lessons", "streams")
 
 
-def query(sql: str | None = None):
-    """Registers a function of (spark, folder) under its name, with the SQL that gives the same rows."""
+def query(sql: str | None = None, dates: tuple[str, ...] = ()):
+    """Registers a function of (spark, folder) under its name, with the SQL that gives the same rows.
+
+    Columns named in dates are given as text on both sides, as clients differ in how they show a date.
+    """
 
     def add(f):
-        _QUERIES[f.__name__] = f
+        def shown(spark: SparkSession, folder: str) -> DataFrame:
+            return f(spark, folder).withColumns({c: F.col(c).cast("string") for c in dates})
+
+        _QUERIES[f.__name__] = shown if dates else f
         if sql:
-            _SQL[f.__name__] = sql
+            _SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in dates)}) FROM ({sql})" if dates else sql
         return f
 
     return add
