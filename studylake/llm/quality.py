@@ -151,5 +151,5 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
                 x = np.array([statistics(t) for t in part["text"]], float)
                 yield pd.DataFrame({"id": part["id"], "text_key": part["text_key"], "score": trees.score(x)})
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
     return narrow.mapInPandas(rows, f"id {dict(narrow.dtypes)['id']}, text_key long, score double")
