@@ -49,14 +49,14 @@ def mix(docs: DataFrame, id_col: str, source_col: str, size: Column, preference:
     wanted = rows.groupBy(F.col("source").alias("of2")).agg(F.sum(F.col("size") * F.col("preference")).alias("wanted"))
     per = per.join(wanted, F.col("of").eqNullSafe(F.col("of2"))).drop("of2")
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    mean = F.col("target") / F.col("source_size")
-    each = mean if preference is None else mean * F.col("preference") * F.col("source_size") / F.col("wanted")
+    mean = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    each = mean if preference is None else F.coalesce(F.try_divide(mean * F.col("preference") * F.col("source_size"), F.col("wanted")), F.lit(0.0))
     rows = rows.withColumn("expected", F.when(F.col("size") > 0, F.least(F.lit(float(most)), each)).otherwise(0.0))
     rows = rows.withColumn("sure", F.floor("expected").cast("long")).withColumn("p", F.col("expected") - F.col("sure"))
     u = uniform(F.col("id"), F.lit(seed))
-    rows = rows.withColumn("rank", (u / (1 - u)) * (1 - F.col("p")) / F.col("p"))
+    rows = rows.withColumn("rank", F.coalesce(F.try_divide((u / (1 - u)) * (1 - F.col("p")), F.col("p")), F.lit(float("inf"))))
     usual = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), mean - F.floor(mean)))
-    spread = F.col("rank") * usual / (1 - usual)
+    spread = F.least(F.lit(1e12), F.col("rank") * usual / (1 - usual))
     rows = rows.withColumn("bucket", F.floor(spread / (1 + spread) * F.greatest(F.lit(1), F.ceil(F.col("n_docs") / bucket_rows))))
     rows = keep(rows.withColumn("taken", F.lit(False)), "mix-ranked")
     for _ in range(fills):
