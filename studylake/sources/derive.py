@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from studylake.functions.text import lines, micros
@@ -215,17 +215,19 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["doc_tables"] = """
-    SELECT l_orderkey AS doc_id, l_linenumber AS page, 0 AS table_index, CAST(2 + l_suppkey % 2 AS INTEGER) AS col_count,
-        CASE WHEN l_tax > 0.04 THEN ['', ''] WHEN l_suppkey % 2 = 0 THEN ['Name', 'Value'] ELSE ['Name', 'Value', 'Unit'] END AS headers, [[CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)]] AS "rows", 1 AS row_count
-    FROM lineitem"""
+    SELECT l_orderkey AS doc_id, CAST(rn + CASE WHEN rn > 4 THEN 1 ELSE 0 END AS INTEGER) AS page, 0 AS table_index, CAST(2 + l_suppkey % 2 AS INTEGER) AS col_count,
+        CASE WHEN l_tax > 0.04 THEN '' ELSE 'h' || l_suppkey % 2 END AS h, rn
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem)"""
 
 
 def doc_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """A table of one row on each page of an order, its headers blank where the tax is high."""
+    """A table of one row on each page of an order (page 5 has none), its headers blank where the tax is high."""
     words = lambda *x: F.array(*[F.lit(y) for y in x])
     headers = F.when(F.col("l_tax") > 0.04, words("", "")).when(F.col("l_suppkey") % 2 == 0, words("Name", "Value")).otherwise(words("Name", "Value", "Unit"))
-    return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.lit(0).alias("table_index"), (2 + F.col("l_suppkey") % 2).cast("int").alias("col_count"),
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    n = F.row_number().over(order)
+    return table(spark, sf, "lineitem").withColumn("n", n).select(
+        F.col("l_orderkey").alias("doc_id"), F.when(F.col("n") > 4, F.col("n") + 1).otherwise(F.col("n")).alias("page"), F.lit(0).alias("table_index"), (2 + F.col("l_suppkey") % 2).cast("int").alias("col_count"),
         headers.alias("headers"), F.array(F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))).alias("rows"), F.lit(1).alias("row_count"),
     )
 
@@ -246,8 +248,6 @@ SQL["check_ins"] = """
 
 def check_ins(spark: SparkSession, sf: str) -> DataFrame:
     """A user's turn as a question with the next turn as its answer, on one of three concepts of the lesson."""
-    from pyspark.sql import Window
-
     answer = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = table(spark, sf, "conversations").withColumn("answer", answer).where("role = 'user'")
     return rows.select(F.col("conv_id").alias("lesson_id"), F.col("turn").alias("ordinal"), F.concat(F.lit("Topic "), (F.col("turn") % 3).cast("string")).alias("concept"), F.col("text").alias("question"), F.col("answer").alias("expected_answer"))
