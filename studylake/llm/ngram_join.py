@@ -10,8 +10,9 @@ searched in two steps that lose no pair:
   summed minima of two boxes bound the overlap of any pair below them, and those of two points bound that pair's.
 
 Pairs that the bound leaves are verified on the whole sets. So that a group of near copies is never spelt out as all its
-pairs, the first rounds take for each text only its best bounded partner in another component; the last one takes every
-pair left between components, so each link is either verified or implied by a path of verified links.
+pairs, the first round takes for each text only the first of its bounded partners in one random order, the second its
+best one in another component; the last takes every pair left between components, so each link is either verified or
+implied by a path of verified links.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ from pyspark.sql import window as w
 from studylake.llm import shingles as sh
 from studylake.llm.common import components, keep
 
-#: Buckets of the table of shingle counts; groups of a count vector; points of a leaf.
-TABLE, GROUPS, LEAF = 1 << 15, 128, 32
-POINT = "doc long, n long, counts binary"
+#: Buckets of the table of shingle counts; groups of a short text's count vector; shingles a group of longer ones; points of a leaf.
+TABLE, GROUPS, FILL, LEAF = 1 << 15, 64, 8, 32
 
 
 def bucket(s: np.ndarray) -> np.ndarray:
@@ -56,13 +56,19 @@ def count_table(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def point(s: np.ndarray) -> bytes:
-    """The count vector of a set, 16 bits a group; a count that doesn't fit stays at the largest, which only loosens bounds
-    for the other text and is made up for by the size left over (see tree_pairs)."""
-    return np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2").tobytes()
+    """The count vector of a set, GROUPS groups or a power of two times as many for about FILL shingles a group: the place
+    of a shingle in a short vector is its place in a longer one modulo the length. A count takes 16 bits."""
+    groups = max(GROUPS, 1 << (max(1, len(s)) // FILL).bit_length())
+    return np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u2").tobytes()
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """A count vector over fewer groups."""
+    return counts.reshape(-1, groups).sum(axis=0)
 
 
 def features(texts: DataFrame, k: int, percent: int, table: np.ndarray) -> DataFrame:
-    """(id, n, s1, s2, cells, counts) of each text: size and hash of its set, the first shingles in order, its point."""
+    """(row, id, n, s1, s2, cells, counts) of each text: size and hash of its set, the first shingles in order, its point."""
     place = np.argsort(np.argsort(table, kind="stable"), kind="stable")
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,21 +81,23 @@ def features(texts: DataFrame, k: int, percent: int, table: np.ndarray) -> DataF
                     order = np.argsort(place[bucket(s)], kind="stable")[:few]  # ties keep the order of the hashes
                     out["n"].append(n), out["cells"].append(s[order].view(np.int64)), out["counts"].append(point(s))
                     out["s1"].append(int(s.sum(dtype=np.uint64).view(np.int64))), out["s2"].append(int(sh.mix(s).sum(dtype=np.uint64).view(np.int64)))
-                yield pd.DataFrame({"id": b["id"].iloc[first : first + len(raws)].reset_index(drop=True)} | out)
+                yield pd.DataFrame({c: b[c].iloc[first : first + len(raws)].reset_index(drop=True) for c in ("row", "id")} | out)
 
-    return texts.mapInPandas(rows, "id long, n long, s1 long, s2 long, cells array<long>, counts binary")
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    return numbered.mapInPandas(rows, "row long, id long, n long, s1 long, s2 long, cells array<long>, counts binary")
 
 
-def tree_pairs(n: np.ndarray, counts: np.ndarray, side: np.ndarray, comp: np.ndarray, percent: int, every: bool) -> list[tuple[int, int]]:
-    """Places of pairs of points whose bound allows a link, in different components and (where both sides occur) of
-    different sides; not every: for each point only the partner with the best bound."""
+def tree_pairs(n: np.ndarray, long: list[np.ndarray], side: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, bound): places of the pairs of points whose bound allows a link, in different components and (where both
+    sides occur) of different sides, each once. bound is the shared part of both sizes at most."""
+    counts = np.stack([folded(x, GROUPS) for x in long])
     order = np.lexsort((counts.argmax(axis=1), n))
     leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
     box = np.stack([counts[x].max(axis=0) for x in leaves])
     least = np.array([n[x].min() for x in leaves])
     most = np.array([n[x].max() for x in leaves])
     two = len(np.unique(side)) > 1
-    pairs, best, mate = [], np.full(len(n), -1.0), np.full(len(n), -1)
+    found = [np.zeros((0, 3))]
     for i, a in enumerate(leaves):
         js = np.arange(i, len(leaves))
         if len(leaves) > 1:
@@ -106,24 +114,22 @@ def tree_pairs(n: np.ndarray, counts: np.ndarray, side: np.ndarray, comp: np.nda
             if not len(p):
                 continue
             p, q = a[p], b[q]
-            shared = np.minimum(counts[p], counts[q]).sum(axis=1) / (n[p] + n[q])
-            fit = shared * (100 + percent) >= percent - 1e-9
-            p, q, shared = p[fit], q[fit], shared[fit]
-            if every:
-                pairs += list(zip(p.tolist(), q.tolist(), strict=True))
-            else:
-                for x, y in ((p, q), (q, p)):
-                    up = np.lexsort((y, -shared, x))
-                    x, y, s = x[up], y[up], shared[up]
-                    head = np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]
-                    x, y, s = x[head], y[head], s[head]
-                    better = s > best[x]
-                    best[x[better]], mate[x[better]] = s[better], y[better]
-    return pairs if every else [(i, int(m)) for i, m in enumerate(mate) if m >= 0]
-
-
-def bounded_pairs(units: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of each unit of (unit, side, doc, n, comp, counts) that its tree leaves, a < b, each once."""
+            fit = np.minimum(counts[p], counts[q]).sum(axis=1) * (100 + percent) >= percent * (n[p] + n[q])
+            p, q = p[fit], q[fit]
+            shared = np.array([np.minimum(x, y).sum() for x, y in ((folded(long[u], g), folded(long[v], g)) for u, v in zip(p, q, strict=True) for g in [min(len(long[u]), len(long[v]))])])
+            fit = shared * (100 + percent) >= percent * (n[p] + n[q]) if len(p) else fit[:0]
+            if fit.any():
+                found.append(np.stack([p[fit], q[fit], shared[fit] / (n[p] + n[q])[fit]], axis=1))
+    every = np.concatenate(found)
+    return every[:, 0].astype(int), every[:, 1].astype(int), every[:, 2]
+
+
+def bounded_pairs(units: DataFrame, percent: int, mode: str) -> DataFrame:
+    """Pairs (a, b) that the trees of units (unit, side, doc, n, comp, counts) leave, each once.
+
+    mode "first": for each point only the partner that comes first in one random order, so that groups become stars;
+    "best": the one with the best bound; "every": all.
+    """
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -137,25 +143,38 @@ def bounded_pairs(units: DataFrame, percent: int, every: bool) -> DataFrame:
             yield solve(held)
 
     def solve(b: pd.DataFrame) -> pd.DataFrame:
-        left, right = [], []
+        out = [np.zeros((0, 2), np.int64)]
+        scores = [np.zeros(0)]
         if len(b):
             unit, doc, n, comp, side = (b[c].to_numpy() for c in ("unit", "doc", "n", "comp", "side"))
-            counts = np.frombuffer(b"".join(b["counts"]), "<u2").reshape(len(b), -1)
+            long = [np.frombuffer(x, "<u2").astype(np.int64) for x in b["counts"]]
             edges = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(b)]])
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if comp[s:e].min() != comp[s:e].max():
                     d = doc[s:e]
-                    for i, j in tree_pairs(n[s:e], counts[s:e], side[s:e], comp[s:e], percent, every):
-                        left.append(min(d[i], d[j])), right.append(max(d[i], d[j]))
-        return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+                    p, q, bound = tree_pairs(n[s:e], long[s:e], side[s:e], comp[s:e], percent)
+                    if mode == "every":
+                        out.append(np.stack([d[p], d[q]], axis=1)), scores.append(bound)
+                    elif len(p):
+                        x, y, z = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([bound, bound])
+                        rank = -z if mode == "best" else (sh.mix(d[y].view(np.uint64)) >> np.uint64(11)).astype(float)
+                        up = np.lexsort((d[y], rank, x))
+                        head = up[np.concatenate([[True], x[up][1:] != x[up][:-1]])]
+                        out.append(np.stack([d[x[head]], d[y[head]]], axis=1)), scores.append(rank[head])
+        every = np.concatenate(out)
+        return pd.DataFrame({"a": every[:, 0], "b": every[:, 1], "score": np.concatenate(scores)})
 
     parts = units.sparkSession.conf.get("spark.sql.shuffle.partitions")
     placed = units.select("unit", "side", "doc", "n", "comp", "counts").repartition(int(parts), "unit").sortWithinPartitions("unit")
-    return placed.mapInPandas(rows, "a long, b long").distinct()
+    found = placed.mapInPandas(rows, "a long, b long, score double")
+    if mode != "every":
+        found = found.groupBy("a").agg(F.min_by("b", F.struct("score", "b")).alias("b"))
+    # The first of a pair sends its set to the second: in a star that is the centre.
+    return found.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b")).select("a", "b")
 
 
-def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets, (doc, s) of held, are similar enough."""
+def verified(pairs: DataFrame, names: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough; names gives a point's (rep, s1), held the set of (id, s1)."""
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,8 +185,15 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 ok[i] = 100 * common >= percent * (len(u) + len(v) - common)
             yield batch.loc[ok, ["a", "b"]]
 
-    first = pairs.join(held.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
-    return first.join(held.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInPandas(rows, "a long, b long")
+    def side(of: str) -> DataFrame:
+        return names.select(F.col("doc").alias(of), F.struct("rep", "s1").alias(f"k{of}"))
+
+    def sets(of: str) -> DataFrame:
+        return held.select(F.struct(F.col("id").alias("rep"), "s1").alias(f"k{of}"), F.col("s").alias(f"s{of}"))
+
+    named = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = named.join(sets("a"), "ka").join(sets("b"), "kb")
+    return both.select("a", "b", "sa", "sb").mapInPandas(rows, "a long, b long")
 
 
 def _cells(points: DataFrame, room: int) -> DataFrame:
@@ -187,20 +213,36 @@ def _cells(points: DataFrame, room: int) -> DataFrame:
     return split.select(F.xxhash64("cell", "part").alias("unit"), side.alias("side"), "doc")
 
 
-def _sets(texts: DataFrame, live: DataFrame, k: int) -> DataFrame:
-    """(doc, s) with the whole set of each live point (doc, rep, s1)."""
+def _sets(texts: DataFrame, live: DataFrame, k: int, most_bits: int = 1 << 27) -> DataFrame:
+    """(id, s1, s) with the whole sets of the live ids, and of a few others: texts are picked by a bitmap of hashed ids
+    (16 bits an id, at most most_bits in all), so that no text is shuffled. Beyond that many ids more sets are made than
+    are needed, but none is missed."""
+    n = live.count()
+    bits = min(most_bits, 1 << max(20, (16 * n).bit_length()))
+
+    def place(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+
+    spots = live.select((place("rep") + 1).alias("spot"))
+    blocks = spots.groupBy(F.bitmap_bucket_number("spot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("map"))
+    table = np.zeros(bits + (1 << 15), bool)
+    for block, raw in blocks.collect():
+        at = (block - 1) << 15
+        table[at : at + (1 << 15)] = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+    packed = np.packbits(table, bitorder="little")
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            at = b["spot"].to_numpy()
+            b = b[(packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             for first, raws in sh.parts(b["text"]):
-                part = b.iloc[first : first + len(raws)]
-                found = [(doc, s.tobytes()) for doc, s1, s in zip(part["doc"], part["s1"], sh.sets(raws, k), strict=True) if int(s.sum(dtype=np.uint64).view(np.int64)) == s1]
-                yield pd.DataFrame(found, columns=["doc", "s"])
+                every = list(sh.sets(raws, k))
+                yield pd.DataFrame({"id": b["id"].iloc[first : first + len(raws)].reset_index(drop=True), "s1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in every], "s": [s.tobytes() for s in every]})
 
-    return texts.join(live, F.col("id") == F.col("rep")).select("doc", "s1", "text").mapInPandas(rows, "doc long, s binary").dropDuplicates(["doc"])
+    return texts.where("id IS NOT NULL").select("id", place("id").alias("spot"), "text").mapInPandas(rows, "id long, s1 long, s binary")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 2, room: int = 2048) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, room: int = 2048) -> DataFrame:
     """Returns (id, n_shingles, component) for each row: the size of its set of k-word shingles and the smallest id that
     links reach from it.
 
@@ -212,29 +254,35 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = keep(features(texts, k, percent, count_table(texts, k)), "ngram-features")
     key = ["n", "s1", "s2"]
-    classes = known.where("n > 0 AND id IS NOT NULL").groupBy(*key).agg(F.min("id").alias("rep"))
+    classes = known.where("n > 0 AND id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("id", "row")).alias("first")).select(*key, F.col("first.id").alias("rep"), F.col("first.row").alias("row"))
     # A point is named by its smallest id; should an id be that of several points, the others get names beyond all ids.
     turn = F.row_number().over(w.Window.partitionBy("rep").orderBy(*key))
     named = F.when(turn == 1, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", turn), F.lit(1 << 61)) + F.lit(1 << 62))
     classes = keep(classes.withColumn("doc", named), "ngram-classes")
-    members = known.select("id", *key).join(classes, key, "left").select("id", "n", "doc", "rep")
-    chosen = known.join(classes.withColumnRenamed("rep", "id"), ["id", *key]).select("doc", "n", "s1", F.col("id").alias("rep"), "cells", "counts")
-    points = keep(chosen.dropDuplicates(["doc"]), "ngram-points")
+    members = known.select("id", *key).join(classes.drop("row"), key, "left").select("id", "n", "doc", "rep")
+    points = keep(known.select("row", "s1", "n", "cells", "counts").join(classes.select("row", "doc", "rep"), "row").drop("row"), "ngram-points")
     units = keep(_cells(points, room).join(points.select("doc", "n", "counts"), "doc"), "ngram-units")
     shared = members.where("doc IS NOT NULL").groupBy("id").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.collect_set("doc").alias("all")).where("a < b")
     links = keep(shared.select("a", F.explode("all").alias("b")).where("a < b"), "ngram-links")
     held, label = None, None
-    for turn in range(rounds + 1):
+    tried = None
+    for mode in ("first", "best", "every"):
         now = units.withColumn("comp", F.col("doc"))
         if label is not None:
             now = units.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-        pairs = keep(bounded_pairs(now, percent, turn == rounds), "ngram-pairs")
-        if turn == 0:
+        pairs = bounded_pairs(now, percent, mode)
+        if tried is not None:
+            known_pairs = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+            pairs = pairs.join(known_pairs, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+        pairs = keep(pairs, "ngram-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if held is None:
             # A text without a partner in the first round has none at all.
             live = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
             units = units.join(live, "doc", "left_semi")
-            held = keep(_sets(texts, live.join(points.select("doc", "rep", "s1"), "doc"), k), "ngram-sets")
-        links = keep(links.unionByName(verified(pairs, held, percent)), "ngram-links")
+            names = points.select("doc", "rep", "s1")
+            held = keep(_sets(texts, live.join(names, "doc").select("rep"), k), "ngram-sets")
+        links = keep(links.unionByName(verified(pairs, names, held, percent)), "ngram-links")
         label = keep(components(links), "ngram-labels")
     joined = members.join(label.withColumnRenamed("node", "doc"), "doc", "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
