@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
@@ -120,3 +123,47 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         raise RuntimeError("components did not settle")
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def spot(c: str, bits: int) -> Column:
+    """Place of an id in a bitmap."""
+    return F.pmod(F.xxhash64(c), F.lit(bits))
+
+
+def id_bitmap(ids: DataFrame, col: str, most_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
+    """(bytes of a bitmap, its bits) in which the spots of all ids are set: 16 bits an id, at most most_bits (16 MB) in all,
+    so it can be sent to every task. Beyond that many ids it lets more others through, but never misses one."""
+    n = ids.count()
+    bits = min(most_bits, 1 << max(20, (16 * n).bit_length()))
+    spots = ids.select((spot(col, bits) + 1).alias("spot"))
+    blocks = spots.groupBy(F.bitmap_bucket_number("spot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("map"))
+    table = np.zeros(bits >> 3, np.uint8)
+    for block, raw in blocks.collect():
+        table[(block - 1) << 12 : block << 12] = np.frombuffer(raw, np.uint8)
+    return table, bits
+
+
+def in_bitmap(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def by_bitmap(docs: DataFrame, id_col: str, table: np.ndarray, bits: int, hit: bool) -> DataFrame:
+    """Rows of docs whose integer id has its spot in a bitmap set, or those whose id hasn't (null ids with them)."""
+    marked = docs.withColumn("__spot", F.coalesce(spot(id_col, bits), F.lit(-1)))
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy()
+            found = in_bitmap(table, np.maximum(at, 0)) & (at >= 0)
+            yield b.select(range(b.num_columns - 1)).filter(pa.array(found == hit))
+
+    return marked.mapInArrow(rows, docs.schema)
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, gone_col: str) -> DataFrame:
+    """Rows of docs whose integer id isn't in gone; null ids stay. A bitmap tells most rows apart where they are, and only
+    those that it can't clear are shuffled to be compared exactly."""
+    table, bits = id_bitmap(gone, gone_col)
+    names = gone.select(F.col(gone_col).alias("__gone"))
+    doubtful = by_bitmap(docs, id_col, table, bits, True)
+    return by_bitmap(docs, id_col, table, bits, False).unionByName(doubtful.join(names, doubtful[id_col] == F.col("__gone"), "left_anti"))
