@@ -2,8 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. A stage
 works on every row that its predecessor kept: texts may be null or empty, ids may repeat (the mix takes documents up to
-three times) and further columns pass through. Stages that drop or change rows find their decisions by id and text, so
-rows that share an id are told apart by their texts.
+three times) and further columns pass through.
 """
 
 from __future__ import annotations
@@ -12,47 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studylake.llm import langid, line_dedup, mixing, ngram_join, packing
-from studylake.llm.common import held_out, word_count
-
-
-def _decided(docs: DataFrame, found: DataFrame, *extra: str) -> DataFrame:
-    """docs joined with one decision (id, text_key, extra) for each id and text; the extra columns get a __ in front."""
-    one = found.select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), *[F.col(c).alias(f"__{c}") for c in extra]).dropDuplicates(["__id", "__key"])
-    return docs.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__key")))
+from studylake.llm.common import held_out, keep, without_ids, word_count
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is undetermined or whose best two languages are too near."""
-    found = langid.identify(docs, langid.fit_dictionaries(docs.where(~held_out(F.col("doc_id")))))
-    return _decided(docs, found, "accepted").where("__accepted").select(*docs.columns)
+    known = langid.fit_dictionaries(docs.where(~held_out(F.col("doc_id"))))
+    return langid.accepted_rows(docs, known)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes often repeated lines out of the texts and counts their characters anew; no document goes."""
-    joined = _decided(docs, line_dedup.drop_repeated_lines(docs), "kept")
-    kept = F.when(F.col("text").isNotNull(), F.col("__kept"))
-    changed = {"text": kept, "n_chars": F.when(F.col("__kept") == F.col("text"), F.col("n_chars")).otherwise(F.length(kept).cast("long"))}
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return line_dedup.without_repeated_lines(docs, length_col="n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
     found = ngram_join.near_components(docs)
-    lost = found.groupBy(F.col("id").alias("__id")).agg(F.min("component").alias("__component")).where("__component <> __id")
-    return docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti")
+    lost = keep(found.where("component <> id").select(F.col("id").alias("lost")).distinct(), "near-duplicates")
+    return without_ids(docs, "doc_id", lost, "lost")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents none to three times, so that sources come near their target words."""
+    """Takes documents none to three times, so that sources come near their target words; rows that share id, source and
+    number of words are all taken as often as the one taken most."""
     words = word_count(F.col("text"))
-    copies = mixing.mix(docs, "doc_id", "source", words)
-    # Rows with equal id, source and size are the same to the mix: their copies are dealt to them in turn.
-    tally = copies.where("copies > 0").groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    first = F.row_number().over(mixing.w.Window.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))) - 1
-    numbered = docs.withColumn("__words", words).withColumn("__place", first)
-    joined = numbered.join(tally, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    times = F.coalesce(F.get("__copies", F.col("__place")), F.lit(0)).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    mixed = mixing.mix(docs, "doc_id", "source", words).where("copies > 0")
+    times = mixed.groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").cast("int").alias("__copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (words == F.col("__size"))
+    return docs.join(times, same).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,8 +61,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the table of documents, one written table after the other."""
-    from studylake.llm.common import keep
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
