@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
 from studylake.llm import shingles as sh
-from studylake.llm.common import components, keep
+from studylake.llm.common import components, forget, id_bitmap, in_bitmap, keep, spot
 
 #: Buckets of the table of shingle counts; groups of a short text's count vector; shingles a group of longer ones; points of a leaf.
-TABLE, GROUPS, FILL, LEAF = 1 << 15, 64, 8, 32
+TABLE, GROUPS, FILL, LEAF = 1 << 15, 64, 2, 32
 
 
 def bucket(s: np.ndarray) -> np.ndarray:
@@ -57,14 +57,20 @@ def count_table(texts: DataFrame, k: int) -> np.ndarray:
 
 def point(s: np.ndarray) -> bytes:
     """The count vector of a set, GROUPS groups or a power of two times as many for about FILL shingles a group: the place
-    of a shingle in a short vector is its place in a longer one modulo the length. A count takes 16 bits."""
+    of a shingle in a short vector is its place in a longer one modulo the length. The first byte is the width of a count."""
     groups = max(GROUPS, 1 << (max(1, len(s)) // FILL).bit_length())
-    return np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u2").tobytes()
+    counts = np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups)
+    wide = counts.max(initial=0) > 255
+    return (b"\x04" if wide else b"\x01") + counts.astype("<u4" if wide else "u1").tobytes()
+
+
+def counted(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4" if raw[0] == 4 else "u1", offset=1)
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     """A count vector over fewer groups."""
-    return counts.reshape(-1, groups).sum(axis=0)
+    return counts.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
 def features(texts: DataFrame, k: int, percent: int, table: np.ndarray) -> DataFrame:
@@ -125,7 +131,8 @@ def tree_pairs(n: np.ndarray, long: list[np.ndarray], side: np.ndarray, comp: np
 
 
 def bounded_pairs(units: DataFrame, percent: int, mode: str) -> DataFrame:
-    """Pairs (a, b) that the trees of units (unit, side, doc, n, comp, counts) leave, each once.
+    """Pairs (a, b) that the trees of units (unit, cell, side, doc, n, comp, counts, cells) leave, each once; cells lists the
+    point's cells with others.
 
     mode "first": for each point only the partner that comes first in one random order, so that groups become stars;
     "best": the one with the best bound; "every": all.
@@ -147,13 +154,17 @@ def bounded_pairs(units: DataFrame, percent: int, mode: str) -> DataFrame:
         scores = [np.zeros(0)]
         if len(b):
             unit, doc, n, comp, side = (b[c].to_numpy() for c in ("unit", "doc", "n", "comp", "side"))
-            long = [np.frombuffer(x, "<u2").astype(np.int64) for x in b["counts"]]
+            long = [counted(x) for x in b["counts"]]
+            cell, cells = b["cell"].to_numpy(), b["cells"].to_list()
             edges = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(b)]])
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if comp[s:e].min() != comp[s:e].max():
                     d = doc[s:e]
                     p, q, bound = tree_pairs(n[s:e], long[s:e], side[s:e], comp[s:e], percent)
                     if mode == "every":
+                        # A pair that shares several cells is given by the first of them alone.
+                        once = np.array([min(set(cells[s + i]) & set(cells[s + j])) == cell[s] for i, j in zip(p, q, strict=True)], bool)
+                        p, q, bound = p[once], q[once], bound[once]
                         out.append(np.stack([d[p], d[q]], axis=1)), scores.append(bound)
                     elif len(p):
                         x, y, z = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([bound, bound])
@@ -165,7 +176,7 @@ def bounded_pairs(units: DataFrame, percent: int, mode: str) -> DataFrame:
         return pd.DataFrame({"a": every[:, 0], "b": every[:, 1], "score": np.concatenate(scores)})
 
     parts = units.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = units.select("unit", "side", "doc", "n", "comp", "counts").repartition(int(parts), "unit").sortWithinPartitions("unit")
+    placed = units.select("unit", "cell", "side", "doc", "n", "comp", "counts", "cells" if mode == "every" else F.array().cast("array<long>").alias("cells")).repartition(int(parts), "unit").sortWithinPartitions("unit")
     found = placed.mapInPandas(rows, "a long, b long, score double")
     if mode != "every":
         found = found.groupBy("a").agg(F.min_by("b", F.struct("score", "b")).alias("b"))
@@ -197,7 +208,7 @@ def verified(pairs: DataFrame, names: DataFrame, held: DataFrame, percent: int)
 
 
 def _cells(points: DataFrame, room: int) -> DataFrame:
-    """(unit, side, doc): the points of each cell that holds two or more; cells with the same points count once. A cell of
+    """(unit, cell, side, doc): the points of each cell that holds two or more; cells with the same points count once. A cell of
     over room points is split by a hash into parts, and each two parts are a unit of their own."""
     every = points.select("doc", F.explode("cells").alias("cell"))
     many = every.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
@@ -210,36 +221,22 @@ def _cells(points: DataFrame, room: int) -> DataFrame:
     split = rows.join(once, "cell").select("doc", "cell", own.alias("own"), n.alias("n"), F.explode(units).alias("part"))
     # A unit of one part with itself has one side; in others only pairs of two sides are new.
     side = F.when(F.col("part") % (F.col("n") + 1) == 0, 0).otherwise(F.col("own"))
-    return split.select(F.xxhash64("cell", "part").alias("unit"), side.alias("side"), "doc")
-
-
-def _sets(texts: DataFrame, live: DataFrame, k: int, most_bits: int = 1 << 27) -> DataFrame:
-    """(id, s1, s) with the whole sets of the live ids, and of a few others: texts are picked by a bitmap of hashed ids
-    (16 bits an id, at most most_bits in all), so that no text is shuffled. Beyond that many ids more sets are made than
-    are needed, but none is missed."""
-    n = live.count()
-    bits = min(most_bits, 1 << max(20, (16 * n).bit_length()))
+    return split.select(F.xxhash64("cell", "part").alias("unit"), "cell", side.alias("side"), "doc")
 
-    def place(c: str):
-        return F.pmod(F.xxhash64(c), F.lit(bits))
 
-    spots = live.select((place("rep") + 1).alias("spot"))
-    blocks = spots.groupBy(F.bitmap_bucket_number("spot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("map"))
-    table = np.zeros(bits + (1 << 15), bool)
-    for block, raw in blocks.collect():
-        at = (block - 1) << 15
-        table[at : at + (1 << 15)] = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
-    packed = np.packbits(table, bitorder="little")
+def _sets(texts: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """(id, s1, s) with the whole sets of the live ids (rep), and of a few others: texts are picked by a bitmap of the ids,
+    so that none is shuffled."""
+    table, bits = id_bitmap(live, "rep")
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            at = b["spot"].to_numpy()
-            b = b[(packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            b = b[in_bitmap(table, b["spot"].to_numpy())]
             for first, raws in sh.parts(b["text"]):
                 every = list(sh.sets(raws, k))
                 yield pd.DataFrame({"id": b["id"].iloc[first : first + len(raws)].reset_index(drop=True), "s1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in every], "s": [s.tobytes() for s in every]})
 
-    return texts.where("id IS NOT NULL").select("id", place("id").alias("spot"), "text").mapInPandas(rows, "id long, s1 long, s binary")
+    return texts.where("id IS NOT NULL").select("id", spot("id", bits).alias("spot"), "text").mapInPandas(rows, "id long, s1 long, s binary")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, room: int = 2048) -> DataFrame:
@@ -259,9 +256,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     turn = F.row_number().over(w.Window.partitionBy("rep").orderBy(*key))
     named = F.when(turn == 1, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", turn), F.lit(1 << 61)) + F.lit(1 << 62))
     classes = keep(classes.withColumn("doc", named), "ngram-classes")
-    members = known.select("id", *key).join(classes.drop("row"), key, "left").select("id", "n", "doc", "rep")
+    members = keep(known.select("id", *key).join(classes.drop("row"), key, "left").select("id", "n", "doc", "rep"), "ngram-members")
     points = keep(known.select("row", "s1", "n", "cells", "counts").join(classes.select("row", "doc", "rep"), "row").drop("row"), "ngram-points")
-    units = keep(_cells(points, room).join(points.select("doc", "n", "counts"), "doc"), "ngram-units")
+    forget(known)
+    units = keep(_cells(points, room), "ngram-placed")
+    own = units.groupBy("doc").agg(F.collect_set("cell").alias("cells"))
+    units = keep(units.join(points.select("doc", "n", "counts").join(own, "doc"), "doc"), "ngram-units")
     shared = members.where("doc IS NOT NULL").groupBy("id").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.collect_set("doc").alias("all")).where("a < b")
     links = keep(shared.select("a", F.explode("all").alias("b")).where("a < b"), "ngram-links")
     held, label = None, None
@@ -284,5 +284,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             held = keep(_sets(texts, live.join(names, "doc").select("rep"), k), "ngram-sets")
         links = keep(links.unionByName(verified(pairs, names, held, percent)), "ngram-links")
         label = keep(components(links), "ngram-labels")
+    for done in (points, held, links):
+        forget(done)
     joined = members.join(label.withColumnRenamed("node", "doc"), "doc", "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
