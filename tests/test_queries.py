@@ -21,12 +21,12 @@ def duck():
 
 
 def shown(x) -> str:
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return "~"
     if isinstance(x, bool | np.bool_):
         return str(bool(x))
     if isinstance(x, float | np.floating):
-        return repr(round(float(x), 9))
+        return repr(round(float(x), 9)).removesuffix(".0")  # clients give whole numbers with nulls as floats
     if isinstance(x, list | tuple | np.ndarray):
         return "[" + ",".join(map(shown, x)) + "]"
     return str(x)
