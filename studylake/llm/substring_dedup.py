@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
@@ -78,11 +78,11 @@ def bands_of(least: list[np.ndarray]) -> np.ndarray:
     return np.stack([sh.mix(least[i] * _SEEDS[i] + least[i + 1] * _SEEDS[i + 1] + np.uint64(i)) for i in range(0, len(least), ROWS)], axis=1)
 
 
-def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 2, gap: int = 24, span: int = 25) -> DataFrame:
+def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 2, gap: int = 24, span: int = 25, room: int = 1024) -> DataFrame:
     """Returns the passages to remove: (id, start_word, end_word, kept_id, cluster), end not included.
 
-    Equal paragraphs are one class. Of the classes that share a band each is compared with the band's first, on the exact
-    Jaccard similarity of five-word shingles; components of similar classes are the clusters. In a cluster the paragraph
+    Equal paragraphs are one class. All classes that share a band are compared on the exact Jaccard similarity of
+    five-word shingles, but for those that links already join; components of similar classes are the clusters. In a cluster the paragraph
     of the smallest (id, place) stays and all others go; paragraphs that overlap are joined to one passage, with the
     smallest id that is kept for any of them. A pair of paragraphs at similarity 0.8 shares one of two bands of two
     minimum hashes with probability 0.87 (see recall); a passage of 60 words holds about three paragraphs, which makes it
@@ -110,12 +110,11 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     each = F.array(*[F.xxhash64(F.lit(i), F.col(x)) for i, x in enumerate(names)])
     shared = classes.select("whole", F.col("first.id").alias("id"), F.col("first.start").alias("start"), F.explode(each).alias("band"))
-    heads = shared.groupBy("band").agg(F.min(F.struct("whole", "id", "start")).alias("head"), F.max("whole").alias("other")).where("head.whole <> other")
-    # Paragraphs that overlap in one text are alike without being copies.
-    apart = (F.col("id") != F.col("head.id")) | (F.abs(F.col("start") - F.col("head.start")) >= span)
-    pairs = shared.join(heads, "band").where("whole <> head.whole").where(apart)
-    pairs = keep(pairs.select(F.col("head.whole").alias("a"), F.col("whole").alias("b")).distinct(), "passage-pairs")
-    similar = _similar(pairs, classes, texts, similarity, span)
+    many = shared.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("id").alias("last_id"), F.min("start").alias("start"), F.max("start").alias("last_start"))
+    # Paragraphs that overlap in one text are alike without being copies; most bands hold no others.
+    many = many.where("n > 1").where((F.col("id") < F.col("last_id")) | (F.col("last_start") - F.col("start") >= span)).select("band", "n")
+    members = keep(shared.select("band", "whole").join(many, "band").select("band", "n", "whole"), "passage-members")
+    similar = _similar(members, _sets(members, classes, texts, span), similarity, span, room)
     label = keep(components(similar), "passage-labels").select(F.col("node").alias("whole"), "component")
 
     flagged = classes.select("whole", "first", "many").join(label, "whole", "left").where("many OR component IS NOT NULL")
@@ -130,9 +129,9 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return spans.drop("run")
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, span: int) -> DataFrame:
-    """The pairs of classes whose first paragraphs are similar enough, on the words themselves."""
-    asked = pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct()
+def _sets(members: DataFrame, classes: DataFrame, texts: DataFrame, span: int) -> DataFrame:
+    """(whole, id, start, s) with the first place and the set of shingles of each class of members."""
+    asked = members.select("whole").distinct()
     places = asked.join(classes, "whole").groupBy(F.col("first.id").alias("of")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "whole")).alias("places"))
 
     def sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,29 +139,116 @@ def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity:
             for first, raws in sh.parts(b["text"]):
                 hashes, bounds = sh.words(raws)
                 out = []
-                for places, a, e in zip(b["places"].iloc[first : first + len(raws)], bounds[:-1], bounds[1:], strict=True):
+                for of, places, a, e in zip(b["of"].iloc[first : first + len(raws)], b["places"].iloc[first : first + len(raws)], bounds[:-1], bounds[1:], strict=True):
                     for p in places:
                         run = hashes[a + p["start"] : min(e, a + p["start"] + span)]
                         if len(run) and int((sh.shingles(run, span) if len(run) == span else sh.short(run))[0].view(np.int64)) == p["whole"]:
-                            out.append((p["whole"], np.unique(sh.shingles(run, SHINGLE)).tobytes()))
-                yield pd.DataFrame(out, columns=["whole", "s"])
+                            out.append((p["whole"], of, p["start"], np.unique(sh.shingles(run, SHINGLE)).tobytes()))
+                yield pd.DataFrame(out, columns=["whole", "id", "start", "s"])
 
     places = keep(places, "passage-places")
     few = by_bitmap(texts, "id", *id_bitmap(places, "of"), True)
     # The first of a class is in a row of its id whose words at the place have the class's hash.
-    held = keep(few.join(places, F.col("id") == F.col("of")).select("text", "places").mapInPandas(sets, "whole long, s binary").dropDuplicates(["whole"]), "passage-sets")
+    found = few.join(places, F.col("id") == F.col("of")).select("of", "text", "places").mapInPandas(sets, "whole long, id long, start int, s binary")
+    return keep(found.dropDuplicates(["whole"]), "passage-sets")
+
+
+def links_of(whole: np.ndarray, ids: np.ndarray, start: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float, span: int) -> list[tuple[int, int]]:
+    """Verified pairs of classes that link all similar ones of different sides (where both occur) and of different
+    components; a pair that others already link is left out."""
+    size = np.array([len(x) for x in sets])
+    shingle, code = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    two = side.min() != side.max()
+    comp = np.unique(comp, return_inverse=True)[1]
+    asked, out = np.zeros(len(shingle), bool), []
+    for i in range(len(whole) - 1):
+        ok = comp[i + 1 :] != comp[i]
+        ok &= (ids[i + 1 :] != ids[i]) | (np.abs(start[i + 1 :] - start[i]) >= span)
+        if two:
+            ok &= side[i + 1 :] != side[i]
+        if not ok.any():
+            continue
+        own = code[first[i] : first[i] + size[i]]
+        asked[own] = True
+        common = np.add.reduceat(asked[code[first[i + 1] :]], first[i + 1 :] - first[i + 1], dtype=np.int64)
+        asked[own] = False
+        near = i + 1 + np.flatnonzero(ok & (common >= similarity * (size[i] + size[i + 1 :] - common)))
+        if len(near):
+            joined, at = np.unique(comp[near], return_index=True)
+            out += [(int(whole[i]), int(whole[j])) for j in near[at]]
+            comp[np.isin(comp, joined)] = comp[i]
+    return out
+
+
+def _unit_links(units: DataFrame, held: DataFrame, similarity: float, span: int) -> DataFrame:
+    """The links (a, b) within each of units (unit, side, whole, comp); held gives the sets."""
 
-    def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = np.zeros(len(b), bool)
-            for i, (x, y) in enumerate(zip(b["sa"], b["sb"], strict=True)):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                ok[i] = common >= similarity * (len(u) + len(v) - common)
-            yield b.loc[ok, ["a", "b"]]
-
-    both = pairs.join(held.select(F.col("whole").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("whole").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInPandas(verify, "a long, b long")
+    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:  # a unit's rows are consecutive but may go on in the next batch
+            rest = b if rest is None or not len(rest) else pd.concat([rest, b], ignore_index=True)
+            if len(rest):
+                last = rest["unit"].to_numpy() == rest["unit"].iloc[-1]
+                yield solve(rest[~last])
+                rest = rest[last]
+        if rest is not None and len(rest):
+            yield solve(rest)
+
+    def solve(b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(b):
+            unit, whole, ids, start, comp, side = (b[c].to_numpy() for c in ("unit", "whole", "id", "start", "comp", "side"))
+            sets = [np.frombuffer(x, np.uint64) for x in b["s"]]
+            edges = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(b)]])
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if e - s > 1:
+                    out += links_of(whole[s:e], ids[s:e], start[s:e], comp[s:e], side[s:e], sets[s:e], similarity, span)
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = units.join(held, "whole").select("unit", "side", "whole", "id", "start", "comp", "s").repartition(parts, "unit").sortWithinPartitions("unit")
+    return placed.mapInPandas(rows, "a long, b long")
+
+
+def _similar(members: DataFrame, held: DataFrame, similarity: float, span: int, room: int) -> DataFrame:
+    """Links (a, b) between the classes of each band (band, n, whole): every pair that shares a band and is similar enough
+    is one of them or is linked by a path of them.
+
+    A band of at most room classes is one unit, in which all pairs are met. A larger one is first dealt to parts with the
+    band's first class in each. What then is not one component is met in two ways: the largest component, part by part,
+    with each part of the others, and the others among themselves.
+    """
+    n = F.ceil(F.col("n") / room).cast("int")
+    own = members.select(F.xxhash64("band", F.pmod(F.xxhash64("whole"), n)).alias("unit"), F.lit(0).alias("side"), "whole", F.col("whole").alias("comp"))
+    large = members.where(F.col("n") > room)
+    heads = large.groupBy("band", "n").agg(F.min("whole").alias("whole")).select("band", "whole", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("part"))
+    heads = heads.select(F.xxhash64("band", "part").alias("unit"), F.lit(0).alias("side"), "whole", F.col("whole").alias("comp"))
+    links = keep(_unit_links(own.unionByName(heads).distinct() if not large.isEmpty() else own, held, similarity, span), "passage-links")
+    if large.isEmpty():
+        return links
+    label = keep(components(links), "passage-first-labels").withColumnRenamed("node", "whole")
+    left = keep(large.join(label, "whole", "left").select("band", "whole", F.coalesce("component", "whole").alias("comp")), "passage-large")
+    sizes = left.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n")).where("top.c < n")
+    dealt = left.join(most.select("band", F.col("top.comp").alias("top"), F.ceil(F.col("top.c") / room).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("top.c")) / room).cast("int").alias("rests")), "band")
+
+    def part(count: str) -> Column:
+        return F.pmod(F.xxhash64("whole", F.lit(1)), F.col(count)).cast("int")
+
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    def units(rows: DataFrame, kind: int, i: str, j: str, side: Column) -> DataFrame:
+        return rows.select(F.xxhash64("band", F.lit(kind), i, j).alias("unit"), side.cast("int").alias("side"), "whole", "comp")
+
+    inside = dealt.where("comp = top").withColumn("i", part("tops")).withColumn("j", each("rests"))
+    rest = dealt.where("comp <> top").withColumn("own", part("rests"))
+    across = units(inside, 1, "i", "j", F.lit(0)).unionByName(units(rest.withColumn("i", each("tops")), 1, "i", "own", F.lit(1)))
+    pairs = rest.withColumn("other", each("rests")).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    # A unit of one part with itself has one side.
+    among = units(pairs, 2, "i", "j", F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("own")))
+    return links.unionByName(keep(_unit_links(across.unionByName(among), held, similarity, span), "passage-more-links"))
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,6 +71,30 @@ def test_substring_dedup(spark):
     assert substring_dedup.recall(0.8, 2) == pytest.approx(0.8704)
 
 
+def test_substring_dedup_links_every_similar_pair_of_a_band(spark):
+    r = np.random.default_rng(8)
+    phrase = prose(20, 18).split()
+    every = []
+    for i in range(12):  # families that share most words with all others, so that bands hold several families
+        own = [f"own{i}x{r.integers(0, 1000)}" for _ in range(7)]
+        every += [" ".join(phrase + own), " ".join(phrase + own[:-1] + ["changed"])]
+    docs = frame(spark, every)
+    band = spark.range(1).select(F.lit(5).cast("long").alias("band"), F.lit(len(every)).cast("long").alias("n"))
+    names = [int(substring_dedup.sh.shingles(substring_dedup.sh.words([t.encode()])[0], 25)[0].view(np.int64)) for t in every]
+    held = spark.createDataFrame([(n, i, 0, np.unique(substring_dedup.sh.shingles(substring_dedup.sh.words([t.encode()])[0], 5)).tobytes()) for i, (n, t) in enumerate(zip(names, every, strict=True))], "whole long, id long, start int, s binary")
+    members = band.crossJoin(held.select("whole"))
+    for room in (1024, 5):
+        found = components(substring_dedup._similar(members, held, 0.8, 25, room)).collect()
+        groups = {}
+        for x in found:
+            groups.setdefault(x["component"], set()).add(names.index(x["node"]))
+        assert sorted(map(sorted, groups.values())) == [[i, i + 1] for i in range(0, len(every), 2)]
+    # Wherever two paragraphs share a band and are similar, the later one is removed.
+    got = {x["id"] for x in substring_dedup.find_passages(docs).collect()}
+    found = [next(substring_dedup.paragraphs([t.encode()], 24, 25, 2))[3] for t in every]
+    assert got == {i + 1 for i in range(0, len(every), 2) if set(enumerate(found[i][0])) & set(enumerate(found[i + 1][0]))}
+
+
 def test_line_dedup(spark):
     line = "x" * 45
     every = [f"{line}\n{i}" for i in range(5)] + [None, "", f"  {line.upper()}\t\nend\n", "y" * 39]
