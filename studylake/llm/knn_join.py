@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
+from studylake.llm.shingles import mix
 from studylake.llm.vectors import best, matrix, smallest_ids, top_of_row, usable
 
 
@@ -39,19 +40,23 @@ def voronoi_join(data: DataFrame, queries: Column, k: int = 20, id_col: str = "v
     """Returns (query_id, rank, vec_id, score): the k largest integer inner products of each query row, exactly.
 
     queries is a condition over id_col. Components become floor(scale * x). At most `pivots` vectors, drawn by a hash,
-    divide data and queries into cells. A cell's summary is its radius and its k + 1 smallest distances to the pivot; it
+    divide data and queries into cells. A cell's summary is its radius and its k + 1 smallest distances to the pivot (more
+    where an id asked for has several vectors); it
     bounds the products of a query with the cell's vectors from both sides (|q.x - q.p| <= |q| |x - p|). A query's k + 1
-    best lower bounds give a score that its answers reach, and only cells whose upper bound reaches it are replicated to
+    best lower bounds, or as many more, give a score that its answers reach, and only cells whose upper bound reaches it are replicated to
     the query's block. Blocks of at most about query_room queries and data_room vectors are solved locally; large cells
     are split by a hash. Only pivots and summaries (pivots * (k + 1) numbers) come to the driver.
 
-    Rows with a null id or unusable vector (see usable) take no part; zero vectors do. Repeated rows of an id count as
-    one candidate each, except to a query of that id. An empty table gives no rows.
+    Rows with a null id or unusable vector (see usable) take no part; zero vectors do. Equal rows (after
+    scaling) count once. Rows of one id with different vectors are a query and a candidate each, but never candidates of
+    their own id; ranks are over all query rows of an id. An empty table gives no rows.
     """
     rows = usable(data, id_col, vector_col)
     rows = rows.select("id", whole(F.col("v"), scale).alias("v"))
-    asking = rows.where(queries)
-    rows = smallest_ids(rows, k + 1)
+    asking = rows.where(queries).distinct()
+    # A query leaves out all rows of its own id: so many places are needed beyond k.
+    spare = asking.groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    rows = smallest_ids(rows.distinct(), k + 1)
     drawn = rows.orderBy(F.xxhash64("v"), "id").limit(pivots).collect()
     centres = np.unique(np.array([r["v"] for r in drawn], np.int64).reshape(len(drawn), -1), axis=0) if drawn else np.zeros((1, 1), np.int64)
     centres = centres[np.argsort(centres.astype(float) @ (centres - centres.mean(axis=0)).sum(axis=0), kind="stable")]
@@ -69,7 +74,7 @@ def voronoi_join(data: DataFrame, queries: Column, k: int = 20, id_col: str = "v
     kind = "id long, raw binary, cell long, far double"
     held = rows.mapInPandas(to_cells, kind)
     nearest = w.Window.partitionBy("cell").orderBy("far")
-    close = held.select("cell", "far").withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("close"))
+    close = held.select("cell", "far").withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + spare).groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("close"))
     sums = held.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).join(close, "cell").collect()
     known = np.array([r["cell"] for r in sums], int)
     radius = np.array([r["radius"] for r in sums], float)
@@ -86,10 +91,11 @@ def voronoi_join(data: DataFrame, queries: Column, k: int = 20, id_col: str = "v
             mid = q @ centres[known].astype(float).T
             sure = np.concatenate([mid[:, [i]] - norm[:, None] * c for i, c in lower], axis=1)
             slack = 1e-9 * (1 + np.abs(mid).max(initial=0))
-            reach = np.partition(sure, -(k + 1), axis=1)[:, -(k + 1)] - slack if sure.shape[1] > k else np.full(len(q), -np.inf)
+            reach = np.partition(sure, -(k + spare), axis=1)[:, -(k + spare)] - slack if sure.shape[1] >= k + spare else np.full(len(q), -np.inf)
             need = mid + norm[:, None] * radius + slack >= reach[:, None]
             first = [query_blocks[c] for c in b["cell"]]
-            yield pd.DataFrame({"id": b["id"], "raw": b["raw"], "qb": [f + i % n for (f, n), i in zip(first, b["id"], strict=True)], "reach": reach, "cells": [known[x].tolist() for x in need]})
+            spread = mix(b["id"].to_numpy().view(np.uint64)) >> np.uint64(1)
+            yield pd.DataFrame({"id": b["id"], "raw": b["raw"], "qb": [f + int(i) % n for (f, n), i in zip(first, spread, strict=True)], "reach": reach, "cells": [known[x].tolist() for x in need]})
 
     asked = asking.mapInPandas(to_cells, kind).mapInPandas(bounds, "id long, raw binary, qb long, reach double, cells array<long>")
     needs = asked.select("qb", F.explode("cells").alias("cell")).distinct()

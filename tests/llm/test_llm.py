@@ -189,6 +189,13 @@ def test_knn_join(spark):
     assert knn_join.voronoi_join(df.where("false"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_knn_join_with_repeated_rows(spark):
+    x, df = vectors(spark)
+    once = knn_join.voronoi_join(df, F.col("id") % 20 == 0, pivots=16, query_room=5, data_room=40).collect()
+    twice = knn_join.voronoi_join(df.unionByName(df), F.col("id") % 20 == 0, pivots=16, query_room=5, data_room=40).collect()
+    assert len(once) == 20 * 16 and sorted(map(tuple, twice)) == sorted(map(tuple, once))
+
+
 def test_ann_graph(spark):
     x, df = vectors(spark)
     index = ann_graph.build_index(df, shard_rows=128)
