@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
@@ -47,6 +48,45 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a column already has."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_places(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two columns that name a row by its file and its place there, and their names; reads agree on them. Rows that
+    do not come from files are written to the shared folder first."""
+    names = unused(docs.columns, "row_file", "row_place")
+    here = [F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])]
+    try:
+        return docs.select("*", *here), names
+    except AnalysisException:
+        return keep(docs, "placed-rows").select("*", *here), names
+
+
+def join_spread(rows: DataFrame, held: DataFrame, on: list[str], count: str, by: str, parts: int = 2048, least: int = 64) -> DataFrame:
+    """rows joined to held on equal (or both null) columns; held has each key once, with its number of rows in `count`.
+
+    A key with more than 1/parts of all rows is dealt to as many salts as it has such parts, by the hash of the column
+    `by`, and held's row is repeated for each. There are fewer than `parts` such keys, so they may be broadcast.
+    """
+    total = held.agg(F.sum(count)).first()[0] or 0
+    room = max(-(-total // parts), least)
+    salts, salt, salt_of, *keys = unused([*rows.columns, *held.columns], "salts", "salt", "salt_of", *[f"key_{c}" for c in on])
+    named = held.withColumnsRenamed(dict(zip(on, keys, strict=True))).withColumn(salts, F.ceil(F.col(count) / room).cast("int"))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(on, keys, strict=True)]
+    hot = named.where(F.col(salts) > 1).select(*keys, salts)
+    dealt = rows.join(F.broadcast(hot), same, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(F.col(salts), F.lit(1))).cast("int")).drop(salts, *keys)
+    each = named.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(F.col(salts), F.lit(1)) - 1))).drop(salts).withColumnRenamed(salt, salt_of)
+    return dealt.join(each, [*same, F.col(salt) == F.col(salt_of)]).drop(salt, salt_of, *keys)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case and nothing else."""
     plain = F.octet_length(text) == F.length(text)
@@ -149,7 +189,7 @@ def in_bitmap(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def by_bitmap(docs: DataFrame, id_col: str, table: np.ndarray, bits: int, hit: bool) -> DataFrame:
     """Rows of docs whose integer id has its spot in a bitmap set, or those whose id hasn't (null ids with them)."""
-    marked = docs.withColumn("__spot", F.coalesce(spot(id_col, bits), F.lit(-1)))
+    marked = docs.withColumn(unused(docs.columns, "spot")[0], F.coalesce(spot(id_col, bits), F.lit(-1)))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,6 +204,7 @@ def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, gone_col: str) ->
     """Rows of docs whose integer id isn't in gone; null ids stay. A bitmap tells most rows apart where they are, and only
     those that it can't clear are shuffled to be compared exactly."""
     table, bits = id_bitmap(gone, gone_col)
-    names = gone.select(F.col(gone_col).alias("__gone"))
+    name = unused(docs.columns, "gone_id")[0]
     doubtful = by_bitmap(docs, id_col, table, bits, True)
-    return by_bitmap(docs, id_col, table, bits, False).unionByName(doubtful.join(names, doubtful[id_col] == F.col("__gone"), "left_anti"))
+    left = doubtful.join(gone.select(F.col(gone_col).alias(name)), F.col(id_col) == F.col(name), "left_anti")
+    return by_bitmap(docs, id_col, table, bits, False).unionByName(left)
