@@ -25,7 +25,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", word_count(F.col("text")))
+    words = word_count(F.col("text"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", words, mixing.root_of(words))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
