@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import base64
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as w
 
 from studylake.llm.common import keep, running_sum
 
 #: The special string of the vocabulary, whose id follows the ranks.
 SPECIAL = "<|endoftext|>"
+#: Stands for all sources that have no queue of their own.
+OTHERS = "\0others"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -31,16 +32,16 @@ def encoder(ranks: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={SPECIAL: len(table)})
 
 
-def encode(text: str | None, ranks: str, pattern: str) -> array:
-    """The ids of a text in 16 bits each, then id 0."""
+def encode(text: str | None, ranks: str, pattern: str) -> np.ndarray:
+    """The ids of a text, then id 0, in 16 bits each where the vocabulary allows it, else in 32."""
     bpe = encoder(ranks, pattern)
-    ids = array("H", bpe.encode(text, allowed_special="all") if SPECIAL in (text or "") else bpe.encode_ordinary(text or ""))
-    ids.append(0)
-    return ids
+    ids = bpe.encode(text, allowed_special="all") if SPECIAL in (text or "") else bpe.encode_ordinary(text or "")
+    return np.array([*ids, 0], "<u2" if bpe.n_vocab <= 1 << 16 else "<u4")
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str, ranks: str, pattern: str) -> DataFrame:
-    """(row_id, doc_id, source, n, ids) of each row, as a table in the shared folder; row_id tells equal rows apart."""
+    """(row_id, doc_id, source, n, ids, mark) of each row, as a table in the shared folder. mark is a hash of id and tokens, which
+    gives the order; row_id only tells equal rows apart."""
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -50,58 +51,123 @@ def tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str, ranks:
                 yield pd.DataFrame({"row_id": part["row_id"], "doc_id": part["doc_id"], "source": part["source"], "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
 
     narrow = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    return keep(narrow.mapInPandas(rows, "row_id long, doc_id long, source string, n long, ids binary"), "pack-tokens")
+    found = narrow.mapInPandas(rows, "row_id long, doc_id long, source string, n long, ids binary")
+    return keep(found.withColumn("mark", F.xxhash64("doc_id", "ids")), "pack-tokens")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: Column | None = None, window: int = 1024, ranks: str | None = None, pattern: str | None = None, buckets: int = 1024, block_tokens: int = 1 << 22) -> DataFrame:
+def queues(sizes: list[tuple[str | None, int]], rest: int, shares: dict[str | None, float] | None, window: int) -> tuple[dict[str | None, int], list[tuple]]:
+    """(queue of each source, phases): how the tokens of sources (with those of all others together) make windows.
+
+    A phase (queue, from_queue, low, high, first, length) is a stretch of `length` tokens of the output that begins at `first`, in
+    which a queue gives its tokens from from_queue on, high - low of them; low is what the queues before it give. Target
+    proportions stay the same in a phase; it ends where a queue with more than its share of what is left runs dry.
+    Queues that would give less than two tokens a window are joined to the ones before them.
+    """
+    named, amounts, parts, places = [], [], [], {}
+    for source, n in [*sizes, (None, rest)]:
+        if n:
+            named.append(source), amounts.append(n)
+            parts.append(n if shares is None else shares.get(source, 0.0))
+    total = sum(amounts)
+    if shares is not None and min(parts, default=1) <= 0:
+        raise ValueError("shares must be positive for each source that has one, and for None: all others")
+    merged: list[list] = []
+    rest_of = sum(parts)
+    for i in range(len(named)):
+        # With two tokens a window or more, rounding leaves each queue no less than none in any.
+        small = merged and (merged[-1][1] * window < 2 * sum(parts) or rest_of * window < 2 * sum(parts))
+        if small:
+            merged[-1][0] += amounts[i]
+            merged[-1][1] += parts[i]
+        else:
+            merged.append([amounts[i], parts[i]])
+        rest_of -= parts[i]
+        places[i] = len(merged) - 1
+    of = {source: places[i] for i, source in enumerate(named[: len(named) - (rest > 0)])}
+    left, at, phases = [m[0] for m in merged], 0, []
+    while any(left):
+        live = [q for q, n in enumerate(left) if n]
+        weight = sum(merged[q][1] for q in live)
+        # The first queue to run dry sets the length; the others give their share, rounded down, and all when all end together.
+        length = min(Fraction(left[q]) * Fraction(weight) / Fraction(merged[q][1]) for q in live)
+        gives = {q: min(left[q], int(length * Fraction(merged[q][1]) / Fraction(weight))) for q in live}
+        low = 0
+        for q in live:
+            phases.append((q, merged[q][0] - left[q], low, low + gives[q], at, sum(gives.values())))
+            low += gives[q]
+            left[q] -= gives[q]
+        at += low
+    assert at == total
+    return of | {OTHERS: places.get(len(named) - 1, 0)}, phases
+
+
+def cuts(phases: list[tuple], ahead: int, n: int, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, length, sequence, offset) of each piece of a document with `ahead` tokens before it in its queue.
+
+    After h tokens of a phase the queue has given floor(high * h / length) - floor(low * h / length): the balance of its deficit
+    counter in closed form, so no state walks through the windows. Queues stand in their order in a window.
+    """
+    at, end = ahead, ahead + n
+    for _, base, low, high, first, length in phases:
+        while base <= at < min(end, base + high - low):
+            # The window in which the queue's next token lies: a first guess at most two off.
+            sequence = max(first // window, (first + (at - base) * length // (high - low)) // window - 2)
+            while True:
+                h0, h1 = max(0, sequence * window - first), min(length, (sequence + 1) * window - first)
+                had, has = high * h0 // length - low * h0 // length, high * h1 // length - low * h1 // length
+                while has > at - base:
+                    stop = min(end, base + has)
+                    yield at - ahead, stop - at, sequence, max(0, first - sequence * window) + low * h1 // length - low * h0 // length + at - base - had
+                    at = stop
+                    break
+                if at >= min(end, base + high - low):
+                    break
+                sequence += 1
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shares: dict[str | None, float] | None = None, window: int = 1024, ranks: str | None = None, pattern: str | None = None, bucket_rows: int = 4096) -> DataFrame:
     """Returns the pieces of all documents in sequences of window tokens.
 
-    Each source is a queue of its documents in an order given by hashes, cut into packets of at most window tokens. In
-    each round of deficit round-robin a source earns window times its target proportion and sends packets while its
-    balance lasts; what is left carries over. A source's balance after any round follows from how far its queue has
-    come, so the round of a packet is ceil(queue end / earnings a round), whatever partition holds it: no state has to
-    walk through the data. Packets in the order (round, source, queue) are laid end to end and cut every window tokens;
-    only the last sequence is short. share is the target proportion of a row's source (a column over `source`); None
-    gives each source its part of all tokens, so that all queues last equally long. With other shares, rounds after a
-    queue has run dry are filled by the rest.
-
-    A null or empty text is the one id 0; each row, repeated ones too, is packed once. Positions are sums of lengths by
-    bucket of a queue and by block of rounds; token ids move once, to be cut.
+    Each source is a queue of its documents in an order given by hashes of id and tokens. Deficit round-robin fills every
+    window to the target token proportions: each queue earns its share of a window, gives whole tokens and carries the
+    fraction over to the next, also from one partition to another, as a balance follows from the place in the queue alone
+    (see cuts). So a window departs from the proportions by less than two tokens a source; only the last one is short.
+    shares gives the target proportion of each source named and, under None, of all others together; where a queue runs
+    dry the others share what is left. Without shares each source has its part of all tokens, so that all queues last
+    equally long. Sources under two tokens a window are one queue. At most window / 2 queues come to the driver.
+
+    The ids are those of `byte_bpe_50k.json` in the library tokenizers without special tokens; they are computed by
+    tiktoken from the rank file of the same vocabulary, which is faster (tests compare both). A null or empty text is the
+    one id 0; a text of any length is one row, cut wherever windows end; each row, repeated ones too, is packed once; rows with a null source
+    are a queue, too. An empty table gives no pieces. Further columns of docs play no part. Token ids move once, to be cut.
     """
     import public_tokenizers
 
     held = tokens(docs, id_col, text_col, source_col, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
-    per = held.groupBy("source").agg(F.sum("n").alias("source_n")).withColumn("all_n", F.sum("source_n").over(w.Window.partitionBy()))
-    natural = F.col("source_n") / F.col("all_n")
-    per = per.select(F.col("source").alias("of"), "all_n", (natural if share is None else share).alias("share"))
-    order = F.xxhash64("row_id", "doc_id")
-    lengths = held.select("row_id", "source", "n", order.alias("mark"), F.pmod(order, F.lit(buckets)).alias("bucket"))
-    queued = running_sum(lengths, ["source"], "bucket", ["mark", "row_id"], "n", "ahead")
-    queued = queued.join(per, F.col("source").eqNullSafe(F.col("of")))
-    packets = queued.select("row_id", "source", "ahead", "n", "share", "all_n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(window))).alias("start"))
-    packets = packets.withColumn("length", F.least(F.lit(window), F.col("n") - F.col("start")))
-    ends = F.col("ahead") + F.col("start") + F.col("length")
-    packets = packets.withColumn("turn", F.ceil(ends / (F.col("share") * window)))
-    # Blocks of turns hold block_tokens each, more only beyond 65,536 blocks.
-    turns = F.greatest(F.lit(block_tokens), F.ceil(F.col("all_n") / 65536)) / window
-    packets = packets.select("row_id", "source", "start", "length", "turn", ends.alias("ends"), F.floor(F.col("turn") / turns).alias("block"), F.lit(0).alias("one"))
-    placed = running_sum(packets, ["one"], "block", ["turn", F.asc_nulls_last("source"), "ends", "row_id"], "length", "at")
-    first = F.least(F.col("length"), window - F.col("at") % window)
-
-    def piece(start: Column, length: Column, at: Column) -> Column:
-        return F.struct(start.alias("start"), length.alias("length"), F.floor(at / window).alias("sequence_id"), (at % window).alias("offset"))
-
-    cut = F.array(piece(F.col("start"), first, F.col("at")), piece(F.col("start") + first, F.col("length") - first, F.col("at") + first))
-    pieces = placed.groupBy("row_id").agg(F.flatten(F.collect_list(F.filter(cut, lambda x: x["length"] > 0))).alias("pieces"))
-
-    def sums(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = F.array(*[F.lit(x) for x in shares if x is not None]).cast("array<string>") if shares is not None else None
+    per = held.groupBy("source").agg(F.sum("n").alias("tokens"))
+    total = per.agg(F.sum("tokens")).first()[0] or 0
+    # At most window / 2 sources can have two tokens in each window.
+    large = per.where(F.col("tokens") * window >= 2 * total) if known is None else per.where(F.array_contains(known, F.col("source")))
+    sizes = sorted(((r["source"], r["tokens"]) for r in large.collect()), key=lambda x: (x[0] is None, x[0] or ""))
+    of, phases = queues(sizes, total - sum(n for _, n in sizes), shares, window)
+    by_queue = {q: [p for p in phases if p[0] == q] for q in set(of.values())}
+    others = of.pop(OTHERS)
+    named = F.create_map(*[F.lit(x) for kv in of.items() if kv[0] is not None for x in kv]) if any(x is not None for x in of) else F.create_map().cast("map<string,int>")
+    queue = F.when(F.col("source").isNull(), F.lit(of.get(None, others))).otherwise(F.coalesce(F.try_element_at(named, F.col("source")), F.lit(others)))
+    buckets = max(1, -(-held.count() // bucket_rows))
+    lengths = held.select("row_id", "doc_id", queue.alias("queue"), "n", "mark", F.pmod(F.col("mark"), F.lit(buckets)).alias("bucket"))
+    queued = running_sum(lengths, ["queue"], "bucket", ["mark", "doc_id", "row_id"], "n", "ahead").select("row_id", "queue", "ahead")
+
+    def pieces(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: list[tuple] = []
-            for doc, source, n, raw, cuts in zip(b["doc_id"], b["source"], b["n"], b["ids"], b["pieces"], strict=True):
-                ids = np.frombuffer(raw, "<u2").astype("<u4")
-                out += [(doc, c["start"], c["length"], zlib.crc32(ids[c["start"] : c["start"] + c["length"]].tobytes()), n, c["sequence_id"], c["offset"], source) for c in cuts]
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
-
-    return held.join(pieces, "row_id").select("doc_id", "source", "n", "ids", "pieces").mapInPandas(sums, PIECES)
+            for at in range(0, len(b), 256):
+                out: list[tuple] = []
+                for doc, source, n, raw, q, ahead in b.iloc[at : at + 256][["doc_id", "source", "n", "ids", "queue", "ahead"]].itertuples(index=False):
+                    ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
+                    out += [(doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), n, sequence, offset, source) for start, length, sequence, offset in cuts(by_queue[q], int(ahead), int(n), window)]
+                frame = pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+                frame["doc_id"] = frame["doc_id"].astype("Int64")
+                yield frame
+
+    return held.join(queued, "row_id").select("doc_id", "source", "n", "ids", "queue", "ahead").mapInPandas(pieces, PIECES)

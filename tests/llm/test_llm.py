@@ -140,9 +140,53 @@ def test_packing(spark):
         assert p["length"].sum() == len(ids) and (p["doc_tokens"] == len(ids)).all()
         for x in p.itertuples():
             assert zlib.crc32(ids[x.start : x.start + x.length].tobytes()) == x.ids_crc32
-    s = got.sort_values(["sequence_id", "offset"])
+    gapless(got, 1024)
+    # The order follows from contents: another split of the input gives the same pieces.
+    again = packing.pack(frame(spark, every).repartition(5)).toPandas()
+    assert sorted(map(tuple, got.fillna("~").to_numpy())) == sorted(map(tuple, again.fillna("~").to_numpy()))
+    twice = packing.pack(frame(spark, every[:3]).unionByName(frame(spark, every[:3]))).toPandas()
+    assert twice["length"].sum() == 2 * got[got["doc_id"] < 3]["length"].sum()
+    gapless(twice, 1024)
+    assert packing.pack(frame(spark, every).where("false")).count() == 0
+
+
+def gapless(pieces, window):
+    s = pieces.sort_values(["sequence_id", "offset"])
     ends = s.groupby("sequence_id")["length"].cumsum()
-    assert (s["offset"] == ends - s["length"]).all() and (s.groupby("sequence_id")["length"].sum() < 1024).sum() <= 1
+    assert (s["offset"] == ends - s["length"]).all() and (s["length"] > 0).all()
+    full = s.groupby("sequence_id")["length"].sum()
+    assert (full.sort_index().iloc[:-1] == window).all() and full.max() <= window
+
+
+def test_packing_fills_windows_to_proportions(spark):
+    docs = frame(spark, [prose(300 + i, 40 + 37 * (i % 11)) for i in range(90)], sources=("a", "a", "a", "b", "b", None))
+    for shares in (None, {"a": 0.3, "b": 0.5, None: 0.2}):
+        got = packing.pack(docs, shares=shares).toPandas()
+        gapless(got, 1024)
+        by = got.assign(source=got["source"].fillna("~")).pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
+        want = by.sum() / by.to_numpy().sum() if shares is None else np.array([0.3, 0.5, 0.2])
+        inside = by.iloc[:-1] if shares is None else by.iloc[: int(by["b"].sum() / 512)]
+        assert len(inside) > 5 and (abs(inside - want * 1024) < 2).to_numpy().all()
+
+
+@pytest.mark.parametrize("sizes, rest, shares", [([("a", 5000), ("b", 700), ("c", 12345), (None, 3)], 0, None), ([("a", 500), ("b", 70), ("c", 3345)], 77, {"a": 0.5, "b": 0.25, "c": 0.2, None: 0.05}), ([(str(i), 3 + i % 7) for i in range(300)], 0, None), ([], 10, None)])
+def test_packing_queues(sizes, rest, shares):
+    of, phases = packing.queues(sizes, rest, shares, 64)
+    total, r = {}, np.random.default_rng(0)
+    for s, n in [*sizes, (packing.OTHERS, rest)]:
+        total[of[s]] = total.get(of[s], 0) + n
+    met = np.zeros(sum(total.values()), int)
+    for q, n in total.items():
+        at = 0
+        while at < n:
+            k, done = min(n - at, int(r.integers(1, 300))), 0
+            for start, length, sequence, offset in packing.cuts([p for p in phases if p[0] == q], at, k, 64):
+                assert start == done and offset + length <= 64
+                done += length
+                met[sequence * 64 + offset :][:length] += 1
+            assert done == k
+            at += k
+    assert (met == 1).all()
 
 
 def test_language(spark):
