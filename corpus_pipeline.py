@@ -33,13 +33,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents none to three times, so that sources come near their target words; rows that share id, source and
-    number of words are all taken as often as the one taken most."""
+    """Takes documents none to three times, so that sources come near their target words; long ones are preferred by the root
+    of their words. Texts without words are taken no times."""
     words = word_count(F.col("text"))
-    mixed = mixing.mix(docs, "doc_id", "source", words).where("copies > 0")
-    times = mixed.groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").cast("int").alias("__copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (words == F.col("__size"))
-    return docs.join(times, same).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
+    return mixing.mixed_rows(docs, "doc_id", "source", words, preference=mixing.root_of(words))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
