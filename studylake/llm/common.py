@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,27 +110,32 @@ def uniform(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str, fan: int = 1024) -> DataFrame:
     """Adds the sum of value over the rows of the group that come before a row in the order (bucket, *order).
 
-    Only sums of (group, bucket) meet in one place; the rows themselves are sorted bucket by bucket, so a hot group is
-    spread over its buckets. Nulls in group match each other.
+    The rows are sorted bucket by bucket, the buckets' sums `fan` at a time; only sums of (group, fan buckets) meet in
+    one place, so a hot group is spread over its buckets. Nulls in group match each other. bucket is an integer.
     """
-    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("__sum"))
-    before = w.Window.partitionBy(*group).orderBy(bucket).rowsBetween(w.Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-    sums = sums.select(*[F.col(c).alias(f"__{c}") for c in (*group, bucket)], "__before")
-    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*group, bucket)]
+    total, ahead, many, many_ahead, *keys = unused(df.columns, "sum", "ahead", "many", "many_ahead", *[f"of_{c}" for c in (*group, bucket)])
+    before = w.Window.rowsBetween(w.Window.unboundedPreceding, -1)
+    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias(total)).withColumn(many, F.floor(F.col(bucket) / fan))
+    inner = F.coalesce(F.sum(total).over(before.partitionBy(*group, many).orderBy(bucket)), F.lit(0))
+    outer = F.coalesce(F.sum(total).over(before.partitionBy(*group).orderBy(many)), F.lit(0))
+    large = sums.groupBy(*group, many).agg(F.sum(total).alias(total)).select(*[F.col(c).alias(k) for c, k in zip((*group, many), keys, strict=True)], outer.alias(many_ahead))
+    sums = sums.withColumn(ahead, inner).join(large, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip((*group, many), keys, strict=True)])
+    sums = sums.select(*[F.col(c).alias(f"{k}_") for c, k in zip((*group, bucket), keys, strict=True)], (F.col(ahead) + F.col(many_ahead)).alias(ahead))
     inside = w.Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(w.Window.unboundedPreceding, 0)
-    joined = df.join(sums, on)
-    return joined.withColumn(out, F.col("__before") + F.sum(value).over(inside) - F.col(value)).drop("__before", *[f"__{c}" for c in (*group, bucket)])
+    joined = df.join(sums, [F.col(c).eqNullSafe(F.col(f"{k}_")) for c, k in zip((*group, bucket), keys, strict=True)])
+    return joined.withColumn(out, F.col(ahead) + F.sum(value).over(inside) - F.col(value)).drop(ahead, *[f"{k}_" for k in keys])
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """Connected components of edges (a, b): a row (node, component) for each node, component being its smallest node.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): a row (node, component) for each node, component being its smallest node; a
+    table in the shared folder.
 
-    Alternates large-star and small-star steps: each step links a node's neighbours to the smallest of them, so an edge
-    list stays an edge list and no component is ever gathered. Every step is a table in the shared folder.
+    Alternates large-star and small-star steps until nothing changes: each step links a node's neighbours to the
+    smallest of them, so an edge list stays an edge list and no component is ever gathered. Every step is a table in
+    the shared folder, of which only the last two are held.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -152,17 +158,78 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     now = keep(edges.select("a", "b").where("a <> b").distinct(), "edges")
     seen = digest(now)
-    for _ in range(rounds):
+    was = None
+    while seen != was and seen[0]:
         then = keep(star(star(now, True), False), "edges")
         forget(now)
         now, was = then, seen
         seen = digest(now)
-        if seen == was or seen[0] == 0:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return out.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = keep(out.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    forget(now)
+    return out
+
+
+def first_units(members: DataFrame, room: int) -> DataFrame:
+    """(unit, side, group, member) of groups (group, n, member), n being a group's members: each group in parts of about room
+    members, dealt by a hash, with the group's first member in each part."""
+    n = F.ceil(F.col("n") / room).cast("int")
+    own = F.pmod(F.xxhash64("member"), n).cast("int")
+    parts = members.select(F.xxhash64("group", own).alias("unit"), F.lit(0).alias("side"), "group", "member")
+    heads = members.where(F.col("n") > room).groupBy("group", "n").agg(F.min("member").alias("member"))
+    heads = heads.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).where("part <> own")
+    return parts.unionByName(heads.select(F.xxhash64("group", "part").alias("unit"), F.lit(0).alias("side"), "group", "member"))
+
+
+def more_units(members: DataFrame, room: int) -> DataFrame:
+    """(unit, side, group, member, comp) of groups (group, n, member, comp) that have members of several components.
+
+    In these units each two members of one group and different components meet, for units with two sides those of
+    different sides. A group of at most room members is one unit. Of a larger one the largest component's parts of about
+    room members meet all parts of the rest, and the parts of the rest each other; so what the first units have joined
+    costs no pairs of parts.
+    """
+    sizes = members.groupBy("group", "comp").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("group").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("total")).where("top.c < total")
+    tops, rests = F.ceil(F.col("top.c") / room).cast("int"), F.ceil((F.col("total") - F.col("top.c")) / room).cast("int")
+    dealt = join_spread(members, most.select("group", F.col("top.comp").alias("top"), "total", tops.alias("tops"), rests.alias("rests")), ["group"], "total", "member")
+    small, large = dealt.where(F.col("total") <= room), dealt.where(F.col("total") > room)
+
+    def part(count: str) -> Column:
+        return F.pmod(F.xxhash64("member", F.lit(1)), F.col(count)).cast("int")
+
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    def units(rows: DataFrame, side: Column, *name: Column) -> DataFrame:
+        return rows.select(F.xxhash64("group", *name).alias("unit"), side.cast("int").alias("side"), "group", "member", "comp")
+
+    inside = large.where("comp = top").withColumn("i", part("tops")).withColumn("j", each("rests"))
+    rest = large.where("comp <> top").withColumn("own", part("rests"))
+    pairs = rest.withColumn("other", each("rests"))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    # A unit of one part with itself has one side.
+    among = units(pairs, F.when(F.col("own") == F.col("other"), 0).otherwise(F.col("own")), F.lit(2), i, j)
+    across = units(inside, F.lit(0), F.lit(1), F.col("i"), F.col("j")).unionByName(units(rest.withColumn("i", each("tops")), F.lit(1), F.lit(1), F.col("i"), F.col("own")))
+    return units(small, F.lit(0), F.lit(0)).unionByName(across).unionByName(among)
+
+
+def by_unit(units: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """solve applied to frames that hold whole units; a unit's rows are consecutive but may go on in the next Arrow batch."""
+
+    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            rest = b if rest is None or not len(rest) else pd.concat([rest, b], ignore_index=True)
+            if len(rest):
+                last = rest["unit"].to_numpy() == rest["unit"].iloc[-1]
+                yield solve(rest[~last])
+                rest = rest[last]
+        if rest is not None and len(rest):
+            yield solve(rest)
+
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(parts, "unit").sortWithinPartitions("unit").mapInPandas(rows, schema)
 
 
 def spot(c: str, bits: int) -> Column:

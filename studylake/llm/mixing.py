@@ -56,7 +56,7 @@ def _expected(scale: Column, worth: Column, most: int) -> Column:
     return F.when(F.abs(found - F.round(found)) < 1e-9, F.round(found)).otherwise(found)
 
 
-def mix(docs: DataFrame, id_col: str, source_col: str, size: Column, preference: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 7, fills: int = 3, bucket_rows: int = 2_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, id_col: str, source_col: str, size: Column, preference: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 7, fills: int = 3, bucket_rows: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
     """Returns (id, source, size, source_size, target, copies) for each row of docs: how often the mix takes it whole.
 
     A document's expected copies are its preference (positive; 1 where it is null or not given; in steps of an eighth of

@@ -125,7 +125,7 @@ def cuts(phases: list[tuple], ahead: int, n: int, window: int) -> Iterator[tuple
                 sequence += 1
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shares: dict[str | None, float] | None = None, window: int = 1024, ranks: str | None = None, pattern: str | None = None, bucket_rows: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shares: dict[str | None, float] | None = None, window: int = 1024, ranks: str | None = None, pattern: str | None = None, bucket_rows: int = 256) -> DataFrame:
     """Returns the pieces of all documents in sequences of window tokens.
 
     Each source is a queue of its documents in an order given by hashes of id and tokens. Deficit round-robin fills every
