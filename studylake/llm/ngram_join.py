@@ -5,9 +5,11 @@ searched in two steps that lose no pair:
 
 * Cells. In one global order of all shingles, two linked texts share one of their first n - ceil(percent * n / 100) + 1
   shingles. Each of those is a cell that holds the points of its texts. The order puts shingles last that fall into a
-  much-used bucket of a fixed-size count table, so that common passages hardly make cells.
-* A packed R-tree in each cell. A node's box is the largest count of each group and the smallest size below it; the
-  summed minima of two boxes bound the overlap of any pair below them, and those of two points bound that pair's.
+  much-used bucket of a count table, so that common passages hardly make cells.
+* A packed R-tree in each cell, of leaves and nodes of nodes, that is descended by pairs of nodes. A node's box is the
+  largest count of each group and the smallest size below it; the summed minima of two boxes bound the overlap of any
+  pair below them, and those of two points bound that pair's. A cell of over `room` points is met in parts: in the first
+  round each part with the cell's first point alone, later those parts of it that are not yet one component.
 
 Pairs that the bound leaves are verified on the whole sets. So that a group of near copies is never spelt out as all its
 pairs, the first round takes for each text only the first of its bounded partners in one random order, the second its
@@ -18,6 +20,7 @@ implied by a path of verified links.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,33 +29,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
 from studylake.llm import shingles as sh
-from studylake.llm.common import components, forget, id_bitmap, in_bitmap, keep, spot
+from studylake.llm.common import by_unit, components, first_units, forget, id_bitmap, in_bitmap, join_spread, keep, more_units, spot
 
-#: Buckets of the table of shingle counts; groups of a short text's count vector; shingles a group of longer ones; points of a leaf.
-TABLE, GROUPS, FILL, LEAF = 1 << 15, 64, 8, 32
+#: Smallest and largest table of shingle counts, counts in a row of it; groups of a short text's count vector; shingles a
+#: group of longer ones; points of a leaf, and nodes of a node; pairs that are bounded at once.
+TABLE, CHUNK, GROUPS, FILL, LEAF, FAN, STEP = (1 << 15, 1 << 20), 1 << 10, 64, 8, 16, 8, 1 << 15
 
 
-def bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(49)).astype(np.int64)
+def bucket(s: np.ndarray, size: int) -> np.ndarray:
+    """Place in a table of a power of two of counts."""
+    return (s >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def count_table(texts: DataFrame, k: int) -> np.ndarray:
-    """How many shingles of all texts fall into each bucket: TABLE numbers, whatever the input's size."""
+    """How many shingles of all texts fall into each bucket: about four times as many buckets as texts, up to a bound that
+    suits a broadcast."""
+    size = min(TABLE[1], max(TABLE[0], 1 << (2 * texts.count()).bit_length()))
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(TABLE, np.int64)
+        total = np.zeros(size, np.int32)
         for b in batches:
             for _, raws in sh.parts(b["text"]):
-                for s in sh.sets(raws, k):
-                    np.add.at(total, bucket(s), 1)
-        if total.any():
-            yield pd.DataFrame({"counts": [total]})
-
-    parts = texts.mapInPandas(rows, "counts array<long>").select(F.posexplode("counts").alias("bucket", "n"))
-    out = np.zeros(TABLE, np.int64)
-    for b, n in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[b] = n
-    return out
+                every = list(sh.sets(raws, k))
+                total += np.bincount(bucket(np.concatenate(every), size), minlength=size).astype(np.int32)
+        chunks = total.reshape(-1, CHUNK)
+        some = np.flatnonzero(chunks.any(axis=1))
+        yield pd.DataFrame({"chunk": some.astype(np.int32), "counts": [chunks[i].tobytes() for i in some]})
+
+    def added(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, raw in zip(b["chunk"], b["counts"], strict=True):
+                more = np.frombuffer(raw, np.int32)
+                total[i] = total[i] + more if i in total else more.astype(np.int64)
+        yield pd.DataFrame({"chunk": np.array(list(total), np.int32), "counts": [x.tobytes() for x in total.values()]})
+
+    out = np.zeros(size, np.int64).reshape(-1, CHUNK)
+    for i, raw in texts.mapInPandas(rows, "chunk int, counts binary").repartition("chunk").mapInPandas(added, "chunk int, counts binary").collect():
+        out[i] = np.frombuffer(raw, np.int64)
+    return out.ravel()
 
 
 def point(s: np.ndarray) -> bytes:
@@ -75,7 +90,7 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
 
 def features(texts: DataFrame, k: int, percent: int, table: np.ndarray) -> DataFrame:
     """(row, id, n, s1, s2, cells, counts) of each text: size and hash of its set, the first shingles in order, its point."""
-    place = np.argsort(np.argsort(table, kind="stable"), kind="stable")
+    place, size = np.argsort(np.argsort(table, kind="stable"), kind="stable").astype(np.int32), len(table)
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -84,7 +99,7 @@ def features(texts: DataFrame, k: int, percent: int, table: np.ndarray) -> DataF
                 for s in sh.sets(raws, k):
                     n = len(s)
                     few = n - (percent * n + 99) // 100 + 1 if n else 0
-                    order = np.argsort(place[bucket(s)], kind="stable")[:few]  # ties keep the order of the hashes
+                    order = np.argsort(place[bucket(s, size)], kind="stable")[:few]  # ties keep the order of the hashes
                     out["n"].append(n), out["cells"].append(s[order].view(np.int64)), out["counts"].append(point(s))
                     out["s1"].append(int(s.sum(dtype=np.uint64).view(np.int64))), out["s2"].append(int(sh.mix(s).sum(dtype=np.uint64).view(np.int64)))
                 yield pd.DataFrame({c: b[c].iloc[first : first + len(raws)].reset_index(drop=True) for c in ("row", "id")} | out)
@@ -93,41 +108,91 @@ def features(texts: DataFrame, k: int, percent: int, table: np.ndarray) -> DataF
     return numbered.mapInPandas(rows, "row long, id long, n long, s1 long, s2 long, cells array<long>, counts binary")
 
 
-def tree_pairs(n: np.ndarray, long: list[np.ndarray], side: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(p, q, bound): places of the pairs of points whose bound allows a link, in different components and (where both
-    sides occur) of different sides, each once. bound is the shared part of both sizes at most."""
-    counts = np.stack([folded(x, GROUPS) for x in long])
-    order = np.lexsort((counts.argmax(axis=1), n))
-    leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-    box = np.stack([counts[x].max(axis=0) for x in leaves])
-    least = np.array([n[x].min() for x in leaves])
-    most = np.array([n[x].max() for x in leaves])
-    two = len(np.unique(side)) > 1
-    found = [np.zeros((0, 3))]
-    for i, a in enumerate(leaves):
-        js = np.arange(i, len(leaves))
-        if len(leaves) > 1:
-            js = js[100 * most[i] >= percent * least[js]]
-            js = js[np.minimum(box[i], box[js]).sum(axis=1) * (100 + percent) >= percent * (least[i] + least[js])]
-        for j in js:
-            b = leaves[j]
-            ok = (comp[a][:, None] != comp[b]) & (100 * np.minimum(n[a][:, None], n[b]) >= percent * np.maximum(n[a][:, None], n[b]))
-            if two:
-                ok &= side[a][:, None] != side[b]
-            if i == j:
-                ok = np.triu(ok, 1)
-            p, q = np.nonzero(ok)
-            if not len(p):
-                continue
-            p, q = a[p], b[q]
-            fit = np.minimum(counts[p], counts[q]).sum(axis=1) * (100 + percent) >= percent * (n[p] + n[q])
-            p, q = p[fit], q[fit]
-            shared = np.array([np.minimum(x, y).sum() for x, y in ((folded(long[u], g), folded(long[v], g)) for u, v in zip(p, q, strict=True) for g in [min(len(long[u]), len(long[v]))])])
-            fit = shared * (100 + percent) >= percent * (n[p] + n[q]) if len(p) else fit[:0]
-            if fit.any():
-                found.append(np.stack([p[fit], q[fit], shared[fit] / (n[p] + n[q])[fit]], axis=1))
-    every = np.concatenate(found)
-    return every[:, 0].astype(int), every[:, 1].astype(int), every[:, 2]
+class Points:
+    """The points of a frame of units, with what bounds the overlap of two of them."""
+
+    def __init__(self, n: np.ndarray, raws: list[bytes], comp: np.ndarray, side: np.ndarray, percent: int):
+        self.n, self.comp, self.side, self.percent = n, comp, side, percent
+        self.long = [counted(x) for x in raws]
+        counts = np.stack([folded(x, GROUPS) for x in self.long])
+        self.counts = counts.astype(np.uint16) if counts.max(initial=0) < 1 << 16 else counts
+        self.groups = np.array([len(x) for x in self.long])
+
+    def bounded(self, p: np.ndarray, q: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of places those that may link: of different components and (where two is set) of different sides; with
+        the bound on the shared part of both sizes."""
+        n, found = self.n, [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        ok = (self.comp[p] != self.comp[q]) & (~two | (self.side[p] != self.side[q]))
+        ok &= 100 * np.minimum(n[p], n[q]) >= self.percent * np.maximum(n[p], n[q])
+        p, q = p[ok], q[ok]
+        for i in range(0, len(p), STEP):
+            x, y = p[i : i + STEP], q[i : i + STEP]
+            shared = np.minimum(self.counts[x], self.counts[y]).sum(axis=1, dtype=np.int64)
+            fit = shared * (100 + self.percent) >= self.percent * (n[x] + n[y])
+            x, y, shared = x[fit], y[fit], shared[fit]
+            for j in np.flatnonzero(np.minimum(self.groups[x], self.groups[y]) > GROUPS):
+                u, v = self.long[x[j]], self.long[y[j]]
+                groups = min(len(u), len(v))
+                shared[j] = np.minimum(folded(u, groups), folded(v, groups)).sum()
+            fit = shared * (100 + self.percent) >= self.percent * (n[x] + n[y])
+            found.append((x[fit], y[fit], shared[fit] / (n[x[fit]] + n[y[fit]])))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def tree_pairs(points: Points, first: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bounded() for the pairs of the points of one unit, found by descending a packed R-tree with itself.
+
+    Points are packed in slabs of about equal size, in a slab by their fullest group, LEAF to a leaf and FAN nodes to a
+    node. A node's box is the largest count of each group, the smallest and the largest size below it; two nodes are
+    opened if their sizes are near enough and the summed minima of their boxes reach what a link of the smallest needs.
+    """
+    n, counts, percent = points.n[first:end], points.counts[first:end], points.percent
+    order = np.argsort(n, kind="stable")
+    slab = LEAF * max(1, round((len(order) / LEAF) ** 0.5))
+    order = order[np.lexsort((counts.argmax(axis=1)[order], np.arange(len(order)) // slab))]
+    starts = np.arange(0, len(order), LEAF)
+    levels = [(np.maximum.reduceat(counts[order], starts), np.minimum.reduceat(n[order], starts), np.maximum.reduceat(n[order], starts))]
+    while len(levels[-1][0]) > 1:
+        box, least, most = levels[-1]
+        starts = np.arange(0, len(box), FAN)
+        levels.append((np.maximum.reduceat(box, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts)))
+    a = b = np.zeros(1, int)
+    for box, least, most in levels[-2::-1]:
+        a, b = (a[:, None, None] * FAN + np.arange(FAN)[:, None] + 0 * np.arange(FAN)).ravel(), (b[:, None, None] * FAN + np.arange(FAN) + 0 * np.arange(FAN)[:, None]).ravel()
+        ok = (a <= b) & (b < len(box))
+        a, b = a[ok], b[ok]
+        ok = (100 * most[a] >= percent * least[b]) & (100 * most[b] >= percent * least[a])
+        a, b = a[ok], b[ok]
+        near = [np.minimum(box[a[i : i + STEP]], box[b[i : i + STEP]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), STEP)]
+        ok = np.concatenate([*near, np.zeros(0, np.int64)]) * (100 + percent) >= percent * (least[a] + least[b])
+        a, b = a[ok], b[ok]
+    leaves = np.append(order, np.full(-len(order) % LEAF, -1)).reshape(-1, LEAF)
+    one_side = points.side[first:end].min() == points.side[first:end].max()
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    place = np.arange(LEAF)
+    for i in range(0, len(a), STEP // LEAF**2):
+        x, y = a[i : i + STEP // LEAF**2, None, None], b[i : i + STEP // LEAF**2, None, None]
+        p, q = leaves[x, place[:, None]] + 0 * place, leaves[y, place] + 0 * place[:, None]
+        ok = (p >= 0) & (q >= 0) & ((x != y) | (place[:, None] < place))
+        found.append(points.bounded(p[ok] + first, q[ok] + first, np.full(int(ok.sum()), not one_side)))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def unit_pairs(points: Points, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bounded() for the pairs of each unit (rows of a unit are consecutive): small units, of a leaf, together, others by trees."""
+    edges = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
+    first, size = edges[:-1], np.diff(edges)
+    low, high = np.minimum.reduceat(points.side, first), np.maximum.reduceat(points.side, first)
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    for m in range(2, LEAF + 1):
+        at = np.flatnonzero(size == m)
+        i, j = np.triu_indices(m, 1)
+        step = max(1, STEP // len(i))
+        for some in (at[x : x + step] for x in range(0, len(at), step)):
+            two = np.repeat(low[some] != high[some], len(i))
+            found.append(points.bounded((first[some][:, None] + i).ravel(), (first[some][:, None] + j).ravel(), two))
+    found += [tree_pairs(points, int(first[k]), int(edges[k + 1])) for k in np.flatnonzero(size > LEAF) if points.comp[first[k] : edges[k + 1]].min() != points.comp[first[k] : edges[k + 1]].max()]
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def bounded_pairs(units: DataFrame, percent: int, mode: str) -> DataFrame:
@@ -138,46 +203,25 @@ def bounded_pairs(units: DataFrame, percent: int, mode: str) -> DataFrame:
     "best": the one with the best bound; "every": all.
     """
 
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:  # a unit's rows are consecutive but may go on in the next batch
-            held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
-            if len(held):
-                last = held["unit"].to_numpy() == held["unit"].iloc[-1]
-                yield solve(held[~last])
-                held = held[last]
-        if held is not None and len(held):
-            yield solve(held)
-
     def solve(b: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((0, 2), np.int64)]
-        scores = [np.zeros(0)]
-        if len(b):
-            unit, doc, n, comp, side = (b[c].to_numpy() for c in ("unit", "doc", "n", "comp", "side"))
-            long = [counted(x) for x in b["counts"]]
+        if len(b) < 2:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})
+        doc = b["doc"].to_numpy()
+        points = Points(b["n"].to_numpy(), b["counts"].to_list(), b["comp"].to_numpy(), b["side"].to_numpy(), percent)
+        p, q, bound = unit_pairs(points, b["unit"].to_numpy())
+        if mode == "every":
+            # A pair that shares several cells is given by the first of them alone.
             cell, cells = b["cell"].to_numpy(), b["cells"].to_list()
-            edges = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(b)]])
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if comp[s:e].min() != comp[s:e].max():
-                    d = doc[s:e]
-                    p, q, bound = tree_pairs(n[s:e], long[s:e], side[s:e], comp[s:e], percent)
-                    if mode == "every":
-                        # A pair that shares several cells is given by the first of them alone.
-                        once = np.array([min(set(cells[s + i]) & set(cells[s + j])) == cell[s] for i, j in zip(p, q, strict=True)], bool)
-                        p, q, bound = p[once], q[once], bound[once]
-                        out.append(np.stack([d[p], d[q]], axis=1)), scores.append(bound)
-                    elif len(p):
-                        x, y, z = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([bound, bound])
-                        rank = -z if mode == "best" else (sh.mix(d[y].view(np.uint64)) >> np.uint64(11)).astype(float)
-                        up = np.lexsort((d[y], rank, x))
-                        head = up[np.concatenate([[True], x[up][1:] != x[up][:-1]])]
-                        out.append(np.stack([d[x[head]], d[y[head]]], axis=1)), scores.append(rank[head])
-        every = np.concatenate(out)
-        return pd.DataFrame({"a": every[:, 0], "b": every[:, 1], "score": np.concatenate(scores)})
-
-    parts = units.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = units.select("unit", "cell", "side", "doc", "n", "comp", "counts", "cells" if mode == "every" else F.array().cast("array<long>").alias("cells")).repartition(int(parts), "unit").sortWithinPartitions("unit")
-    found = placed.mapInPandas(rows, "a long, b long, score double")
+            once = np.array([min(set(cells[i]) & set(cells[j])) == cell[i] for i, j in zip(p, q, strict=True)], bool)
+            return pd.DataFrame({"a": doc[p[once]], "b": doc[q[once]], "score": bound[once]})
+        x, y = doc[np.concatenate([p, q])], doc[np.concatenate([q, p])]
+        rank = -np.concatenate([bound, bound]) if mode == "best" else (sh.mix(y.view(np.uint64)) >> np.uint64(11)).astype(float)
+        up = np.lexsort((y, rank, x))
+        head = up[np.concatenate([[True], x[up][1:] != x[up][:-1]])] if len(x) else up
+        return pd.DataFrame({"a": x[head], "b": y[head], "score": rank[head]})
+
+    asked = units.select("unit", "cell", "side", "doc", "n", "comp", "counts", "cells" if mode == "every" else F.array().cast("array<long>").alias("cells"))
+    found = by_unit(asked, solve, "a long, b long, score double")
     if mode != "every":
         found = found.groupBy("a").agg(F.min_by("b", F.struct("score", "b")).alias("b"))
     # The first of a pair sends its set to the second: in a star that is the centre.
@@ -207,21 +251,17 @@ def verified(pairs: DataFrame, names: DataFrame, held: DataFrame, percent: int)
     return both.select("a", "b", "sa", "sb").mapInPandas(rows, "a long, b long")
 
 
-def _cells(points: DataFrame, room: int) -> DataFrame:
-    """(unit, cell, side, doc): the points of each cell that holds two or more; cells with the same points count once. A cell of
-    over room points is split by a hash into parts, and each two parts are a unit of their own."""
-    every = points.select("doc", F.explode("cells").alias("cell"))
-    many = every.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    rows = keep(every.join(many, "cell"), "ngram-cells")
-    same = rows.groupBy("cell", "size").agg(F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
-    once = same.groupBy("size", "x", "y").agg(F.min("cell").alias("cell")).select("cell")
-    n = F.ceil(F.col("size") / room).cast("int")
-    own = F.pmod(F.xxhash64("doc", F.lit(2)), n).cast("int")
-    units = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.least(own, o) * n + F.greatest(own, o))
-    split = rows.join(once, "cell").select("doc", "cell", own.alias("own"), n.alias("n"), F.explode(units).alias("part"))
-    # A unit of one part with itself has one side; in others only pairs of two sides are new.
-    side = F.when(F.col("part") % (F.col("n") + 1) == 0, 0).otherwise(F.col("own"))
-    return split.select(F.xxhash64("cell", "part").alias("unit"), "cell", side.alias("side"), "doc")
+def _cells(points: DataFrame) -> DataFrame:
+    """(group, n, member): the points of each cell that holds two or more; cells with the same points count once."""
+    every = points.select(F.col("doc").alias("member"), F.explode("cells").alias("group"))
+    many = keep(every.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "ngram-sizes")
+    rows = keep(join_spread(every, many, ["group"], "n", "member").select("group", "n", "member"), "ngram-cells")
+    same = rows.groupBy("group", "n").agg(F.bit_xor(F.xxhash64("member")).alias("x"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("y"))
+    once = keep(same.groupBy("n", "x", "y").agg(F.min("group").alias("group")).select("group", F.col("n").alias("rows")), "ngram-once")
+    out = keep(join_spread(rows, once, ["group"], "rows", "member").select("group", "n", "member"), "ngram-placed")
+    for done in (many, rows, once):
+        forget(done)
+    return out
 
 
 def _sets(texts: DataFrame, live: DataFrame, k: int) -> DataFrame:
@@ -239,7 +279,7 @@ def _sets(texts: DataFrame, live: DataFrame, k: int) -> DataFrame:
     return texts.where("id IS NOT NULL").select("id", spot("id", bits).alias("spot"), "text").mapInPandas(rows, "id long, s1 long, s binary")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, room: int = 2048) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, room: int = 1024) -> DataFrame:
     """Returns (id, n_shingles, component) for each row: the size of its set of k-word shingles and the smallest id that
     links reach from it.
 
@@ -259,32 +299,41 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = keep(known.select("id", *key).join(classes.drop("row"), key, "left").select("id", "n", "doc", "rep"), "ngram-members")
     points = keep(known.select("row", "s1", "n", "cells", "counts").join(classes.select("row", "doc", "rep"), "row").drop("row"), "ngram-points")
     forget(known)
-    units = keep(_cells(points, room), "ngram-placed")
-    own = units.groupBy("doc").agg(F.collect_set("cell").alias("cells"))
-    units = keep(units.join(points.select("doc", "n", "counts").join(own, "doc"), "doc"), "ngram-units")
+    cells = _cells(points)
     shared = members.where("doc IS NOT NULL").groupBy("id").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.collect_set("doc").alias("all")).where("a < b")
     links = keep(shared.select("a", F.explode("all").alias("b")).where("a < b"), "ngram-links")
-    held, label = None, None
-    tried = None
+    names, held, label, tried = points.select("doc", "rep", "s1"), None, None, []
     for mode in ("first", "best", "every"):
-        now = units.withColumn("comp", F.col("doc"))
-        if label is not None:
-            now = units.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
+        if label is None:
+            units = first_units(cells, room).withColumn("comp", F.col("member"))
+        else:
+            labelled = cells.join(label, F.col("member") == F.col("node"), "left").select("group", "n", "member", F.coalesce("component", "member").alias("comp"))
+            labelled = keep(labelled, "ngram-labelled")
+            units = more_units(labelled, room)
+        now = units.select("unit", F.col("group").alias("cell"), "side", F.col("member").alias("doc"), "comp").join(points.select("doc", "n", "counts"), "doc")
+        if mode == "every":
+            now = now.join(cells.groupBy(F.col("member").alias("doc")).agg(F.collect_set("group").alias("cells")), "doc")
         pairs = bounded_pairs(now, percent, mode)
-        if tried is not None:
-            known_pairs = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        if tried:
+            known_pairs = reduce(DataFrame.unionByName, tried).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
             pairs = pairs.join(known_pairs, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
         pairs = keep(pairs, "ngram-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried.append(pairs)
         if held is None:
-            # A text without a partner in the first round has none at all.
-            live = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-            units = units.join(live, "doc", "left_semi")
-            names = points.select("doc", "rep", "s1")
-            held = keep(_sets(texts, live.join(names, "doc").select("rep"), k), "ngram-sets")
-        links = keep(links.unionByName(verified(pairs, names, held, percent)), "ngram-links")
-        label = keep(components(links), "ngram-labels")
-    for done in (points, held, links):
+            # A cell that is one unit gives each of its points a partner, if it has any: a text without one has none at all.
+            # In a larger cell a point may have partners in other parts only.
+            live = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).union(cells.where(F.col("n") > room).select("member"))
+            live = keep(live.distinct(), "ngram-alive")
+            left = keep(cells.join(live, "member", "left_semi").select(*cells.columns), "ngram-live")
+            forget(cells)
+            cells = left
+            held = keep(_sets(texts, live.withColumnRenamed("member", "doc").join(names, "doc").select("rep"), k), "ngram-sets")
+        more = keep(links.unionByName(verified(pairs, names, held, percent)), "ngram-links")
+        forget(links)
+        if label is not None:
+            forget(label), forget(labelled)
+        links, label = more, components(more)
+    for done in (points, held, links, cells, classes, live, *tried):
         forget(done)
     joined = members.join(label.withColumnRenamed("node", "doc"), "doc", "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
