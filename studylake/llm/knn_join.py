@@ -8,10 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as w
 
-from studylake.llm.shingles import mix
-from studylake.llm.vectors import best, matrix, smallest_ids, top_of_row, usable
+from studylake.llm.vectors import best, first_rows, matrix, smallest_ids, top_of_row, usable
 
 
 def whole(v: Column, scale: int) -> Column:
@@ -36,16 +34,78 @@ def chunks(counts: dict[int, int], room: int) -> dict[int, tuple[int, int]]:
     return out
 
 
-def voronoi_join(data: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, pivots: int = 256, query_room: int = 1024, data_room: int = 16384) -> DataFrame:
+KIND = "id long, raw binary, cell long, far double"
+
+
+def draw_centres(rows: DataFrame, pivots: int | None) -> np.ndarray:
+    """At most `pivots` different vectors drawn by a hash, each next to those like it as far as one direction shows."""
+    n = rows.count()
+    pivots = pivots or min(2048, max(16, int(n**0.5)))
+    # Twice as many are below this hash, so that tasks send few.
+    limit = min((1 << 63) - 1, (1 << 65) * pivots // max(1, n) - (1 << 63))
+    drawn = rows.where(F.xxhash64("v") <= limit).orderBy(F.xxhash64("v"), "id").limit(pivots).collect()
+    centres = np.unique(np.array([r["v"] for r in drawn], np.int64).reshape(len(drawn), -1), axis=0) if drawn else np.zeros((1, 1), np.int64)
+    spread = centres - centres.mean(axis=0)
+    main = np.linalg.svd(spread, full_matrices=False)[2][0] if len(centres) > 1 else np.ones(centres.shape[1])
+    return centres[np.argsort(spread @ main, kind="stable")]
+
+
+def to_cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(id, raw, cell, far) of rows (id, v): the nearest centre and the distance to it."""
+
+    def dealt(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = centres.astype(float)
+        for b in batches:
+            for at in range(0, len(b), 2048):
+                some = b.iloc[at : at + 2048]
+                x = np.stack(some["v"].to_numpy()).astype(np.int64)
+                f = x.astype(float)
+                cell = ((p**2).sum(1) - 2 * f @ p.T).argmin(1)
+                yield pd.DataFrame({"id": some["id"], "raw": [r.tobytes() for r in x], "cell": cell, "far": np.sqrt(((f - p[cell]) ** 2).sum(1))})
+
+    return rows.mapInPandas(dealt, KIND)
+
+
+def summaries(held: DataFrame, depth: int) -> list:
+    """(cell, n, radius, close) of each cell, close being the depth smallest distances to its centre, in order."""
+    close = first_rows(held.select("id", "cell", "far"), "cell", ["far"], depth, "id").groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("close"))
+    return held.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).join(close, "cell").orderBy("cell").collect()
+
+
+def with_needs(asked: DataFrame, centres: np.ndarray, sums: list, depth: int) -> DataFrame:
+    """asked with reach, a score that the depth best answers of a query reach, and cells, those whose bound reaches it."""
+    known = np.array([r["cell"] for r in sums], int)
+    radius = np.array([r["radius"] for r in sums], float)
+    lower = [(i, np.array(r["close"])) for i, r in enumerate(sums)]
+
+    def bounds(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b) if len(known) else 0, 512):
+                some = b.iloc[at : at + 512]
+                q = matrix(some["raw"], np.int64).astype(float)
+                norm = np.sqrt((q**2).sum(1))
+                mid = q @ centres[known].astype(float).T
+                sure = np.concatenate([mid[:, [i]] - norm[:, None] * c for i, c in lower], axis=1)
+                slack = 1e-9 * (1 + np.abs(mid).max(initial=0))
+                reach = np.partition(sure, -depth, axis=1)[:, -depth] - slack if sure.shape[1] >= depth else np.full(len(q), -np.inf)
+                need = mid + norm[:, None] * radius + slack >= reach[:, None]
+                yield some[["id", "raw", "cell"]].assign(reach=reach, cells=[known[x].tolist() for x in need])
+
+    return asked.mapInPandas(bounds, "id long, raw binary, cell long, reach double, cells array<long>")
+
+
+def voronoi_join(data: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, pivots: int | None = None, query_room: int = 1024, data_room: int = 16384) -> DataFrame:
     """Returns (query_id, rank, vec_id, score): the k largest integer inner products of each query row, exactly.
 
-    queries is a condition over id_col. Components become floor(scale * x). At most `pivots` vectors, drawn by a hash,
-    divide data and queries into cells. A cell's summary is its radius and its k + 1 smallest distances to the pivot (more
-    where an id asked for has several vectors); it
-    bounds the products of a query with the cell's vectors from both sides (|q.x - q.p| <= |q| |x - p|). A query's k + 1
-    best lower bounds, or as many more, give a score that its answers reach, and only cells whose upper bound reaches it are replicated to
-    the query's block. Blocks of at most about query_room queries and data_room vectors are solved locally; large cells
-    are split by a hash. Only pivots and summaries (pivots * (k + 1) numbers) come to the driver.
+    queries is a condition over id_col. Components become floor(scale * x). Vectors drawn by a hash, as many as the root
+    of the number of rows (16 at least, 2,048 at most) if pivots doesn't say how many, divide data and queries into
+    cells. A cell's summary is its radius and its k + 1 smallest distances to the pivot (more where an id asked for has
+    several vectors); it bounds the products of a query with the cell's vectors from both sides (|q.x - q.p| <= |q| |x - p|).
+    A query's k + 1 best lower bounds, or as many more, give a score that its answers reach, and only cells whose
+    upper bound reaches it are replicated to the query's block, and met there only by the queries that need them. Blocks of at most about query_room queries,
+    of neighbouring cells, and data_room vectors are solved locally; large cells are split by a hash. Only pivots and
+    summaries (pivots * (k + 1) numbers) come to the driver. On clustered vectors most cells fall away; vectors spread
+    evenly over all directions of many dimensions, as in the table of embeddings, leave nearly all.
 
     Rows with a null id or unusable vector (see usable) take no part; zero vectors do. Equal rows (after
     scaling) count once. Rows of one id with different vectors are a query and a candidate each, but never candidates of
@@ -57,66 +117,40 @@ def voronoi_join(data: DataFrame, queries: Column, k: int = 20, id_col: str = "v
     # A query leaves out all rows of its own id: so many places are needed beyond k.
     spare = asking.groupBy("id").count().agg(F.max("count")).first()[0] or 1
     rows = smallest_ids(rows.distinct(), k + 1)
-    drawn = rows.orderBy(F.xxhash64("v"), "id").limit(pivots).collect()
-    centres = np.unique(np.array([r["v"] for r in drawn], np.int64).reshape(len(drawn), -1), axis=0) if drawn else np.zeros((1, 1), np.int64)
-    centres = centres[np.argsort(centres.astype(float) @ (centres - centres.mean(axis=0)).sum(axis=0), kind="stable")]
+    centres = draw_centres(rows, pivots)
+    held, asked = to_cells(rows, centres), to_cells(asking, centres)
+    sums = summaries(held, k + spare)
+    query_blocks = chunks({r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}, query_room)
+    data_blocks = chunks({r["cell"]: r["n"] for r in sums}, data_room)
+    spark = data.sparkSession
 
-    def to_cells(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = centres.astype(float)
-        for b in batches:
-            if len(b):
-                x = np.stack(b["v"].to_numpy()).astype(np.int64)
-                f = x.astype(float)
-                far = (f**2).sum(1)[:, None] - 2 * f @ p.T + (p**2).sum(1)
-                cell = far.argmin(1)
-                yield pd.DataFrame({"id": b["id"], "raw": [r.tobytes() for r in x], "cell": cell, "far": np.sqrt(((f - p[cell]) ** 2).sum(1))})
-
-    kind = "id long, raw binary, cell long, far double"
-    held = rows.mapInPandas(to_cells, kind)
-    nearest = w.Window.partitionBy("cell").orderBy("far")
-    close = held.select("cell", "far").withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + spare).groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("close"))
-    sums = held.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).join(close, "cell").collect()
-    known = np.array([r["cell"] for r in sums], int)
-    radius = np.array([r["radius"] for r in sums], float)
-    lower = [(i, np.array(r["close"])) for i, r in enumerate(sums)]
-    own_cells = {r["cell"]: r["count"] for r in asking.mapInPandas(to_cells, kind).groupBy("cell").count().collect()}
-    query_blocks, data_blocks = chunks(own_cells, query_room), chunks({r["cell"]: r["n"] for r in sums}, data_room)
+    def block(blocks: dict[int, tuple[int, int]], cell: str, name: str) -> DataFrame:
+        return spark.createDataFrame([(c, f, n) for c, (f, n) in blocks.items()], f"{cell} long, {name}_first long, {name}_parts long")
 
-    def bounds(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b) or not len(known):
-                continue
-            q = matrix(b["raw"], np.int64).astype(float)
-            norm = np.sqrt((q**2).sum(1))
-            mid = q @ centres[known].astype(float).T
-            sure = np.concatenate([mid[:, [i]] - norm[:, None] * c for i, c in lower], axis=1)
-            slack = 1e-9 * (1 + np.abs(mid).max(initial=0))
-            reach = np.partition(sure, -(k + spare), axis=1)[:, -(k + spare)] - slack if sure.shape[1] >= k + spare else np.full(len(q), -np.inf)
-            need = mid + norm[:, None] * radius + slack >= reach[:, None]
-            first = [query_blocks[c] for c in b["cell"]]
-            spread = mix(b["id"].to_numpy().view(np.uint64)) >> np.uint64(1)
-            yield pd.DataFrame({"id": b["id"], "raw": b["raw"], "qb": [f + int(i) % n for (f, n), i in zip(first, spread, strict=True)], "reach": reach, "cells": [known[x].tolist() for x in need]})
-
-    asked = asking.mapInPandas(to_cells, kind).mapInPandas(bounds, "id long, raw binary, qb long, reach double, cells array<long>")
+    def of(name: str) -> Column:
+        return F.col(f"{name}_first") + F.pmod(F.xxhash64("id"), F.col(f"{name}_parts"))
+
+    asked = with_needs(asked, centres, sums, k + spare).join(block(query_blocks, "cell", "qb"), "cell").select("id", "raw", "reach", "cells", of("qb").alias("qb"))
     needs = asked.select("qb", F.explode("cells").alias("cell")).distinct()
-    spark = data.sparkSession
-    where = spark.createDataFrame([(c, f, n) for c, (f, n) in data_blocks.items()], "cell long, first long, parts long")
-    placed = held.join(where, "cell").withColumn("db", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")))
-    replicas = placed.join(needs, "cell").select("qb", "db", "id", "raw")
-    blocks = needs.join(where, "cell").select("qb", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("db")).distinct()
-    sent = asked.select("id", "raw", "qb", "reach").join(blocks, "qb").select(F.col("qb").alias("to_qb"), F.col("db").alias("to_db"), "id", "raw", "reach")
+    where = block(data_blocks, "cell", "db")
+    replicas = held.join(where, "cell").withColumn("db", of("db")).join(needs, "cell").select("qb", "db", "id", "cell", "raw")
+    blocks = needs.join(where, "cell").select("qb", F.explode(F.sequence(F.col("db_first"), F.col("db_first") + F.col("db_parts") - 1)).alias("db")).distinct()
+    sent = asked.join(blocks, "qb").select(F.col("qb").alias("to_qb"), F.col("db").alias("to_db"), "id", "raw", "reach", "cells")
 
     def solve(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(x) and len(q):
-            ids, vectors = x["id"].to_numpy(), matrix(x["raw"], np.int64)
+            x = x.sort_values("cell", ignore_index=True)
+            ids, vectors, cell = x["id"].to_numpy(), matrix(x["raw"], np.int64), x["cell"].to_numpy()
             for at in range(0, len(q), 256):
                 part = q.iloc[at : at + 256]
-                scores = products(matrix(part["raw"], np.int64), vectors)
-                for own, reach, s in zip(part["id"], part["reach"], scores, strict=True):
-                    fit = np.flatnonzero((s >= reach) & (ids != own))
-                    top = fit[top_of_row(s[fit], ids[fit], k)]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[top], "score": s[top].astype(np.int64)}))
+                asks, needed = matrix(part["raw"], np.int64), [np.isin(cell, c) for c in part["cells"]]
+                some = np.flatnonzero(np.logical_or.reduce(needed))
+                scores = products(asks, vectors[some])
+                for own, reach, s, need in zip(part["id"], part["reach"], scores, needed, strict=True):
+                    fit = np.flatnonzero((s >= reach) & (ids[some] != own) & need[some])
+                    top = fit[top_of_row(s[fit], ids[some[fit]], k)]
+                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[some[top]], "score": s[top].astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     found = replicas.groupBy("qb", "db").cogroup(sent.groupBy("to_qb", "to_db")).applyInPandas(solve, "query_id long, vec_id long, score long")

@@ -23,10 +23,18 @@ def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool = True) -> Da
     return rows.where(F.size("v") == F.lit(usual or 0))
 
 
+def first_rows(rows: DataFrame, group: str, order: list, most: int, spread: str, salts: int = 64) -> DataFrame:
+    """The first `most` rows of each group in an order; a large group is first thinned in parts dealt by the column `spread`."""
+    part = F.pmod(F.xxhash64(spread), F.lit(salts))
+    for by in ([group, part], [group]):
+        rows = rows.withColumn("place", F.row_number().over(w.Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most).drop("place")
+    return rows
+
+
 def smallest_ids(rows: DataFrame, most: int) -> DataFrame:
     """Of each group of equal vectors the rows with the most smallest ids: among equal scores no others can be in a top
     list of fewer than most. Queries are not thinned, only what they can find."""
-    return rows.withColumn("__r", F.row_number().over(w.Window.partitionBy("v").orderBy("id"))).where(F.col("__r") <= most).drop("__r")
+    return first_rows(rows, "v", ["id"], most, "id")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
