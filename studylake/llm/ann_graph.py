@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -126,7 +128,9 @@ def build_index(data: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     """Returns the index: each distinct vector as a node of its shard's graph, with its edges; node 0 starts searches.
 
     Vectors are dealt to shards of about shard_rows by a hash; each shard's graph is one group of bounded size. Equal
-    vectors are one node with the k + 1 smallest of their ids, which is all that a search for k can return of them.
+    vectors are one node with the k + 1 smallest of their ids, which is all that a search for k can return of them; so
+    repeated rows count once. Rows with a null id and vectors that are null, zero, of an unusual length or hold null or
+    non-finite components (see usable) are not indexed. An empty table gives an empty index.
     """
     rows = usable(data, id_col, vector_col, zero=False)
     nodes = smallest_ids(rows.distinct(), k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -146,43 +150,68 @@ def build_index(data: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return dealt.groupBy("shard").applyInPandas(one, INDEX)
 
 
-def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, width: int = 96, room: int = 2048) -> DataFrame:
+class Shard:
+    """A shard's graph, opened for searches."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values("node", ignore_index=True)
+        self.v, self.ids = matrix(rows["raw"], float), rows["ids"].to_list()
+        self.x = lifted(self.v)
+        self.edges = np.full((len(rows), max(1, rows["edges"].map(len).max())), -1)
+        for i, e in enumerate(rows["edges"]):
+            self.edges[i, : len(e)] = e
+
+    def answers(self, own: np.ndarray, asks: np.ndarray, k: int, width: int) -> pd.DataFrame:
+        """The k best nodes met by the beam of each query, as ids and inner products."""
+        scale = np.sqrt((self.v**2).sum(1).max()) / np.sqrt((asks**2).sum(1))
+        lines = np.concatenate([asks * scale[:, None], np.zeros((len(asks), 1))], 1).astype(np.float32)
+        near, out = beam(lines, self.x, self.edges, 0, min(width, len(self.x)))[0], []
+        for i, line, found in zip(own, asks, near, strict=True):
+            found = found[found >= 0]
+            scores = (self.v[found] * line).sum(axis=1)
+            every, each = np.concatenate([self.ids[f] for f in found]), np.repeat(scores, [len(self.ids[f]) for f in found])
+            every, each = every[every != i], each[every != i]
+            top = top_of_row(each, every, k)
+            out.append(pd.DataFrame({"query_id": i, "vec_id": every[top], "score": each[top]}))
+        return pd.concat(out)
+
+
+def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, width: int = 96, room: int = 16_384) -> DataFrame:
     """Returns (query_id, rank, vec_id, score): the k largest inner products found, in double precision on the original
-    vectors, without the query's own id. Every shard is searched by every query, in blocks of about room queries."""
+    vectors, without the query's own id; ties go to the smaller id.
+
+    Every shard is searched by every query. A shard's graph comes first in its task and the queries stream through it;
+    `room` of them, more than a shard has nodes, share one copy of the graph, so that copies are a small part of what is
+    sent. Queries that are null, zero, of an unusual length or hold null or non-finite components have no answers;
+    repeated query rows count once; an empty index or no queries give no rows.
+    """
     asked = usable(queries, id_col, vector_col, zero=False).distinct()
-    blocks = max(1, -(-asked.count() // room))
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    shards = index.select("shard").distinct()
-    sent = asked.withColumn("shard", F.explode(F.lit([r[0] for r in shards.collect()]).cast("array<long>")))
-    spread = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-
-    def one(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(g) and len(q):
-            g = g.sort_values("node", ignore_index=True)
-            v = matrix(g["raw"], float)
-            x = lifted(v)
-            edges = np.full((len(g), max(1, g["edges"].map(len).max())), -1)
-            for i, e in enumerate(g["edges"]):
-                edges[i, : len(e)] = e
-            ids = g["ids"].to_list()
-            asks = np.stack(q["v"].to_numpy()).astype(float)
-            scale = np.sqrt((v**2).sum(1).max()) / np.sqrt((asks**2).sum(1))
-            lines = np.concatenate([asks * scale[:, None], np.zeros((len(asks), 1))], 1).astype(np.float32)
-            for at in range(0, len(q), 512):
-                near, _ = beam(lines[at : at + 512], x, edges, 0, min(width, len(g)))
-                for own, line, found in zip(q["id"].to_numpy()[at : at + 512], asks[at : at + 512], near, strict=True):
-                    found = found[found >= 0]
-                    scores = (v[found] * line).sum(axis=1)
-                    many = [len(ids[f]) for f in found]
-                    every, each = np.concatenate([ids[f] for f in found]), np.repeat(scores, many)
-                    every, each = every[every != own], each[every != own]
-                    top = top_of_row(each, every, k)
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": every[top], "score": each[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.array([], int), "vec_id": np.array([], int), "score": np.array([], float)})
-
-    found = spread.groupBy("shard", "qb").cogroup(sent.groupBy("shard", "qb")).applyInPandas(one, RESULT)
-    return best(found, k).select("query_id", "rank", "vec_id", "score")
+    slices = max(1, -(-asked.count() // room))
+    shards = [r[0] for r in index.select("shard").distinct().collect()]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("edges", "array<int>"))]
+    cut = F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice")
+    sent = asked.select(F.explode(F.lit(shards).cast("array<long>")).alias("shard"), cut, F.lit(1).alias("asks"), F.lit(0).alias("node"), "id", "v", F.lit(None).cast("binary").alias("raw"), *none)
+    graph = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>")).alias("slice"), F.lit(0).alias("asks"), "node", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), "raw", "ids", "edges")
+
+    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, nodes, shard = None, [], None
+        for b in batches:
+            for now, some in b.groupby(["shard", "slice"]):
+                if now != key:
+                    key, nodes, shard = now, [], None
+                asks = some["asks"].to_numpy() == 1
+                if not asks.all():
+                    nodes.append(some[~asks])
+                if asks.any() and (nodes or shard):
+                    shard = shard or Shard(pd.concat(nodes))
+                    nodes = []
+                    own, lines = some["id"][asks].to_numpy().astype(np.int64), np.stack(some["v"][asks].to_numpy()).astype(float)
+                    for at in range(0, len(own), 512):
+                        yield shard.answers(own[at : at + 512], lines[at : at + 512], k, width)
+
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    streams = graph.unionByName(sent).repartition(parts, "shard", "slice").sortWithinPartitions("shard", "slice", "asks", "node")
+    return best(streams.mapInPandas(rows, RESULT), k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(data: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, **how) -> DataFrame:
