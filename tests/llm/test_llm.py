@@ -58,6 +58,44 @@ def test_ngram_join(spark):
     assert ngram_join.near_components(frame(spark, ["a"]).where("false")).count() == 0
 
 
+def brute_components(sets, percent):
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and label[i] != label[j] and 100 * len(a & b) >= percent * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+@pytest.mark.parametrize("room", [5, 1024])
+def test_ngram_join_of_large_cells(spark, room):
+    """Families of near copies that share a long passage, so that cells and trees are large."""
+    r = np.random.default_rng(12)
+    every, common = [], prose(70, 40).split()
+    for f in range(12):
+        own = prose(400 + f, 30 + 10 * f).split()
+        for _ in range(9):
+            t = [*common, *own]
+            for at in r.integers(0, len(t), r.integers(0, 3)):
+                t[at] = f"edit{r.integers(0, 9)}"
+            every.append(" ".join(t))
+    got = {x["id"]: x["component"] for x in ngram_join.near_components(frame(spark, every), room=room).collect()}
+    assert got == dict(enumerate(brute_components([shingle_set(t, 5) for t in every], 80)))
+
+
+def test_tree_gives_all_bounded_pairs():
+    r = np.random.default_rng(5)
+    sets = [np.unique(ngram_join.sh.mix(r.integers(0, 400 + 300 * (i % 7), 20 + 30 * (i % 9)).astype(np.uint64))) for i in range(700)]
+    sets += [np.unique(np.concatenate([s, ngram_join.sh.mix(np.arange(3, dtype=np.uint64) + np.uint64(10**6))])) for s in sets[:200]]
+    n, comp = np.array([len(s) for s in sets]), np.arange(len(sets))
+    points = ngram_join.Points(n, [ngram_join.point(s) for s in sets], comp, np.zeros(len(sets), int), 80)
+    p, q, _ = ngram_join.tree_pairs(points, 0, len(sets))
+    i, j = np.triu_indices(len(sets), 1)
+    x, y, _ = points.bounded(i, j, np.zeros(len(i), bool))
+    assert {(min(a), max(a)) for a in zip(p, q, strict=True)} == set(zip(x, y, strict=True)) and len(p) == len(x) < len(i) / 20
+
+
 def test_substring_dedup(spark):
     every = texts()
     docs = frame(spark, every)
@@ -240,6 +278,27 @@ def test_knn_join_with_repeated_rows(spark):
     assert len(once) == 20 * 16 and sorted(map(tuple, twice)) == sorted(map(tuple, once))
 
 
+def test_knn_join_replicates_little_of_clustered_vectors(spark):
+    r = np.random.default_rng(6)
+    x = np.repeat(r.normal(size=(24, 16)) * 3, 50, axis=0) + r.normal(size=(1200, 16)) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    rows = knn_join.usable(df, "vec_id", "embedding").select("id", knn_join.whole(F.col("v"), 64).alias("v"))
+    centres = knn_join.draw_centres(rows, 48)
+    held = knn_join.to_cells(rows, centres)
+    sums = knn_join.summaries(held, 21)
+    size = {r["cell"]: r["n"] for r in sums}
+    asked = knn_join.with_needs(held.where("id % 20 = 0"), centres, sums, 21).collect()
+    share = np.mean([sum(size[c] for c in a["cells"]) / len(x) for a in asked])
+    assert len(asked) == 60 and share < 0.3
+    m = np.floor(64 * x.astype(np.float32).astype(float)).astype(int)
+    got = knn_join.voronoi_join(df, F.col("id") % 20 == 0, pivots=48, query_room=20, data_room=100).toPandas()
+    for q in range(0, len(x), 20):
+        s = m @ m[q]
+        want = [(j, s[j]) for j in np.lexsort((np.arange(len(x)), -s)) if j != q][:20]
+        g = got[got["query_id"] == q].sort_values("rank")
+        assert list(zip(g["vec_id"], g["score"], strict=True)) == want
+
+
 def test_ann_graph(spark):
     x, df = vectors(spark)
     index = ann_graph.build_index(df, shard_rows=128)
@@ -252,6 +311,13 @@ def test_ann_graph(spark):
         assert len(g) == 20 and np.allclose(g["score"], s[g["vec_id"]])
         hits += len(set(want) & set(g["vec_id"]))
     assert hits >= 0.9 * 20 * len(range(0, len(x), 20))
+    queries = df.where("vec_id % 20 = 0")
+    again = ann_graph.search(index, queries.unionByName(queries), room=5).toPandas()
+    assert sorted(map(tuple, again.to_numpy())) == sorted(map(tuple, got.to_numpy()))
+    twice = ann_graph.search(ann_graph.build_index(df.unionByName(df), shard_rows=128), queries).toPandas()
+    assert not twice.duplicated(["query_id", "vec_id"]).any() and (twice.groupby("query_id")["rank"].max() == 20).all()
+    nothing = df.where("false")
+    assert ann_graph.search(index, nothing).count() == 0 and ann_graph.search(ann_graph.build_index(nothing), queries).count() == 0
 
 
 def test_pipeline_is_its_stages(spark, tmp_path):
