@@ -36,6 +36,11 @@ def parts(texts: Sequence[str | None], room: int = 1 << 20) -> Iterator[tuple[in
 
 def words(raws: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of all texts in order, place of each text's first word and of the end)."""
+    return words_and_lines(raws)[:2]
+
+
+def words_and_lines(raws: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words(), and the place of the first word of each line that has words."""
     b = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raws])
     blank = _BLANK[b]
@@ -44,14 +49,16 @@ def words(raws: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(first)
     bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), bounds, starts
+    breaks = np.concatenate([[0], np.flatnonzero(b == 10), ends - 1])
+    heads = np.unique(np.searchsorted(starts, breaks))
     number = np.cumsum(first) - 1
     place = np.arange(len(b)) - starts[np.maximum(number, 0)]
     place[blank] = 0
     powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64))
     value = (b.astype(np.uint64) + np.uint64(1)) * powers[place]
     value[blank] = 0
-    return mix(np.add.reduceat(value, starts)), bounds
+    return mix(np.add.reduceat(value, starts)), bounds, heads[heads < len(starts)]
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -1,27 +1,29 @@
 """Substring dedup: MinHash bands over paragraphs, exact Jaccard of colliding ones, clusters by components.
 
-Repeated passages begin and end anywhere, also within a line. A paragraph here is therefore a run of `span` words that
-starts where the text itself says so: at the smallest pair-of-words hash in some `gap` consecutive places. Whatever
-stands around it, a passage of gap + span + 1 words or more (50 by default) holds at least one whole paragraph, found at
-the same words in every copy. Texts of fewer words than a paragraph are one paragraph.
+A text's paragraphs are its lines of five words or more, and, as repeated passages begin and end anywhere, also within a
+line, runs of `span` words that start where the text itself says so: at the smallest pair-of-words hash in some `gap`
+consecutive places. Whatever stands around it, a passage of gap + span + 1 words or more (50 by default) holds at least
+one whole run, found at the same words in every copy. Texts of fewer words than a run are one paragraph as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
 from studylake.llm import shingles as sh
-from studylake.llm.common import by_bitmap, components, id_bitmap, keep
+from studylake.llm.common import by_bitmap, by_unit, components, first_units, forget, id_bitmap, join_spread, keep, more_units, unused
 
 #: Words of a shingle; minimum hashes of a band.
 SHINGLE, ROWS = 5, 2
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def recall(similarity: float, bands: int, rows: int = ROWS) -> float:
@@ -39,11 +41,14 @@ def sliding(x: np.ndarray, n: int, best) -> np.ndarray:
     return done
 
 
-def starts(pairs: np.ndarray, gap: int) -> np.ndarray:
-    """Which places hold the smallest of some gap consecutive values; of a row of equal ones only the first."""
+def starts(pairs: np.ndarray, gap: int, bounds: np.ndarray) -> np.ndarray:
+    """Which places hold the smallest of some gap consecutive values of one text; of a row of equal ones only the first. A text
+    of n words has n - 1 values; what stands before or after it changes nothing."""
     if len(pairs) < gap:
         return np.zeros(len(pairs), bool)
     low = sliding(pairs, gap, np.minimum)
+    end = np.repeat(bounds[1:], np.diff(bounds))[: len(low)]
+    low[np.arange(len(low)) + gap >= end] = 0
     edge = np.zeros(gap - 1, np.uint64)
     high = sliding(np.concatenate([edge, low, edge]), gap, np.maximum)
     chosen = high[: len(pairs)] == pairs
@@ -51,77 +56,108 @@ def starts(pairs: np.ndarray, gap: int) -> np.ndarray:
     return chosen
 
 
-def paragraphs(raws: list[bytes], gap: int, span: int, bands: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(start words, number of words, hash of all words, band hashes) of each text's paragraphs."""
-    hashes, bounds = sh.words(raws)
-    small = sh.shingles(hashes, SHINGLE)
-    whole = sh.shingles(hashes, span)
-    mins = [sliding(sh.mix(small ^ _SEEDS[i]), span - SHINGLE + 1, np.minimum) if len(small) > span - SHINGLE else small[:0] for i in range(bands * ROWS)]
-    chosen = np.flatnonzero(starts(sh.shingles(hashes, 2), gap))
-    low = np.searchsorted(chosen, bounds)
-    for i, (a, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        n = int(e - a)
-        if n >= span:
-            at = chosen[low[i] : low[i + 1]]
-            at = np.unique(np.concatenate([[a], at[at <= e - span]]))
-            least = [m[at] for m in mins]
-            yield at - a, np.full(len(at), span), whole[at], bands_of(least)
-        elif n >= SHINGLE:
-            own = small[a : e - SHINGLE + 1]
-            least = [np.array([sh.mix(own ^ _SEEDS[j]).min()]) for j in range(bands * ROWS)]
-            yield np.zeros(1, int), np.full(1, n), sh.short(hashes[a:e]), bands_of(least)
-        else:
-            yield np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros((0, bands), np.uint64)
-
-
-def bands_of(least: list[np.ndarray]) -> np.ndarray:
+class Paragraphs(NamedTuple):
+    """Paragraphs of some texts: text, first word in it, number of words, hash of the words; and the texts' shingles with
+    each paragraph's first."""
+
+    text: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    whole: np.ndarray
+    small: np.ndarray
+    at: np.ndarray
+
+
+def paragraphs(raws: list[bytes], gap: int, span: int) -> Paragraphs:
+    hashes, bounds, heads = sh.words_and_lines(raws)
+    n = np.diff(bounds)
+    ends = np.append(heads[1:], len(hashes))
+    chosen = np.flatnonzero(starts(sh.shingles(hashes, 2), gap, bounds))
+    owner = np.searchsorted(bounds, chosen, side="right") - 1
+    chosen = chosen[chosen + span <= bounds[owner + 1]]
+    first, short = bounds[:-1][n >= span], bounds[:-1][n < span]
+    at = np.concatenate([heads, chosen, first, short])
+    size = np.concatenate([ends - heads, np.full(len(chosen) + len(first), span), n[n < span]])
+    once = np.unique(np.stack([at, size], axis=1)[size >= SHINGLE], axis=0) if len(at) else np.zeros((0, 2), int)
+    at, size = once[:, 0], once[:, 1]
+    text = np.searchsorted(bounds, at, side="right") - 1
+    # The hash of any run of words: differences of sums in which each word has the next power of an odd number.
+    base, back = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), base, np.uint64)]), dtype=np.uint64)
+    undo = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), back, np.uint64)]), dtype=np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[:-1], dtype=np.uint64)])
+    whole = sh.mix((sums[at + size] - sums[at]) * undo[at] + size.astype(np.uint64))
+    return Paragraphs(text, at - bounds[text], size, whole, sh.shingles(hashes, SHINGLE), at)
+
+
+def band_hashes(p: Paragraphs, bands: int) -> np.ndarray:
+    """A row of band hashes for each paragraph: each joins ROWS minimum hashes of its shingles."""
+    if not len(p.at):
+        return np.zeros((0, bands), np.uint64)
+    edges = np.stack([p.at, p.at + p.size - SHINGLE + 1], axis=1).ravel()
+    padded = np.append(p.small, np.uint64(0))
+    least = [np.minimum.reduceat(sh.mix(padded ^ _SEEDS[i]), edges)[::2] for i in range(bands * ROWS)]
     return np.stack([sh.mix(least[i] * _SEEDS[i] + least[i + 1] * _SEEDS[i + 1] + np.uint64(i)) for i in range(0, len(least), ROWS)], axis=1)
 
 
-def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 2, gap: int = 24, span: int = 25, room: int = 1024) -> DataFrame:
+def leads(p: Paragraphs, bands: np.ndarray) -> np.ndarray:
+    """Bits of the bands in which a paragraph overlaps no earlier one of its text with the same band. Paragraphs that overlap
+    in one text are alike without being copies; a band with one lead from one text has no others."""
+    out = np.zeros(len(p.at), np.int32)
+    for i in range(bands.shape[1]):
+        order = np.lexsort((p.at, bands[:, i], p.text))
+        text, band, at = p.text[order], bands[order, i], p.at[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (text[1:] != text[:-1]) | (band[1:] != band[:-1])
+        group = np.cumsum(new) << 40
+        reach = np.maximum.accumulate(group + at + p.size[order])
+        new[1:] |= group[1:] + at[1:] >= reach[:-1]
+        out[order] |= new.astype(np.int32) << i
+    return out
+
+
+def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 3, gap: int = 24, span: int = 25, room: int = 1024) -> DataFrame:
     """Returns the passages to remove: (id, start_word, end_word, kept_id, cluster), end not included.
 
     Equal paragraphs are one class. All classes that share a band are compared on the exact Jaccard similarity of
-    five-word shingles, but for those that links already join; components of similar classes are the clusters. In a cluster the paragraph
-    of the smallest (id, place) stays and all others go; paragraphs that overlap are joined to one passage, with the
-    smallest id that is kept for any of them. A pair of paragraphs at similarity 0.8 shares one of two bands of two
-    minimum hashes with probability 0.87 (see recall); a passage of 60 words holds about three paragraphs, which makes it
-    0.998.
-
-    Null and empty texts, and those under five words, have no paragraphs. Ids are integers; rows that share an id share
-    its places, so a repeated row is not a copy of itself; rows with a null id are left out.
+    five-word shingles, but for those that links already join; components of similar classes are the clusters. In a
+    cluster the paragraph of the smallest (id, place) stays and all others go; paragraphs that overlap are joined to one
+    passage, with the smallest id that is kept for any of them. A pair of paragraphs at similarity 0.8 shares one of
+    three bands of two minimum hashes with probability 0.953 (see recall), a nearer one with more.
+
+    Null and empty texts, and those under five words, have no paragraphs; an empty table gives no rows; a text of any
+    length is read whole. Ids are integers; rows that share an id share its places, so a repeated row is not a copy of
+    itself; rows with a null id are left out. Further columns play no part.
+
+    Paragraphs are not stored: bands are counted by class, and the texts are read again for the sets to verify and for
+    the places of what is to be removed. Bitmaps of at most 16 MB spare most rows the shuffle; what they let through is
+    joined exactly.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    names = [f"band{i}" for i in range(bands)]
 
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def banded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for first, raws in sh.parts(b["text"]):
-                found = list(paragraphs(raws, gap, span, bands))
-                n = [len(x[0]) for x in found]
-                if sum(n):
-                    ids = np.repeat(b["id"].to_numpy()[first : first + len(raws)], n)
-                    start, size, whole, band = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pd.DataFrame({"id": ids, "start": start, "size": size, "whole": whole.view(np.int64)} | {f"band{i}": band[:, i].view(np.int64) for i in range(bands)})
-
-    names = [f"band{i}" for i in range(bands)]
-    held = keep(texts.mapInPandas(rows, "id long, start int, size int, whole long, " + ", ".join(f"{x} long" for x in names)), "passages")
-    classes = held.groupBy("whole", *names).agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last"))
-    classes = keep(classes.select("whole", *names, "first", (F.col("first") != F.col("last")).alias("many")), "passage-classes")
-
-    each = F.array(*[F.xxhash64(F.lit(i), F.col(x)) for i, x in enumerate(names)])
-    shared = classes.select("whole", F.col("first.id").alias("id"), F.col("first.start").alias("start"), F.explode(each).alias("band"))
-    many = shared.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("id").alias("last_id"), F.min("start").alias("start"), F.max("start").alias("last_start"))
-    # Paragraphs that overlap in one text are alike without being copies; most bands hold no others.
-    many = many.where("n > 1").where((F.col("id") < F.col("last_id")) | (F.col("last_start") - F.col("start") >= span)).select("band", "n")
-    members = keep(shared.select("band", "whole").join(many, "band").select("band", "n", "whole"), "passage-members")
-    similar = _similar(members, _sets(members, classes, texts, span), similarity, span, room)
-    label = keep(components(similar), "passage-labels").select(F.col("node").alias("whole"), "component")
-
-    flagged = classes.select("whole", "first", "many").join(label, "whole", "left").where("many OR component IS NOT NULL")
-    flagged = flagged.select("whole", "first", F.coalesce("component", "whole").alias("cluster"))
-    kept = flagged.groupBy("cluster").agg(F.min("first").alias("kept"))
-    gone = held.select("id", "start", "size", "whole").distinct().join(flagged.join(kept, "cluster").select("whole", "cluster", "kept"), "whole")
-    gone = gone.where((F.col("id") != F.col("kept.id")) | (F.col("start") != F.col("kept.start")))
+                p = paragraphs(raws, gap, span)
+                found = band_hashes(p, bands)
+                ids = b["id"].to_numpy()[first + p.text]
+                yield pd.DataFrame({"id": ids, "whole": p.whole.view(np.int64), "leads": leads(p, found)} | {x: found[:, i].view(np.int64) for i, x in enumerate(names)})
+
+    rows = texts.mapInPandas(banded, "id long, whole long, leads int, " + ", ".join(f"{x} long" for x in names))
+    classes = rows.groupBy("whole").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.bit_or("leads").alias("leads"), *[F.min(x).alias(x) for x in names])
+    classes = keep(classes, "passage-classes")
+    members = _members(classes, names)
+    label = _similar(members, _sets(members, texts, gap, span), similarity, room)
+
+    flagged = classes.where("n > 1").select("whole", "n").join(label.select(F.col("node").alias("whole"), "component"), "whole", "full")
+    # A class that is not repeated itself is in a cluster with others.
+    flagged = keep(flagged.select("whole", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("component", "whole").alias("cluster")), "passage-flagged")
+    for done in (classes, members, label):
+        forget(done)
+    held = keep(_places(texts, flagged, gap, span), "passage-places")
+    first = keep(held.groupBy("cluster").agg(F.min(F.struct("id", "start", "size")).alias("kept"), F.count("*").alias("rows")).where("rows > 1"), "passage-kept")
+    gone = join_spread(held, first, ["cluster"], "rows", "id").where((F.col("id") != F.col("kept.id")) | (F.col("start") != F.col("kept.start")))
     order = w.Window.partitionBy("id").orderBy("start", "size", "cluster")
     reach = F.max(F.col("start") + F.col("size")).over(order.rowsBetween(w.Window.unboundedPreceding, -1))
     runs = gone.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
@@ -129,31 +165,57 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return spans.drop("run")
 
 
-def _sets(members: DataFrame, classes: DataFrame, texts: DataFrame, span: int) -> DataFrame:
-    """(whole, id, start, s) with the first place and the set of shingles of each class of members."""
-    asked = members.select("whole").distinct()
-    places = asked.join(classes, "whole").groupBy(F.col("first.id").alias("of")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "whole")).alias("places"))
+def _members(classes: DataFrame, names: list[str]) -> DataFrame:
+    """(group, n, member, id): the classes of each band that more than one place shares, n of them."""
+    each = [F.struct(F.xxhash64(F.lit(i), F.col(x)).alias("group"), F.shiftright("leads", i).bitwiseAND(1).alias("lead")) for i, x in enumerate(names)]
+    shared = classes.select(F.col("whole").alias("member"), "id", F.inline(F.array(*each)))
+    mark = F.pmod(F.xxhash64("id"), F.lit(1 << 16))
+    # Classes of one band whose only lead is the same class belong to one text, or to copies of it.
+    many = shared.groupBy("group").agg(F.count("*").alias("n"), F.sum("lead").alias("leads"), F.min(mark).alias("low"), F.max(mark).alias("high"))
+    many = keep(many.where("n > 1 AND (leads > 1 OR low < high)").select("group", "n"), "passage-bands")
+    near = by_bitmap(shared.select("group", "member", "id"), "group", *id_bitmap(many, "group"), True)
+    out = keep(join_spread(near, many, ["group"], "n", "member").select("group", "n", "member", "id"), "passage-members")
+    forget(many)
+    return out
+
+
+def _sets(members: DataFrame, texts: DataFrame, gap: int, span: int) -> DataFrame:
+    """(whole, id, start, size, s) with a place and the set of shingles of each class of members."""
+    asked = keep(members.groupBy(F.col("id").alias("of")).agg(F.collect_set("member").alias("classes")), "passage-asked")
 
     def sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for first, raws in sh.parts(b["text"]):
-                hashes, bounds = sh.words(raws)
-                out = []
-                for of, places, a, e in zip(b["of"].iloc[first : first + len(raws)], b["places"].iloc[first : first + len(raws)], bounds[:-1], bounds[1:], strict=True):
-                    for p in places:
-                        run = hashes[a + p["start"] : min(e, a + p["start"] + span)]
-                        if len(run) and int((sh.shingles(run, span) if len(run) == span else sh.short(run))[0].view(np.int64)) == p["whole"]:
-                            out.append((p["whole"], of, p["start"], np.unique(sh.shingles(run, SHINGLE)).tobytes()))
-                yield pd.DataFrame(out, columns=["whole", "id", "start", "s"])
-
-    places = keep(places, "passage-places")
-    few = by_bitmap(texts, "id", *id_bitmap(places, "of"), True)
-    # The first of a class is in a row of its id whose words at the place have the class's hash.
-    found = few.join(places, F.col("id") == F.col("of")).select("of", "text", "places").mapInPandas(sets, "whole long, id long, start int, s binary")
-    return keep(found.dropDuplicates(["whole"]), "passage-sets")
-
-
-def links_of(whole: np.ndarray, ids: np.ndarray, start: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float, span: int) -> list[tuple[int, int]]:
+                p, out = paragraphs(raws, gap, span), []
+                ids, wanted = b["of"].to_numpy()[first:], [np.asarray(x, np.int64).view(np.uint64) for x in b["classes"].iloc[first : first + len(raws)]]
+                low = np.searchsorted(p.text, np.arange(len(raws) + 1))
+                for i, asks in enumerate(wanted):
+                    for j in low[i] + np.flatnonzero(np.isin(p.whole[low[i] : low[i + 1]], asks)):
+                        out.append((int(p.whole[j].view(np.int64)), ids[i], p.start[j], p.size[j], np.unique(p.small[p.at[j] : p.at[j] + p.size[j] - SHINGLE + 1]).tobytes()))
+                yield pd.DataFrame(out, columns=["whole", "id", "start", "size", "s"])
+
+    few = by_bitmap(texts, "id", *id_bitmap(asked, "of"), True)
+    found = few.join(asked, F.col("id") == F.col("of")).select("of", "text", "classes").mapInPandas(sets, "whole long, id long, start int, size int, s binary")
+    out = keep(found.dropDuplicates(["whole"]), "passage-sets")
+    forget(asked)
+    return out
+
+
+def _places(texts: DataFrame, flagged: DataFrame, gap: int, span: int) -> DataFrame:
+    """(id, start, size, cluster) of all paragraphs whose class is flagged, each once."""
+
+    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for first, raws in sh.parts(b["text"]):
+                p = paragraphs(raws, gap, span)
+                yield pd.DataFrame({"id": b["id"].to_numpy()[first + p.text], "start": p.start.astype(np.int32), "size": p.size.astype(np.int32), "whole": p.whole.view(np.int64)})
+
+    every = texts.mapInPandas(rows, "id long, start int, size int, whole long")
+    near = by_bitmap(every, "whole", *id_bitmap(flagged, "whole"), True)
+    return join_spread(near, flagged, ["whole"], "n", "id").select("id", "start", "size", "cluster").distinct()
+
+
+def links_of(whole: np.ndarray, ids: np.ndarray, start: np.ndarray, length: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Verified pairs of classes that link all similar ones of different sides (where both occur) and of different
     components; a pair that others already link is left out."""
     size = np.array([len(x) for x in sets])
@@ -163,8 +225,8 @@ def links_of(whole: np.ndarray, ids: np.ndarray, start: np.ndarray, comp: np.nda
     comp = np.unique(comp, return_inverse=True)[1]
     asked, out = np.zeros(len(shingle), bool), []
     for i in range(len(whole) - 1):
-        ok = comp[i + 1 :] != comp[i]
-        ok &= (ids[i + 1 :] != ids[i]) | (np.abs(start[i + 1 :] - start[i]) >= span)
+        ok = (comp[i + 1 :] != comp[i]) & (np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :]))
+        ok &= (ids[i + 1 :] != ids[i]) | (start[i + 1 :] >= start[i] + length[i]) | (start[i] >= start[i + 1 :] + length[i + 1 :])
         if two:
             ok &= side[i + 1 :] != side[i]
         if not ok.any():
@@ -181,74 +243,39 @@ def links_of(whole: np.ndarray, ids: np.ndarray, start: np.ndarray, comp: np.nda
     return out
 
 
-def _unit_links(units: DataFrame, held: DataFrame, similarity: float, span: int) -> DataFrame:
-    """The links (a, b) within each of units (unit, side, whole, comp); held gives the sets."""
-
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for b in batches:  # a unit's rows are consecutive but may go on in the next batch
-            rest = b if rest is None or not len(rest) else pd.concat([rest, b], ignore_index=True)
-            if len(rest):
-                last = rest["unit"].to_numpy() == rest["unit"].iloc[-1]
-                yield solve(rest[~last])
-                rest = rest[last]
-        if rest is not None and len(rest):
-            yield solve(rest)
+def _unit_links(units: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) within each of units (unit, side, member, comp); held gives the sets."""
 
     def solve(b: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(b):
-            unit, whole, ids, start, comp, side = (b[c].to_numpy() for c in ("unit", "whole", "id", "start", "comp", "side"))
+            unit, whole, ids, start, size, comp, side = (b[c].to_numpy() for c in ("unit", "whole", "id", "start", "size", "comp", "side"))
             sets = [np.frombuffer(x, np.uint64) for x in b["s"]]
             edges = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(b)]])
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if e - s > 1:
-                    out += links_of(whole[s:e], ids[s:e], start[s:e], comp[s:e], side[s:e], sets[s:e], similarity, span)
+                    out += links_of(whole[s:e], ids[s:e], start[s:e], size[s:e], comp[s:e], side[s:e], sets[s:e], similarity)
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = units.join(held, "whole").select("unit", "side", "whole", "id", "start", "comp", "s").repartition(parts, "unit").sortWithinPartitions("unit")
-    return placed.mapInPandas(rows, "a long, b long")
-
+    placed = units.join(held, F.col("member") == F.col("whole")).select("unit", "side", "whole", "id", "start", "size", "comp", "s")
+    return by_unit(placed, solve, "a long, b long")
 
-def _similar(members: DataFrame, held: DataFrame, similarity: float, span: int, room: int) -> DataFrame:
-    """Links (a, b) between the classes of each band (band, n, whole): every pair that shares a band and is similar enough
-    is one of them or is linked by a path of them.
 
-    A band of at most room classes is one unit, in which all pairs are met. A larger one is first dealt to parts with the
-    band's first class in each. What then is not one component is met in two ways: the largest component, part by part,
-    with each part of the others, and the others among themselves.
-    """
-    n = F.ceil(F.col("n") / room).cast("int")
-    own = members.select(F.xxhash64("band", F.pmod(F.xxhash64("whole"), n)).alias("unit"), F.lit(0).alias("side"), "whole", F.col("whole").alias("comp"))
+def _similar(members: DataFrame, held: DataFrame, similarity: float, room: int) -> DataFrame:
+    """Components (node, component) of the classes of bands (group, n, member): every pair that shares a band and is similar
+    enough is linked or joined by a path of links. A band of at most room classes is one unit, in which all pairs are
+    met; a larger one is met in parts, and again those parts that are not yet one component."""
+    links = keep(_unit_links(first_units(members, room).withColumn("comp", F.col("member")), held, similarity), "passage-links")
+    label = components(links)
     large = members.where(F.col("n") > room)
-    heads = large.groupBy("band", "n").agg(F.min("whole").alias("whole")).select("band", "whole", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("part"))
-    heads = heads.select(F.xxhash64("band", "part").alias("unit"), F.lit(0).alias("side"), "whole", F.col("whole").alias("comp"))
-    links = keep(_unit_links(own.unionByName(heads).distinct() if not large.isEmpty() else own, held, similarity, span), "passage-links")
-    if large.isEmpty():
-        return links
-    label = keep(components(links), "passage-first-labels").withColumnRenamed("node", "whole")
-    left = keep(large.join(label, "whole", "left").select("band", "whole", F.coalesce("component", "whole").alias("comp")), "passage-large")
-    sizes = left.groupBy("band", "comp").agg(F.count("*").alias("c"))
-    most = sizes.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n")).where("top.c < n")
-    dealt = left.join(most.select("band", F.col("top.comp").alias("top"), F.ceil(F.col("top.c") / room).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("top.c")) / room).cast("int").alias("rests")), "band")
-
-    def part(count: str) -> Column:
-        return F.pmod(F.xxhash64("whole", F.lit(1)), F.col(count)).cast("int")
-
-    def each(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    def units(rows: DataFrame, kind: int, i: str, j: str, side: Column) -> DataFrame:
-        return rows.select(F.xxhash64("band", F.lit(kind), i, j).alias("unit"), side.cast("int").alias("side"), "whole", "comp")
-
-    inside = dealt.where("comp = top").withColumn("i", part("tops")).withColumn("j", each("rests"))
-    rest = dealt.where("comp <> top").withColumn("own", part("rests"))
-    across = units(inside, 1, "i", "j", F.lit(0)).unionByName(units(rest.withColumn("i", each("tops")), 1, "i", "own", F.lit(1)))
-    pairs = rest.withColumn("other", each("rests")).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    # A unit of one part with itself has one side.
-    among = units(pairs, 2, "i", "j", F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("own")))
-    return links.unionByName(keep(_unit_links(across.unionByName(among), held, similarity, span), "passage-more-links"))
+    if not large.isEmpty():
+        labelled = large.join(label, F.col("member") == F.col("node"), "left").select("group", "n", "member", F.coalesce("component", "member").alias("comp"))
+        labelled = keep(labelled, "passage-labelled")
+        more = keep(links.unionByName(_unit_links(more_units(labelled, room), held, similarity)), "passage-links")
+        forget(label), forget(labelled), forget(links)
+        links, label = more, components(more)
+    forget(links), forget(held)
+    return label
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +283,8 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
 
     All columns of docs stay. A text without passages stays as it is, null included.
     """
-    cuts = passages.groupBy(F.col("id").alias("__cut_id")).agg(F.sort_array(F.collect_list(F.array(F.col("start_word").cast("int"), F.col("end_word").cast("int")))).alias("__cuts"))
+    cut_id, cuts_col = unused(docs.columns, "cut_id", "cuts")
+    cuts = passages.groupBy(F.col("id").alias(cut_id)).agg(F.sort_array(F.collect_list(F.array(F.col("start_word").cast("int"), F.col("end_word").cast("int")))).alias(cuts_col))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -274,5 +302,5 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
 
         return pd.Series([one(t, c) for t, c in zip(text, cuts, strict=True)], dtype=object)
 
-    joined = docs.join(cuts, F.col(id_col).cast("long") == F.col("__cut_id"), "left")
-    return joined.select(*[cut(F.col(text_col), F.col("__cuts")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    joined = docs.join(cuts, F.col(id_col).cast("long") == F.col(cut_id), "left")
+    return joined.select(*[cut(F.col(text_col), F.col(cuts_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
