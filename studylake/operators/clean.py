@@ -40,7 +40,8 @@ def remove_noise(text: Column) -> Column:
 
 def clean_pages(pages: DataFrame, least: int = 20) -> DataFrame:
     """Pages with clean text and lengths before and after; those under least characters go."""
-    rows = pages.withColumn("clean", remove_noise(F.col("text"))).where(F.length("clean") >= least)
+    # As the only element of an exploded array the clean text is worked out once, not again for each use of it.
+    rows = pages.withColumn("clean", F.explode(F.array(remove_noise(F.col("text"))))).where(F.length("clean") >= least)
     before, after = F.length(F.coalesce("text", F.lit(""))), F.length("clean")
     return rows.select("doc_id", "page", F.col("clean").alias("text"), before.alias("original_length"), after.alias("cleaned_length"), (before - after).alias("noise_removed"))
 
@@ -119,11 +120,15 @@ def should_merge(page_end: Column, columns: Column, headers: Column, page_b: Col
 def merge_tables(tables: DataFrame) -> DataFrame:
     """Tables that go on across pages as one, with page_start, page_end and merged.
 
-    What follows is compared with the first table of a run, which no fixed offset can name: a fold over a document's
-    tables in page order, within the JVM. A document's tables must fit a task.
+    What follows is compared with the first table of a run, which no fixed offset can name: a fold over tables in page
+    order, within the JVM. No table goes on in one that is not on the next page, so a document is first split there, and
+    only tables on pages in a row meet in one fold.
     """
     fields = ("page", "table_index", "headers", "rows", "row_count", "col_count")
-    listed = tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("tables"))
+    order = Window.partitionBy("doc_id").orderBy("page", "table_index")
+    apart = F.coalesce(F.col("page") != F.lag("page").over(order) + 1, F.lit(True)).cast("int")
+    split = tables.withColumn("apart", apart).withColumn("island", F.sum("apart").over(order))
+    listed = split.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("tables"))
 
     def opened(t: Column) -> Column:
         return F.struct(*[t[f].alias(f) for f in fields], t["page"].alias("page_start"), t["page"].alias("page_end"), F.lit(False).alias("merged"))

@@ -19,11 +19,16 @@ def chunks(docs: DataFrame, text: str, size: int = 900, overlap: float = 0.1) ->
     return rows.select("doc_id", "chunk", F.size(part).cast("long").alias("n_tokens"), F.array_join(part, " ").alias("text"))
 
 
-def nearest_chunks(queries: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
+def nearest_chunks(queries: DataFrame, chunks: DataFrame, top: int = 5, parts: int = 16) -> DataFrame:
     """The nearest chunks (owner_id, vec_id, v) of each query (owner_id, query_id, q) of the same tenant, by Euclidean
-    distance rounded to six places, ties to the smaller id."""
-    j = queries.join(chunks, "owner_id").where(F.col("query_id") != F.col("vec_id"))
+    distance rounded to six places, ties to the smaller id. A tenant's chunks are dealt to parts, each of which gives its
+    own nearest, so a large tenant is searched in many tasks."""
+    dealt = chunks.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    j = asked.join(dealt, ["owner_id", "part"]).where(F.col("query_id") != F.col("vec_id"))
     squares = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    j = j.select("query_id", "vec_id", F.round(F.sqrt(squares), 6).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    j = j.select("query_id", "part", "vec_id", F.round(F.sqrt(squares), 6).alias("distance"))
+    for by in (["query_id", "part"], ["query_id"]):
+        order = Window.partitionBy(*by).orderBy("distance", "vec_id")
+        j = j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return j.drop("part")

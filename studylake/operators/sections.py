@@ -2,38 +2,41 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from studylake.functions.text import lines, missing, strip
 
-#: Heading patterns of a line; what a street ends with.
+#: White space, word edges and digits are those of the rules' origin: Unicode blanks, ASCII words.
+BLANK, EDGE_BEFORE, EDGE_AFTER = "[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]", "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: Heading patterns of a line; what a street ends with (a whole word); patterns of no headings; a chapter's heading.
 HEADINGS = (r"(?i)^Chapter\s+\d+[\.:]\s*.+$", r"^\d+\.\d+\s+[A-Z][^\.]+$", r"(?i)^Section\s+\d+[\.:]\s*.+$", r"^[A-Z][A-Z\s]{8,50}[A-Z]$", r"^\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){2,6}$")
-STREETS = r"(?i)\b(St|Street|Ave|Avenue|Rd|Road|Dr|Drive|Ln|Lane|Blvd|Boulevard|Pl|Place|Way|Court|Ct)\b"
+STREETS = r"St|Street|Ave|Avenue|Rd|Road|Dr|Drive|Ln|Lane|Blvd|Boulevard|Pl|Place|Way|Court|Ct"
 NOT_HEADINGS = (r"^[A-Z]+$", r"^\d+\s+\d+", r"^\d{1,2}[-\/]\d{1,2}[-\/]\d{2,4}$", r"(?i)^(Page|Figure|Table|Appendix|Index|References|Bibliography|Glossary)\s+\d+$")
-CHARS_A_PAGE, LINES_A_PAGE, RADIUS = 2000, 50, 500
 CHAPTER = r"(?i)Chapter[_\s]*(\d+):\s*(.+)"
+CHARS_A_PAGE, LINES_A_PAGE, RADIUS = 2000, 50, 500
+
+
+def fits(c: Column, pattern: str) -> Column:
+    """Whether a pattern is found, with \\s as any Unicode blank."""
+    return c.rlike(pattern.replace(r"\s", BLANK))
 
 
 def valid_heading(c: Column) -> Column:
     """Whether a text may be a section's title: long enough, no code, address, date or label."""
-    bad = (F.length(c) < 8) | (c.rlike(r"\d+") & c.rlike(STREETS))
+    bad = (F.length(c) < 8) | (c.rlike(r"\d+") & c.rlike(f"(?i){EDGE_BEFORE}({STREETS}){EDGE_AFTER}"))
     for p in NOT_HEADINGS:
-        bad = bad | c.rlike(p)
+        bad = bad | fits(c, p)
     return ~bad
 
 
 def headings(docs: DataFrame, text: str) -> DataFrame:
     """Heading lines with their number from 0 and page estimate."""
     rows = lines(docs, text, "doc_id").withColumn("text", strip(F.col("line"))).where(F.length("text").between(8, 200))
-    fits = F.lit(False)
+    shaped = F.lit(False)
     for p in HEADINGS:
-        fits = fits | F.col("text").rlike(p)
-    return rows.where(fits & valid_heading(F.col("text"))).select("doc_id", F.col("line_no").alias("line"), "text", (F.floor(F.col("line_no") / LINES_A_PAGE) + 1).cast("int").alias("estimated_page"))
+        shaped = shaped | fits(F.col("text"), p)
+    return rows.where(shaped & valid_heading(F.col("text"))).select("doc_id", F.col("line_no").alias("line"), "text", (F.floor(F.col("line_no") / LINES_A_PAGE) + 1).cast("int").alias("estimated_page"))
 
 
 def table_of_contents(found: DataFrame, least: int = 3, most: int = 30) -> DataFrame:
@@ -82,27 +85,34 @@ def validated(proposed: DataFrame, most: int = 15) -> DataFrame:
     return rows.select("doc_id", F.row_number().over(order).alias("section_number"), "name")
 
 
-def nearest_break(text: str, position: int, forward: bool = True) -> int:
-    """Where to cut near a position: the nearest blank line, else sentence end, else line end, within the radius."""
-    if position < 0 or position >= len(text):
-        return len(text) if forward else 0
-    first = max(0, position - RADIUS)
-    region = text[first : min(len(text), position + RADIUS)]
-    for pattern, shift in ((r"\n\n+", 0), (r"[.!?]\s", 1), (r"\n", 0)):
-        places = [first + m.start() + shift for m in re.finditer(pattern, region)]
-        if places:
-            return min(places, key=lambda x: (abs(x - position), x))
-    return position
+def smart_boundary(text: Column, position: Column, forward: bool = True) -> Column:
+    """Where to cut a text near a position: at the nearest blank line, else sentence end, else line end within the radius, else
+    there; of two as near the earlier. A position outside the text gives its end, or its beginning if not forward."""
+    n, first = F.length(text), F.greatest(F.lit(0), position - RADIUS)
+    region, at = F.substr(text, first + 1, F.least(n, position + RADIUS) - first), position - first
+
+    def nearest(pattern: str, place) -> Column:
+        # The region up to and with each find, one after the other: their lengths give the places.
+        parts = F.regexp_extract_all(region, F.lit(f"(?s).*?{pattern}".replace(r"\s", BLANK)), F.lit(0))
+        none = F.struct(F.lit(0).alias("seen"), F.lit(None).cast("int").alias("best"))
 
+        def step(s: Column, part: Column) -> Column:
+            x = (s["seen"] + place(part)).cast("int")
+            best = F.when(s["best"].isNull() | (F.abs(x - at) < F.abs(s["best"] - at)), x).otherwise(s["best"])
+            return F.struct((s["seen"] + F.length(part)).alias("seen"), best.alias("best"))
 
-@F.pandas_udf(IntegerType())
-def smart_boundary(text: pd.Series, position: pd.Series, forward: pd.Series) -> pd.Series:
-    return pd.Series([nearest_break(t or "", int(p), bool(f)) for t, p, f in zip(text, position, forward, strict=True)], dtype="int32")
+        return F.aggregate(parts, none, step, lambda s: s["best"])
+
+    paragraph = nearest(r"\n\n+", lambda part: F.length(F.rtrim(part, F.lit("\n"))))
+    sentence = nearest(r"[.!?]\s", lambda part: F.length(part) - 1)
+    line = nearest(r"\n", lambda part: F.length(part) - 1)
+    inside = F.coalesce(first + F.coalesce(paragraph, sentence, line), position)
+    return F.when((position < 0) | (position >= n), n if forward else F.lit(0)).otherwise(inside).cast("int")
 
 
 def _index(text: Column, pattern: Column) -> Column:
-    """Place from 0 where a pattern first fits, -1 without."""
-    return F.regexp_instr(text, pattern) - 1
+    """Place from 0 where a pattern first fits, null without."""
+    return F.nullif(F.regexp_instr(text, pattern), F.lit(0)) - 1
 
 
 def _quoted(name: Column) -> Column:
@@ -111,57 +121,67 @@ def _quoted(name: Column) -> Column:
 
 def split_by_sections(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """Each section's part of its document's Markdown: from its heading, bold name or name in its share of the text to the
-    next one's; else to a smart boundary. The text is met once with the list of its sections, not once for each."""
+    next one's; else to a smart boundary. Places are found in the document's row and only the parts leave it."""
     names = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_number", "name"))).alias("s"))
-    rows = docs.join(names, "doc_id").select("doc_id", "markdown", "s", F.posexplode("s").alias("i", "c"))
-    rows = rows.withColumn("next", F.get("s", F.col("i") + 1)["name"]).withColumn("count", F.size("s"))
-    text, n = F.col("markdown"), F.length("markdown")
-    name = F.col("c.name")
-    low, high = F.floor(F.col("i") * n / F.col("count")).cast("int"), F.floor((F.col("i") + 1) * n / F.col("count")).cast("int")
-    as_heading = lambda x: F.concat(F.lit(r"(?im)^#{1,3}\s*"), _quoted(x))
+    rows = docs.join(names, "doc_id").select("doc_id", "markdown", "s")
+    text, n, count = F.col("markdown"), F.length("markdown"), F.size("s")
+    low, high = lambda i: F.floor(i * n / count).cast("int"), lambda i: F.floor((i + 1) * n / count).cast("int")
+    as_heading = lambda x: F.concat(F.lit(r"(?im)^#{1,3}\s*".replace(r"\s", BLANK)), _quoted(x))
     as_bold = lambda x: F.concat(F.lit(r"(?i)\*\*"), _quoted(x), F.lit(r"\*\*"))
-    region = F.substr(text, low + 1, high - low)
-    plain = F.instr(F.lower(region), F.lower(name)) - 1
-    start = F.when(_index(text, as_heading(name)) >= 0, _index(text, as_heading(name))).when(_index(text, as_bold(name)) >= 0, _index(text, as_bold(name))).when(plain >= 0, low + plain)
-    rows = rows.withColumn("start", start)
-    # Only sections without any mark meet the helper, with their text.
-    rows = rows.withColumn("start", F.coalesce("start", F.when(F.col("start").isNull(), smart_boundary(F.when(F.col("start").isNull(), text), low, F.lit(True)))))
-    rest = F.substr(text, F.col("start") + 2)
-    end = F.when(F.col("next").isNull(), n).when(_index(rest, as_heading(F.col("next"))) >= 0, F.col("start") + 1 + _index(rest, as_heading(F.col("next")))).when(_index(rest, as_bold(F.col("next"))) >= 0, F.col("start") + 1 + _index(rest, as_bold(F.col("next"))))
-    rows = rows.withColumn("end", end)
-    rows = rows.withColumn("end", F.coalesce("end", smart_boundary(F.when(F.col("end").isNull(), text), high, F.lit(False))))
-    a, b = F.least("start", "end"), F.greatest("start", "end")
-    return rows.select("doc_id", F.col("c.section_number").alias("section_number"), name.alias("name"), strip(F.substr(text, a + 1, b - a)).alias("markdown_text"))
+
+    def start(x: Column, i: Column) -> Column:
+        region = F.substr(text, low(i) + 1, high(i) - low(i))
+        plain = low(i) + F.nullif(F.instr(F.lower(region), F.lower(x["name"])), F.lit(0)) - 1
+        return F.coalesce(_index(text, as_heading(x["name"])), _index(text, as_bold(x["name"])), plain, smart_boundary(text, low(i)))
+
+    def end(x: Column, i: Column) -> Column:
+        after, following = F.substr(text, x["start"] + 2), F.get("s", i + 1)["name"]
+        found = x["start"] + 1 + F.coalesce(_index(after, as_heading(following)), _index(after, as_bold(following)))
+        return F.when(i == count - 1, n).otherwise(F.coalesce(found, smart_boundary(text, high(i), False)))
+
+    def part(x: Column) -> Column:
+        a, b = F.least(x["start"], x["end"]), F.greatest(x["start"], x["end"])
+        return F.struct(x["section_number"].alias("section_number"), x["name"].alias("name"), strip(F.substr(text, a + 1, b - a)).alias("markdown_text"))
+
+    rows = rows.withColumn("s", F.transform("s", lambda x, i: x.withField("start", start(x, i))))
+    rows = rows.withColumn("s", F.transform("s", lambda x, i: x.withField("end", end(x, i))))
+    return rows.select("doc_id", F.inline(F.transform("s", part)))
 
 
 def section_texts(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """Text and strategy of each section (doc_id, section_number, name, page_start, page_end): by page markers, by
-    characters a page, by name, by equal parts. docs has text and, where known, pages."""
+    characters a page, by name, by equal parts. docs has text and, where known, pages. Only the parts leave a document's row."""
     names = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_number", "name", "page_start", "page_end"))).alias("s"))
-    d = docs.join(names, "doc_id").withColumn("marks", F.regexp_extract_all("text", F.lit(r"(?m)^## Page (\d+)$"), F.lit(1)))
-    d = d.withColumn("places", F.transform("marks", lambda x: F.struct(x.cast("int").alias("page"), (F.regexp_instr("text", F.concat(F.lit(r"(?m)^## Page "), x, F.lit("$"))) - 1).alias("at"))))
-    rows = d.select("doc_id", "text", "places", "pages", F.size("s").alias("count"), F.posexplode("s").alias("i", "c"), F.col("s").alias("s"))
-    rows = rows.select("doc_id", "text", "places", "pages", "count", "i", "c.*", F.get("s", F.col("i") + 1)["name"].alias("next"))
-    text, n = F.col("text"), F.length("text")
-    ranged = (F.col("page_start") > 0) & (F.col("page_end") > 0)
-    at = lambda page: F.get(F.filter("places", lambda x: x["page"] == page), F.lit(0))["at"]
-    first = at(F.col("page_start"))
-    spot = F.array_position(F.transform("places", lambda x: x["page"]), F.col("page_end"))
-    after = F.when(spot > 0, F.get("places", spot.cast("int"))["at"])
-    marked = F.when(ranged & first.isNotNull(), F.substr(text, first + 1, F.greatest(F.lit(0), F.coalesce(after, n) - first)))
+    marks = F.regexp_extract_all("text", F.lit(r"(?m)^## Page (\d+)$"), F.lit(1))
+    rows = docs.join(names, "doc_id").withColumn("places", F.transform(marks, lambda x: F.struct(x.cast("int").alias("page"), _index(F.col("text"), F.concat(F.lit("(?m)^## Page "), x, F.lit("$"))).alias("at"))))
+    text, n, count = F.col("text"), F.length("text"), F.size("s")
     total = F.coalesce(F.nullif("pages", F.lit(0)), F.ceil(n / CHARS_A_PAGE)).cast("int")
-    each = F.floor(n / total).cast("int")
-    low, high = F.greatest(F.lit(0), (F.col("page_start") - 1) * each), F.least(n, F.col("page_end") * each)
-    counted = F.when(ranged & (total > 0), F.substr(text, F.least(low, high) + 1, F.abs(high - low)))
-    found = F.coalesce(F.nullif(F.instr(text, F.col("name")), F.lit(0)), F.nullif(F.instr(F.lower(text), F.lower("name")), F.lit(0)))
-    rest = F.substr(text, found + 1)
-    stop = F.coalesce(F.nullif(F.instr(rest, F.col("next")), F.lit(0)), F.nullif(F.instr(F.lower(rest), F.lower("next")), F.lit(0)))
-    named = F.when(found.isNotNull(), F.when(stop.isNotNull(), F.substr(text, found, stop)).otherwise(F.substr(text, found)))
-    part = F.floor(n / F.col("count")).cast("int")
-    equal = F.substr(text, F.col("i") * part + 1, part)
-    rows = rows.select("*", missing(marked).alias("m"), missing(counted).alias("p"), missing(named).alias("w"), equal.alias("e"))
-    how = F.when(F.col("m").isNotNull(), "page_markers").when(F.col("p").isNotNull(), "page_range_calc").when(F.col("w").isNotNull(), "name_search").otherwise("proportional_chunking")
-    return rows.select("doc_id", "section_number", "name", how.alias("strategy"), F.coalesce("m", "p", "w", "e").alias("extracted"))
+    each = F.floor(F.try_divide(n, total)).cast("int")
+
+    def place(page: Column) -> Column:
+        return F.get(F.filter("places", lambda x: x["page"] == page), F.lit(0))["at"]
+
+    def spot(where: Column, what: Column) -> Column:
+        return F.coalesce(F.nullif(F.instr(where, what), F.lit(0)), F.nullif(F.instr(F.lower(where), F.lower(what)), F.lit(0)))
+
+    def found(x: Column) -> Column:
+        ranged = (x["page_start"] > 0) & (x["page_end"] > 0)
+        low, high = F.greatest(F.lit(0), (x["page_start"] - 1) * each), F.least(n, x["page_end"] * each)
+        counted = F.when(ranged & (total > 0), F.substr(text, F.least(low, high) + 1, F.abs(high - low)))
+        first = place(x["page_start"])
+        marked = F.when(ranged & first.isNotNull(), F.substr(text, first + 1, F.greatest(F.lit(0), F.coalesce(place(x["page_end"]), n) - first)))
+        return x.withField("m", missing(marked)).withField("p", missing(counted)).withField("at", spot(text, x["name"]))
+
+    def part(x: Column, i: Column) -> Column:
+        stop = spot(F.substr(text, x["at"] + 1), F.get("s", i + 1)["name"])
+        named = missing(F.when(x["at"].isNotNull(), F.coalesce(F.substr(text, x["at"], stop), F.substr(text, x["at"]))))
+        size = F.floor(n / count).cast("int")
+        how = F.when(x["m"].isNotNull(), "page_markers").when(x["p"].isNotNull(), "page_range_calc").when(x["at"].isNotNull(), "name_search").otherwise("proportional_chunking")
+        extracted = F.coalesce(x["m"], x["p"], named, F.substr(text, i * size + 1, size))
+        return F.struct(x["section_number"].alias("section_number"), x["name"].alias("name"), how.alias("strategy"), extracted.alias("extracted"))
+
+    rows = rows.withColumn("s", F.transform("s", found))
+    return rows.select("doc_id", F.inline(F.transform("s", part)))
 
 
 def quality(extracted: Column, name: Column, others: Column, full: Column) -> Column:
@@ -257,7 +277,8 @@ def joined_sources(sources: DataFrame) -> DataFrame:
 def source_similarity(sources: DataFrame, text: str, group: list[str], key: str, least: float = 0.1) -> DataFrame:
     """Pairs of sources of one group that share a distinct paragraph, with the Jaccard similarity of their paragraphs and
     whether they are in conflict (below least). Repeated paragraphs of a source count once. Sources meet through the
-    paragraphs that they share, so no pair without one is made."""
+    paragraphs that they share, so no pair without one is made; all pairs of a group that share one are the result, so a
+    group is to be a chapter's sources, not a corpus."""
     parts = sources.select(*group, key, F.explode(F.split(text, "\n")).alias("p")).select(*group, key, strip(F.col("p")).alias("p")).where("p <> ''").distinct()
     sizes = parts.groupBy(*group, key).agg(F.count("*").alias("n"))
     a, b = parts.withColumnRenamed(key, "a"), parts.withColumnRenamed(key, "b")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -100,47 +101,65 @@ def latest_tier(changes: DataFrame) -> DataFrame:
     return changes.groupBy("user_id").agg(F.max_by("tier", F.struct("ts", "change_id")).alias("tier"), F.count("*").alias("changes"))
 
 
-def rate_status(requests: DataFrame, limits: dict[str, int] = RATE_LIMITS) -> DataFrame:
+def _limit(limits: dict[str, int]) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("type")), F.lit(min(limits.values())))
+
+
+def with_bursts(requests: DataFrame) -> DataFrame:
+    """requests with burst: it changes where an owner made no request of a type for a window's length, as nothing before counts
+    after that. Only the first and last request of each minute meet in an owner's window, so a busy owner is no large group."""
+    minute = F.floor(F.col("ts_ms") / WINDOW_MS)
+    ends = requests.groupBy("owner_id", "type", minute.alias("minute")).agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+    order = Window.partitionBy("owner_id", "type").orderBy("minute")
+    apart = F.coalesce(F.col("first") - F.lag("last").over(order) >= WINDOW_MS, F.lit(True)).cast("int")
+    numbered = ends.withColumn("apart", apart).select("owner_id", "type", "minute", F.sum("apart").over(order).alias("burst"))
+    return requests.withColumn("minute", minute).join(numbered, ["owner_id", "type", "minute"]).drop("minute")
+
+
+def rate_status(requests: DataFrame, limits: dict[str, int] = RATE_LIMITS, group: tuple[str, ...] = ("owner_id", "type")) -> DataFrame:
     """Each request (owner_id, type, ts_ms, request_id) with those of the last 60 seconds, itself included, and what remains."""
-    last = Window.partitionBy("owner_id", "type").orderBy("ts_ms").rangeBetween(-(WINDOW_MS - 1), 0)
-    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("type")), F.lit(min(limits.values())))
-    return requests.withColumn("count", F.count("*").over(last)).withColumn("remaining", F.greatest(F.lit(0), limit - F.col("count")).cast("long"))
-
-
-def admit(times: list[int], limit: int) -> list[tuple[bool, int]]:
-    """Greedy admission of requests at sorted times: allowed or not and what remains; only allowed ones fill the window."""
-    held: deque[int] = deque()
-    out = []
-    for t in times:
-        while held and held[0] <= t - WINDOW_MS:
-            held.popleft()
-        if len(held) < limit:
-            held.append(t)
-            out.append((True, limit - len(held)))
-        else:
-            out.append((False, 0))
-    return out
+    last = Window.partitionBy(*group).orderBy("ts_ms").rangeBetween(-(WINDOW_MS - 1), 0)
+    return requests.withColumn("count", F.count("*").over(last)).withColumn("remaining", F.greatest(F.lit(0), _limit(limits) - F.col("count")).cast("long"))
+
+
+def admit(held: deque, t: int, limit: int) -> bool:
+    """Greedy admission of a request at a time not before those held; only allowed ones fill the window."""
+    while held and held[0] <= t - WINDOW_MS:
+        held.popleft()
+    if len(held) < limit:
+        held.append(t)
+        return True
+    return False
 
 
 def rate_admission(requests: DataFrame, limits: dict[str, int] = RATE_LIMITS) -> DataFrame:
     """Each request with allowed and remaining under the sliding window.
 
-    Whom the window never fills (rate_status) is admitted throughout by plain windows; only the others' requests go
-    through the sequential rule, a group for each owner and type.
+    Requests are met burst by burst (with_bursts). A burst that never fills the window (rate_status) is admitted
+    throughout by plain windows; the requests of others stream in order through the sequential rule, which holds no more
+    than the window.
     """
-    status = rate_status(requests, limits)
-    limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("type"))
-    most = F.max("count").over(Window.partitionBy("owner_id", "type"))
-    marked = status.withColumn("limit", F.coalesce(limit, F.lit(min(limits.values())))).withColumn("most", most)
-    calm = marked.where("most <= limit").select("owner_id", "type", "ts_ms", "request_id", F.lit(True).alias("allowed"), (F.col("limit") - F.row_number().over(Window.partitionBy("owner_id", "type", "ts_ms").orderBy("request_id")) - (F.col("count") - F.count("*").over(Window.partitionBy("owner_id", "type", "ts_ms")))).cast("long").alias("remaining"))
-
-    def one(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["ts_ms", "request_id"])
-        got = admit(b["ts_ms"].tolist(), int(b["limit"].iloc[0]))
-        return b[["owner_id", "type", "ts_ms", "request_id"]].assign(allowed=[x for x, _ in got], remaining=[x for _, x in got])
-
-    busy = marked.where("most > limit").groupBy("owner_id", "type").applyInPandas(one, "owner_id long, type string, ts_ms long, request_id long, allowed boolean, remaining long")
-    return calm.unionByName(busy)
+    group = ("owner_id", "type", "burst")
+    status = rate_status(with_bursts(requests), limits, group)
+    marked = status.withColumn("limit", _limit(limits)).withColumn("most", F.max("count").over(Window.partitionBy(*group)))
+    now = Window.partitionBy(*group, "ts_ms")
+    left = F.col("limit") - F.row_number().over(now.orderBy("request_id")) - (F.col("count") - F.count("*").over(now))
+    calm = marked.where("most <= limit").select("owner_id", "type", "ts_ms", "request_id", F.lit(True).alias("allowed"), left.cast("long").alias("remaining"))
+
+    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, deque()
+        for b in batches:
+            allowed, remaining = [], []
+            for now, t, limit in zip(zip(b["owner_id"], b["type"], b["burst"], strict=True), b["ts_ms"], b["limit"], strict=True):
+                if now != key:
+                    key, held = now, deque()
+                allowed.append(admit(held, t, limit))
+                remaining.append(limit - len(held) if allowed[-1] else 0)
+            yield b[["owner_id", "type", "ts_ms", "request_id"]].assign(allowed=allowed, remaining=remaining)
+
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    busy = marked.where("most > limit").repartition(parts, *group).sortWithinPartitions(*group, "ts_ms", "request_id")
+    return calm.unionByName(busy.mapInPandas(rows, "owner_id long, type string, ts_ms long, request_id long, allowed boolean, remaining long"))
 
 
 def fixed_windows(requests: DataFrame, limit: int = 100) -> DataFrame:

@@ -88,24 +88,33 @@ def cat8_chapter_sources(spark, sf):
     return c.chapter_sources(d.chapter_sources(spark, sf), titles(spark, sf))
 
 
-@query("WITH " + DOCS + " SELECT document_id, owner_id FROM docs WHERE document_id NOT IN (SELECT l_suppkey FROM lineitem WHERE l_partkey % 50 = 0)")
+#: Documents of the corpus; those with labels have sources.
+CORPUS = "corpus AS (SELECT doc_id AS document_id, doc_id % 25 AS owner_id, doc_id % 4 AS course_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Chapter ' || (doc_id % 12) END AS chapter FROM documents)"
+
+
+def corpus(spark, sf):
+    k = F.col("doc_id")
+    return table(spark, sf, "documents").select(k.alias("document_id"), (k % 25).alias("owner_id"), (k % 4).alias("course_id"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("Chapter "), (k % 12).cast("string"))).alias("chapter"))
+
+
+@query("WITH " + CORPUS + " SELECT document_id, owner_id FROM corpus WHERE document_id NOT IN (SELECT doc_id FROM labels)")
 def cat9_documents_without_sources(spark, sf):
-    sources = table(spark, sf, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_suppkey").alias("document_id")).distinct()
-    return docs(spark, sf).join(sources, "document_id", "left_anti").select("document_id", "owner_id")
+    sources = table(spark, sf, "labels").select(F.col("doc_id").alias("document_id")).distinct()
+    return corpus(spark, sf).join(sources, "document_id", "left_anti").select("document_id", "owner_id")
 
 
-CHAPTERS = DOCS + """, src AS (SELECT DISTINCT l_suppkey AS document_id, l_suppkey % 4 AS course_id, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_partkey % 30 AS VARCHAR) END AS chapter FROM lineitem WHERE l_partkey % 50 = 0),
+CHAPTERS = CORPUS + """, src AS (SELECT DISTINCT doc_id AS document_id, doc_id % 4 AS course_id, CASE WHEN quality = 0 THEN NULL ELSE CAST(doc_id % 30 AS VARCHAR) END AS chapter FROM labels),
     running AS (SELECT o_custkey % 4 AS course_id, 'Chapter ' || (o_orderkey % 40) AS chapter FROM orders WHERE o_orderstatus = 'P'),
-    every AS (SELECT DISTINCT course_id, coalesce(nullif(chapter, ''), 'Uncategorized') AS chapter FROM (SELECT course_id, chapter FROM docs WHERE document_id NOT IN (SELECT document_id FROM src)
+    every AS (SELECT DISTINCT course_id, coalesce(nullif(chapter, ''), 'Uncategorized') AS chapter FROM (SELECT course_id, chapter FROM corpus WHERE document_id NOT IN (SELECT document_id FROM src)
         UNION ALL SELECT course_id, chapter FROM running UNION ALL SELECT course_id, chapter FROM src))"""
 
 
 @query("WITH " + CHAPTERS + """ SELECT course_id, chapter, CAST(row_number() OVER (PARTITION BY course_id ORDER BY chapter = 'Uncategorized', CASE WHEN chapter LIKE 'Chapter %' THEN 'chapter ' || lpad(substr(chapter, 9), 10, '0') ELSE lpad(chapter, 10, '0') END) AS INTEGER) AS place FROM every""")
 def cat10_chapter_list(spark, sf):
-    items = table(spark, sf, "lineitem").where("l_partkey % 50 = 0")
-    sources = items.select(F.col("l_suppkey").alias("document_id"), (F.col("l_suppkey") % 4).alias("course_id"), F.when(F.col("l_partkey") % 11 != 0, (F.col("l_partkey") % 30).cast("string")).alias("chapter"))
+    k = F.col("doc_id")
+    sources = table(spark, sf, "labels").select(k.alias("document_id"), (k % 4).alias("course_id"), F.when(F.col("quality") != 0, (k % 30).cast("string")).alias("chapter"))
     running = table(spark, sf, "orders").where("o_orderstatus = 'P'").select((F.col("o_custkey") % 4).alias("course_id"), F.concat(F.lit("Chapter "), (F.col("o_orderkey") % 40).cast("string")).alias("chapter"))
-    return c.chapter_list(docs(spark, sf), running, sources)
+    return c.chapter_list(corpus(spark, sf), running, sources)
 
 
 @query(ctes("chapter_sources") + """SELECT source_id, document_id, course_id, CASE WHEN source_id % 6 = 0 THEN CASE source_id % 4 WHEN 0 THEN NULL ELSE source_id % 8 END ELSE chapter_number END AS chapter_number FROM chapter_sources""")
@@ -123,13 +132,13 @@ def cat12_foreign_references(spark, sf):
     return c.foreign_references(sessions, courses, "course_id").select(F.col("user_id").alias("owner_id"), "session_id", "course_id")
 
 
-@query("WITH " + DOCS + """, running AS (SELECT o_custkey % 200 AS document_id, min(o_orderkey) AS job_id FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderkey % 50 = 0 GROUP BY 1)
+@query("WITH " + DOCS + """, running AS (SELECT o_orderkey AS document_id, min(o_orderkey) AS job_id FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1)
     SELECT p_partkey AS document_id, status, CASE WHEN status = 'processing' THEN job_id END AS job_id
     FROM (SELECT p_partkey, job_id, CASE WHEN d.document_id IS NULL THEN 'not_found' WHEN pages > 0 THEN 'completed' WHEN job_id IS NOT NULL THEN 'processing' ELSE 'pending' END AS status
         FROM part LEFT JOIN docs d ON d.document_id = p_partkey LEFT JOIN running r ON r.document_id = p_partkey)""")
 def cat13_upload_status(spark, sf):
     asked = table(spark, sf, "part").select(F.col("p_partkey").alias("document_id"))
-    jobs = d.jobs(spark, sf).where("job_id % 50 = 0").withColumn("document_id", F.col("owner_id") % 200)
+    jobs = d.jobs(spark, sf).withColumn("document_id", F.col("job_id"))
     return c.upload_status(asked, docs(spark, sf), jobs)
 
 
@@ -186,12 +195,12 @@ def snk4_json_or_fallback(spark, sf):
 
 
 @query("""
-    WITH q AS (SELECT label, vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+    WITH q AS (SELECT label, vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
     d AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(list_zip(q, embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))))), 6) AS distance FROM q JOIN embeddings USING (label) WHERE query_id <> vec_id)
     SELECT * FROM (SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d) WHERE rank <= 5""")
 def ret1_nearest_chunks(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("label").alias("owner_id"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return retrieve.nearest_chunks(e.where("vec_id % 50 = 0").select("owner_id", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), e)
+    return retrieve.nearest_chunks(e.where("vec_id % 20 = 0").select("owner_id", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), e)
 
 
 @query(r"""

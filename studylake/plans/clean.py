@@ -12,17 +12,24 @@ from studylake.sources.derive import ctes
 from studylake.sources.tables import table
 
 
+#: The rules as literals, so that they are told apart from the operator's own.
+NOISE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(TEXT, '(?im)第\s*\d+\s*页', '', 'g'), '(?im)Page\s+\d+', '', 'g'), '(?im)^\s*\d+\s*$', '', 'g'), '(?im)\d+\s*/\s*\d+', '', 'g'),
+    '(?im)- \d+ -', '', 'g'), '(?im)---+\n+', chr(10), 'g'), '(?im)===+\n+', chr(10), 'g'), '(?im)___+\n+', chr(10), 'g'), '(?im)^\s*Copyright.*?$', '', 'g'), '(?im)^\s*©.*?$', '', 'g'),
+    '(?im)^\s*All rights reserved.*?$', '', 'g'), '(?im)^\s*Confidential.*?$', '', 'g'), '(?im)^\s*Proprietary.*?$', '', 'g'), '(?im)^\s*Draft.*?$', '', 'g'), '(?im)\n{3,}', chr(10) || chr(10), 'g'),
+    '(?im)[ \t]{2,}', ' ', 'g'), '\A\s+|\s+\z', '', 'g')"""
+SYMBOL_SQL = r"""replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
+    replace(replace(replace(replace(replace(replace(replace(replace(TEXT, 'α', '\alpha'), 'β', '\beta'), 'γ', '\gamma'), 'δ', '\delta'), 'Δ', '\Delta'), 'ε', '\epsilon'), 'θ', '\theta'), 'λ', '\lambda'), 'μ', '\mu'),
+    'π', '\pi'), 'σ', '\sigma'), 'Σ', '\Sigma'), 'φ', '\phi'), 'ω', '\omega'), 'Ω', '\Omega'), '≤', '\leq'), '≥', '\geq'), '≠', '\neq'), '≈', '\approx'), '∞', '\infty'), '√', '\sqrt'), '∑', '\sum'), '∫', '\int'),
+    '∂', '\partial'), '∇', '\nabla'), '×', '\times'), '÷', '\div'), '±', '\pm'), '∈', '\in'), '⊂', '\subset'), '∪', '\cup'), '∩', '\cap')"""
+
+
 def noise_sql(text: str) -> str:
-    for pattern, to in c.NOISE:
-        to = to.replace("\n", "' || chr(10) || '")
-        text = f"regexp_replace({text}, '(?im){pattern}', '{to}', 'g')"
-    return rf"regexp_replace({text}, '\A\s+|\s+\z', '', 'g')"
+    return NOISE_SQL.replace("TEXT", text)
 
 
 def symbol_sql(text: str) -> str:
-    for a, b in c.SYMBOLS:
-        text = f"replace({text}, '{a}', '{b}')"
-    return text
+    return SYMBOL_SQL.replace("TEXT", text)
 
 
 CLEAN = f"cleaned AS (SELECT doc_id, page, clean AS text, length(text) AS original_length, length(clean) AS cleaned_length FROM (SELECT *, {noise_sql('text')} AS clean FROM pages) WHERE length(clean) >= 20)"
@@ -211,3 +218,9 @@ def src1_extraction_content(spark, sf):
 @query("SELECT r_regionkey, r_name FROM region")
 def src5_checked_table(spark, sf):
     return t.checked(table(spark, sf, "region"), {"r_regionkey": "int", "r_name": "string"}).select("r_regionkey", "r_name")
+
+
+@query()
+def src4_stored_objects(spark, sf):
+    found = t.stored_objects(spark, sf)
+    return found.select(F.regexp_replace("key", r"^.*/(?=[^/]+\.parquet(/|$))", "").alias("key"), "size_bytes")

@@ -154,8 +154,11 @@ def md7_outside_tables(spark, sf):
     return y.outside_tables(s, s.where("span_idx % 4 = 0").select("doc_id", "page", (F.col("y0") + 2).alias("top"), (F.col("y1") + 2).alias("bottom"))).select("doc_id", "page", "span_idx")
 
 
-@query(ctes("pages").rstrip() + ", " + PAGED + """ SELECT doc_id, '# Document ' || doc_id || chr(10) || chr(10) || '<!-- Extraction mode: deterministic -->' || chr(10) || chr(10) || string_agg(markdown, chr(10) || chr(10) ORDER BY page)
-    || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Document Metadata' || chr(10) || chr(10) || '- **Total Pages**: ' || count(*) || chr(10) || '- **Tables**: 0' || chr(10) || '- **Formulas**: 0' AS markdown FROM paged GROUP BY doc_id""")
+MD8 = ctes("pages").rstrip() + ", " + PAGED + """ SELECT doc_id, '# Document ' || doc_id || chr(10) || chr(10) || '<!-- Extraction mode: deterministic -->' || chr(10) || chr(10) || string_agg(markdown, chr(10) || chr(10) ORDER BY page)
+    || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Document Metadata' || chr(10) || chr(10) || '- **Total Pages**: ' || count(*) || chr(10) || '- **Tables**: 0' || chr(10) || '- **Formulas**: 0' AS markdown FROM paged GROUP BY doc_id"""
+
+
+@query(MD8)
 def md8_converted(spark, sf):
     pages, extra = contents(spark, sf)
     none = pages.where("false")

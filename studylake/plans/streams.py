@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from studylake.operators import usage as u
+from studylake.plans.layout import MD8, md8_converted
 from studylake.plans.registry import query
+from studylake.plans.usage import ADMITTED
 from studylake.sources import derive as d
 from studylake.sources.derive import ctes
-from studylake.sources.tables import table
+from studylake.sources.tables import shared_dir, table, write_documents
 from studylake.streaming import streams as st
 
 
 def drained(spark, stream, mode="append"):
     """Runs a stream over what there is and returns its rows from the shared folder."""
-    path = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/state")
     if mode == "append":
         writer.format("parquet").option("path", f"{path}/rows").outputMode("append").start().awaitTermination()
@@ -30,22 +32,10 @@ def drained(spark, stream, mode="append"):
     return spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch_id", IntegerType())).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
 
 
-def shared(spark):
-    """The cluster's shared folder, or in local mode a temporary one."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="studylake-"))
-    return found or spark.sparkContext.getCheckpointDir()
-
-
-def stream(spark, sf, name):
-    """A table's files as a stream."""
+def stream(spark, sf, name, files=1000):
+    """A table's files as a stream, at most some in a micro-batch."""
     kind = table(spark, sf, name).schema
-    return spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/{name}.parquet*")
+    return spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files).parquet(f"{sf}/{name}.parquet*")
 
 
 def attempts_stream(spark, sf):
@@ -74,7 +64,7 @@ def str2_usage_counters(spark, sf):
     return st.latest_usage(drained(spark, st.usage_counters(uploads, "60 days"), "update"))
 
 
-@query()
+@query(ADMITTED + " SELECT owner_id, type, ts_ms, request_id, allowed FROM admitted")
 def str3_rate_admission(spark, sf):
     return drained(spark, st.rate_admission(u.requests_of(stream(spark, sf, "events"), 1000), {"lesson": 3, "upload": 2}, expire=False))
 
@@ -94,8 +84,8 @@ def str5_unique_events(spark, sf):
 
 @query("SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, least(100, greatest(0, arg_max(CAST(floor(value) AS BIGINT) * 3 - 20, (ts, event_id)))) AS progress FROM events GROUP BY 1")
 def str6_job_states(spark, sf):
-    e = stream(spark, sf, "events").select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("update_id"), F.col("event_type").alias("status"), (F.floor("value") * 3 - 20).alias("progress"))
-    rows = drained(spark, st.job_states(e), "update")
+    e = timed(spark, sf).select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("update_id"), F.col("event_type").alias("status"), (F.floor("value") * 3 - 20).alias("progress"))
+    rows = drained(spark, st.job_states(e, "60 days"), "update")
     return rows.groupBy("job_id").agg(F.max_by(F.struct("status", "progress"), "batch_id").alias("x")).select("job_id", "x.*")
 
 
@@ -103,8 +93,8 @@ def str6_job_states(spark, sf):
     SELECT session_id, min(ms) AS started_ms, completed_ms, CAST(count(*) FILTER (WHERE ms < completed_ms) AS BIGINT) AS check_ins, CAST(count(*) FILTER (WHERE ms < completed_ms AND value >= 30) AS BIGINT) AS correct FROM e JOIN c USING (session_id) GROUP BY 1, 3""")
 def str7_completed_sessions(spark, sf):
     ms = F.floor(F.unix_micros(F.col("ts")) / 1000)
-    e = timed(spark, sf).select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id"), ms.alias("ts_ms"), F.when(F.col("event_type") == "purchase", "complete").otherwise("track").alias("kind"), (F.col("value") >= 30).alias("was_correct"))
-    return drained(spark, st.completed_sessions(e))
+    e = timed(spark, sf).select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id"), "ts", ms.alias("ts_ms"), F.when(F.col("event_type") == "purchase", "complete").otherwise("track").alias("kind"), (F.col("value") >= 30).alias("was_correct"))
+    return drained(spark, st.completed_sessions(e, "60 days"))
 
 
 @query("SELECT DISTINCT user_id AS document_id, event_id % 3 AS section_id, value >= 30 AS with_check_ins FROM events")
@@ -113,13 +103,16 @@ def str8_first_requests(spark, sf):
     return drained(spark, st.first_requests(asks, "60 days")).drop("ts")
 
 
-@query(ctes("attempts") + "SELECT owner_id, CAST(count(*) AS BIGINT) AS answers FROM attempts GROUP BY 1")
+@query("SELECT doc_id, md5(markdown) AS digest FROM (" + MD8 + ")")
 def snk1_written_documents(spark, sf):
-    from studylake.sources.tables import write_documents
-
-    path = f"{shared(spark)}/documents-{uuid.uuid4().hex}"
-    rows = d.attempts(spark, sf).groupBy("owner_id").agg(F.count("*").alias("answers"))
-    write_documents(rows.select(F.col("owner_id").alias("doc_id"), F.concat(F.lit("# "), F.col("answers").cast("string")).alias("markdown")), path, 8)
-    return spark.read.schema("doc_id long, markdown string, bucket long").parquet(path).select(F.col("doc_id").alias("owner_id"), F.substr("markdown", F.lit(3)).cast("long").alias("answers"))
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    write_documents(md8_converted(spark, sf).select("doc_id", "markdown"), path)
+    return spark.read.schema("doc_id long, markdown string, bucket long").parquet(path).select("doc_id", F.md5("markdown").alias("digest"))
 
 
+@query("SELECT user_id, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(count(*) AS BIGINT) AS pdfs_uploaded, CAST(sum(event_id % 20) AS BIGINT) AS pages_processed FROM events GROUP BY 1, 2", dates=("month",))
+def snk3_streamed_upsert(spark, sf):
+    path = f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}"
+    counters = st.usage_counters(timed(spark, sf).select("user_id", "ts", (F.col("event_id") % 20).alias("pages")), "60 days")
+    counters.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(st.upsert_usage(f"{path}/rows")).outputMode("update").start().awaitTermination()
+    return st.latest_usage(spark.read.schema(counters.schema.add("batch_id", IntegerType())).parquet(f"{path}/rows"))

@@ -117,7 +117,14 @@ def requests_sql(squeeze):
 SMALL = {"lesson": 3, "upload": 2}
 
 
-@query()
+#: Requests one after the other, for all owners at once: held are the times of those admitted in the last 60 seconds.
+ADMITTED = "WITH RECURSIVE " + requests_sql(1000) + """, r AS (SELECT *, CASE type WHEN 'lesson' THEN 3 ELSE 2 END AS most, row_number() OVER (PARTITION BY owner_id, type ORDER BY ts_ms, request_id) AS i FROM requests),
+    admitted AS (SELECT owner_id, type, i, ts_ms, request_id, most, [ts_ms] AS held, true AS allowed FROM r WHERE i = 1
+        UNION ALL SELECT owner_id, type, i, ts_ms, request_id, most, CASE WHEN len(held) < most THEN list_append(held, ts_ms) ELSE held END, len(held) < most
+        FROM (SELECT r.*, list_filter(a.held, lambda x: x > r.ts_ms - 60000) AS held FROM admitted a JOIN r ON r.owner_id = a.owner_id AND r.type = a.type AND r.i = a.i + 1))"""
+
+
+@query(ADMITTED + " SELECT owner_id, type, ts_ms, request_id, allowed, CASE WHEN allowed THEN most - len(held) ELSE 0 END AS remaining FROM admitted")
 def lim1_rate_admission(spark, sf):
     return u.rate_admission(u.requests_of(table(spark, sf, "events"), 1000), SMALL)
 

@@ -164,16 +164,17 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["section_markdown"] = """
-    SELECT doc_id, '# Document ' || doc_id || chr(10) || chr(10) || string_agg(CASE WHEN pos % 5 = 1 THEN '## Section ' || (pos // 5 + 1) || chr(10) || chr(10) ELSE '' END || line, chr(10) || chr(10) ORDER BY pos) AS markdown
+    SELECT doc_id, '# Document ' || doc_id || chr(10) || chr(10) || string_agg(CASE WHEN pos % 5 = 1 THEN '## Section ' || lpad(CAST(pos // 5 + 1 AS VARCHAR), 5, '0') || chr(10) || chr(10) ELSE '' END || line, chr(10) || chr(10) ORDER BY pos) AS markdown
     FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) GROUP BY doc_id"""
 
 
 def section_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """A document's lines as paragraphs under a title, with a section heading before every fifth from the first."""
+    """A document's lines as paragraphs under a title, with a section heading before every fifth from the first.
+    Numbers are padded, so that no name is the beginning of another."""
     parts = F.split("text", "\n", -1)
 
     def one(line, i):
-        head = F.when(i % 5 == 0, F.concat(F.lit("## Section "), (F.floor(i / 5) + 1).cast("string"), F.lit("\n\n"))).otherwise("")
+        head = F.when(i % 5 == 0, F.concat(F.lit("## Section "), F.lpad((F.floor(i / 5) + 1).cast("string"), 5, "0"), F.lit("\n\n"))).otherwise("")
         return F.concat(head, line)
 
     body = F.array_join(F.transform(parts, one), "\n\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; in local mode, where it is unset, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="studylake-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def checked(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     """df if it has the columns with these types, else an error that names the first that differs."""
     have = dict(df.dtypes)
@@ -55,9 +68,10 @@ def parse_vision(df: DataFrame, raw: str) -> DataFrame:
     return rows.select("doc_id", "page", F.when(bad, F.col(raw)).otherwise(F.coalesce("parsed.text", F.lit(""))).alias("text"), F.when(bad, F.lit("invalid JSON")).alias("error"))
 
 
-def stored_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Listing of stored objects: key, size, time. Their bytes are not read."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("key"), F.col("length").alias("size_bytes"), "modificationTime")
+def stored_objects(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """Listing of the objects below a path: key, size, time. Their bytes are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
+    return files.select(F.col("path").alias("key"), F.col("length").alias("size_bytes"), "modificationTime")
 
 
 def json_or(c: Column, schema: str, fallback: Column) -> Column:
@@ -65,10 +79,13 @@ def json_or(c: Column, schema: str, fallback: Column) -> Column:
     return F.coalesce(F.from_json(c, schema), fallback)
 
 
-def write_documents(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """(doc_id, markdown) as Parquet, partitioned by a bucket of the id."""
+def write_documents(df: DataFrame, path: str, buckets: int = 64, rows_a_file: int = 10_000) -> None:
+    """(doc_id, markdown) as Parquet, partitioned by a bucket of the id; a bucket has as many files as its rows ask for, so
+    the number of tasks grows with the documents."""
+    files = max(1, -(-df.count() // (buckets * rows_a_file)))
     placed = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    placed.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    spread = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(files))
+    placed.repartition(min(buckets * files, 100_000), "bucket", spread).write.option("maxRecordsPerFile", 2 * rows_a_file).partitionBy("bucket").parquet(path)
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str], first: list[str]) -> DataFrame:

@@ -8,13 +8,14 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from studylake.operators.usage import RATE_LIMITS, WINDOW_MS
+from studylake.operators.usage import RATE_LIMITS, WINDOW_MS, admit
 
 STATE_OUT = "owner_id long, concept_id long, event_id long, was_correct boolean, total_attempts long, correct_attempts long, consecutive_correct long, old_state string, new_state string"
 COUNTS = StructType([StructField("total", LongType()), StructField("correct", LongType()), StructField("streak", LongType()), StructField("state", StringType())])
@@ -68,11 +69,7 @@ def rate_admission(requests: DataFrame, limits: dict[str, int] = RATE_LIMITS, ex
         rows = pd.concat(list(batches)).sort_values(["ts_ms", "request_id"])
         limit, allowed = limits.get(key[1], min(limits.values())), []
         for t in rows["ts_ms"]:
-            while held and held[0] <= t - WINDOW_MS:
-                held.popleft()
-            allowed.append(len(held) < limit)
-            if allowed[-1]:
-                held.append(int(t))
+            allowed.append(admit(held, int(t), limit))
         state.update((",".join(map(str, held)),))
         if expire:
             state.setTimeoutDuration(2 * WINDOW_MS)
@@ -92,34 +89,64 @@ def unique_events(events: DataFrame, key: str = "event_id", delay: str = "1 day"
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def job_states(updates: DataFrame) -> DataFrame:
-    """Latest state of each job of a stream (job_id, ts, update_id, status, progress), for update or complete mode."""
-    last = F.max_by(F.struct("status", "progress"), F.struct("ts", "update_id"))
-    j = updates.groupBy("job_id").agg(last.alias("last"), F.min("ts").alias("started_at"), F.max("ts").alias("updated_at"))
-    return j.select("job_id", F.col("last.status").alias("status"), F.least(F.lit(100), F.greatest(F.lit(0), F.col("last.progress"))).alias("progress"), "started_at", "updated_at")
+def _expiry(state: GroupState, last_ms: int, idle_ms: int) -> None:
+    """Lets a state go when event time is idle_ms past its last event; at once after the watermark if it is older."""
+    state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
 
 
-def completed_sessions(events: DataFrame) -> DataFrame:
-    """Sessions of a stream (session_id, ts_ms, kind in start, track, complete; was_correct), given out at their first
-    completion; what follows it is refused."""
-    schema = StructType([StructField("start", LongType()), StructField("n", LongType()), StructField("right", LongType()), StructField("done", BooleanType())])
+def job_states(updates: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Latest state of each job of a stream (job_id, ts, update_id, status, progress), for update mode: a row for each job that
+    a micro-batch touches. A job without updates for idle_ms of event time is forgotten."""
+    schema = StructType([StructField("ts", LongType()), StructField("update_id", LongType()), StructField("status", StringType()), StructField("progress", LongType()), StructField("started", LongType())])
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n, right, done = state.get if state.exists else (None, 0, 0, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        micros = rows["ts"].astype("datetime64[us]").astype("int64")
+        i = int(np.lexsort((rows["update_id"], micros))[-1])
+        last = (int(micros.iloc[i]), int(rows["update_id"].iloc[i]), rows["status"].iloc[i], int(rows["progress"].iloc[i]))
+        started = int(micros.min())
+        if state.exists:
+            last, started = max(last, state.get[:4], key=lambda x: x[:2]), min(started, state.get[4])
+        state.update((*last, started))
+        _expiry(state, last[0] // 1000, idle_ms)
+        yield pd.DataFrame({"job_id": [key[0]], "status": [last[2]], "progress": [min(100, max(0, last[3]))], "started_us": [started], "updated_us": [last[0]]})
+
+    out = "job_id long, status string, progress long, started_us long, updated_us long"
+    j = updates.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(fold, out, schema, "update", GroupStateTimeout.EventTimeTimeout)
+    return j.select("job_id", "status", "progress", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("updated_us").alias("updated_at"))
+
+
+def completed_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Sessions of a stream (session_id, ts, ts_ms, kind in start, track, complete; was_correct), given out at their first
+    completion; what follows it is refused. A session without events for idle_ms of event time, complete or abandoned, is
+    forgotten."""
+    schema = StructType([StructField("start", LongType()), StructField("n", LongType()), StructField("right", LongType()), StructField("done", BooleanType()), StructField("last", LongType())])
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, n, right, done, last = state.get if state.exists else (None, 0, 0, False, 0)
         out = []
         for t, kind, ok in pd.concat(list(batches)).sort_values("ts_ms", kind="stable")[["ts_ms", "kind", "was_correct"]].itertuples(index=False):
+            last = max(last, int(t))
             if done:
-                break
+                continue
             start = int(t) if start is None else start
             if kind == "track":
                 n, right = n + 1, right + int(bool(ok))
             elif kind == "complete":
                 done = True
                 out.append((key[0], start, int(t), n, right))
-        state.update((start, n, right, done))
+        state.update((start, n, right, done, last))
+        _expiry(state, last, idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "started_ms", "completed_ms", "check_ins", "correct"])
 
-    return events.groupBy("session_id").applyInPandasWithState(fold, "session_id long, started_ms long, completed_ms long, check_ins long, correct long", schema, "append", GroupStateTimeout.NoTimeout)
+    watched = events.withWatermark("ts", delay).groupBy("session_id")
+    return watched.applyInPandasWithState(fold, "session_id long, started_ms long, completed_ms long, check_ins long, correct long", schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_requests(requests: DataFrame, delay: str = "24 hours") -> DataFrame:
@@ -128,8 +155,8 @@ def first_requests(requests: DataFrame, delay: str = "24 hours") -> DataFrame:
 
 
 def upsert_usage(path: str):
-    """A foreachBatch function that replaces the months touched by a batch of usage_counters in Parquet at path, by a new
-    version of each month; a batch that comes twice leaves the same table."""
+    """A foreachBatch function that adds to Parquet at path a new version of each month touched by a batch of usage_counters
+    (latest_usage reads the last); a batch that comes twice replaces its own versions, so it leaves the same table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)

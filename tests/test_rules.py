@@ -1,6 +1,7 @@
 """Rules on literal inputs, with values worked out by hand, and helpers against plain versions."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -47,23 +48,71 @@ def test_mastery_windows_equal_a_fold(spark):
         held[o, c] = total, correct, streak, new
 
 
+def plain_admission(times, limit):
+    """Greedy admission in plain Python: whether a request is allowed, and what remains."""
+    held, out = [], []
+    for t in times:
+        held = [x for x in held if x > t - 60_000]
+        out.append((len(held) < limit, max(0, limit - len(held) - 1)))
+        held += [t] if out[-1][0] else []
+    return out
+
+
 def test_rate_admission(spark):
     times = [0, 1, 2, 3, 59, 60, 61]
-    assert [a for a, _ in usage.admit([1000 * t for t in times], 3)] == [True, True, True, False, False, True, True]
+    assert [a for a, _ in plain_admission([1000 * t for t in times], 3)] == [True, True, True, False, False, True, True]
     rnd = random.Random(3)
     rows = [(o, "lesson", rnd.randrange(0, 300_000), i) for i, o in enumerate([0] * 60 + [1] * 2 + [2] * 9)]
+    rows += [(3, "lesson", 90_000 * (i // 5) + 59_999 * (i % 5 == 4) + i % 5, 100 + i) for i in range(40)]
     df = spark.createDataFrame(rows, "owner_id long, type string, ts_ms long, request_id long")
     got = {r["request_id"]: (r["allowed"], r["remaining"]) for r in usage.rate_admission(df, {"lesson": 3}).collect()}
-    for o in range(3):
+    for o in range(4):
         own = sorted((t, i) for x, _, t, i in rows if x == o)
-        for (_, i), want in zip(own, usage.admit([t for t, _ in own], 3), strict=True):
+        for (_, i), want in zip(own, plain_admission([t for t, _ in own], 3), strict=True):
             assert got[i] == want
 
 
-def test_smart_boundary():
-    assert sections.nearest_break("aaa.\n\nbbb. ccc", 9) == 4
-    assert sections.nearest_break("abc", 10) == 3 and sections.nearest_break("abc", 10, False) == 0
-    assert sections.nearest_break("abcdef", 3) == 3
+def plain_boundary(text, position, forward=True):
+    """The rule in plain Python."""
+    if position < 0 or position >= len(text):
+        return len(text) if forward else 0
+    first = max(0, position - 500)
+    region = text[first : position + 500]
+    for pattern, shift in ((r"\n\n+", 0), (r"[.!?]\s", 1), (r"\n", 0)):
+        places = [first + m.start() + shift for m in re.finditer(pattern, region)]
+        if places:
+            return min(places, key=lambda x: (abs(x - position), x))
+    return position
+
+
+def test_smart_boundary(spark):
+    r = random.Random(3)
+    cases = [("aaa.\n\nbbb. ccc", 9), ("abc", 10), ("abcdef", 3), ("", 0), ("a\n\n\n\n\nb", 4), ("x" * 2000, 1000), ("a.b.\u00a0c", 2)]
+    cases += [("".join(r.choice("abc.\n\n ?") for _ in range(r.randrange(1, 1500))), r.randrange(-2, 1500)) for _ in range(60)]
+    cases += [("".join(r.choice("abcdefgh" * 40 + ".\n ") for _ in range(1500)), r.randrange(1500)) for _ in range(40)]
+    df = spark.createDataFrame(cases, "text string, position int")
+    for forward in (True, False):
+        got = df.select(sections.smart_boundary(F.col("text"), F.col("position"), forward)).collect()
+        assert [x[0] for x in got] == [plain_boundary(t, p, forward) for t, p in cases]
+
+
+def test_heading_rules_know_ascii_words_and_unicode_blanks(spark):
+    texts = ["12 Pläce names here", "12 Place names here", "5th Ave", "Chapter\u00a03: The third", "Chapter 3: The third", "4.1 Real Topic Words", "INTRODUCTION\u00a0TO WORDS", "Appendix\u00a012", "Appendix 12", "12 Best Places Here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, t string")
+    valid = {x[0]: x[1] for x in df.select("t", sections.valid_heading(F.col("t"))).collect()}
+    assert valid == {texts[0]: False, texts[1]: False, texts[2]: False, texts[3]: True, texts[4]: True, texts[5]: True, texts[6]: True, texts[7]: False, texts[8]: False, texts[9]: True}
+    found = {x["text"] for x in sections.headings(df, "t").collect()}
+    assert found == {texts[3], texts[4], texts[5], texts[6], texts[9]}
+
+
+def test_names_that_begin_other_names(spark):
+    """A heading is found by the beginning of its text, as in the rules' origin: `Part 1` also fits `## Part 10`, and what
+    follows a section's first character counts as the beginning of a line."""
+    text = "# T\n\n## Part 10\n\nten\n\n## Part 1\n\none\n\n**Bold One**\n\nbold\n"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, markdown string")
+    parts = spark.createDataFrame([(1, 1, "Part 10"), (1, 2, "Part 1"), (1, 3, "Bold One")], "doc_id int, section_number int, name string")
+    got = [x["markdown_text"] for x in sections.split_by_sections(docs, parts).orderBy("section_number").collect()]
+    assert got == ["#", "## Part 10\n\nten\n\n## Part 1\n\none", "**Bold One**\n\nbold"]
 
 
 def test_limits(spark):
