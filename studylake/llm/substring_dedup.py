@@ -1,7 +1,7 @@
 """Substring dedup: MinHash bands over paragraphs, exact Jaccard of colliding ones, clusters by components.
 
-A text's paragraphs are its lines of five words or more, and, as repeated passages begin and end anywhere, also within a
-line, runs of `span` words that start where the text itself says so: at the smallest pair-of-words hash in some `gap`
+A text's paragraphs are its lines of `span` words or more, and, as repeated passages begin and end anywhere, also within
+a line, runs of `span` words that start where the text itself says so: at the smallest pair-of-words hash in some `gap`
 consecutive places. Whatever stands around it, a passage of gap + span + 1 words or more (50 by default) holds at least
 one whole run, found at the same words in every copy. Texts of fewer words than a run are one paragraph as well.
 """
@@ -76,6 +76,7 @@ def paragraphs(raws: list[bytes], gap: int, span: int) -> Paragraphs:
     owner = np.searchsorted(bounds, chosen, side="right") - 1
     chosen = chosen[chosen + span <= bounds[owner + 1]]
     first, short = bounds[:-1][n >= span], bounds[:-1][n < span]
+    heads, ends = heads[ends - heads >= span], ends[ends - heads >= span]
     at = np.concatenate([heads, chosen, first, short])
     size = np.concatenate([ends - heads, np.full(len(chosen) + len(first), span), n[n < span]])
     once = np.unique(np.stack([at, size], axis=1)[size >= SHINGLE], axis=0) if len(at) else np.zeros((0, 2), int)
@@ -125,7 +126,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     passage, with the smallest id that is kept for any of them. A pair of paragraphs at similarity 0.8 shares one of
     three bands of two minimum hashes with probability 0.953 (see recall), a nearer one with more.
 
-    Null and empty texts, and those under five words, have no paragraphs; an empty table gives no rows; a text of any
+    Null and empty texts, and those under five words, have no paragraphs; shorter lines than a run are none; an empty table gives no rows; a text of any
     length is read whole. Ids are integers; rows that share an id share its places, so a repeated row is not a copy of
     itself; rows with a null id are left out. Further columns play no part.
 
