@@ -102,7 +102,7 @@ def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[str],
     The rows are sorted bucket by bucket, the buckets' sums `fan` at a time; only sums of (group, fan buckets) meet in
     one place, so a hot group is spread over its buckets. Nulls in group match each other. bucket is an integer.
     """
-    total, ahead, many, many_ahead, *keys = unused(df.columns, "sum", "ahead", "many", "many_ahead", *[f"of_{c}" for c in (*group, bucket)])
+    total, ahead, many, many_ahead, *keys = unused([*df.columns, out], "sum", "ahead", "many", "many_ahead", *[f"of_{c}" for c in (*group, bucket)])
     before = w.Window.rowsBetween(w.Window.unboundedPreceding, -1)
     sums = df.groupBy(*group, bucket).agg(F.sum(value).alias(total)).withColumn(many, F.floor(F.col(bucket) / fan))
     inner = F.coalesce(F.sum(total).over(before.partitionBy(*group, many).orderBy(bucket)), F.lit(0))
