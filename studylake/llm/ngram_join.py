@@ -139,8 +139,8 @@ class Points:
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def tree_pairs(points: Points, first: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """bounded() for the pairs of the points of one unit, found by descending a packed R-tree with itself.
+def tree_pairs(points: Points, first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """bounded() for the pairs of the points of one unit, some at a time, found by descending a packed R-tree with itself.
 
     Points are packed in slabs of about equal size, in a slab by their fullest group, LEAF to a leaf and FAN nodes to a
     node. A node's box is the largest count of each group, the smallest and the largest size below it; two nodes are
@@ -168,31 +168,30 @@ def tree_pairs(points: Points, first: int, end: int) -> tuple[np.ndarray, np.nda
         a, b = a[ok], b[ok]
     leaves = np.append(order, np.full(-len(order) % LEAF, -1)).reshape(-1, LEAF)
     one_side = points.side[first:end].min() == points.side[first:end].max()
-    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     place = np.arange(LEAF)
     for i in range(0, len(a), STEP // LEAF**2):
         x, y = a[i : i + STEP // LEAF**2, None, None], b[i : i + STEP // LEAF**2, None, None]
         p, q = leaves[x, place[:, None]] + 0 * place, leaves[y, place] + 0 * place[:, None]
         ok = (p >= 0) & (q >= 0) & ((x != y) | (place[:, None] < place))
-        found.append(points.bounded(p[ok] + first, q[ok] + first, np.full(int(ok.sum()), not one_side)))
-    return tuple(map(np.concatenate, zip(*found, strict=True)))
+        yield points.bounded(p[ok] + first, q[ok] + first, np.full(int(ok.sum()), not one_side))
 
 
-def unit_pairs(points: Points, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """bounded() for the pairs of each unit (rows of a unit are consecutive): small units, of a leaf, together, others by trees."""
+def unit_pairs(points: Points, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """bounded() for the pairs of each unit (rows of a unit are consecutive), some at a time: small units, of a leaf, together,
+    others by trees."""
     edges = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
     first, size = edges[:-1], np.diff(edges)
     low, high = np.minimum.reduceat(points.side, first), np.maximum.reduceat(points.side, first)
-    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     for m in range(2, LEAF + 1):
         at = np.flatnonzero(size == m)
         i, j = np.triu_indices(m, 1)
         step = max(1, STEP // len(i))
         for some in (at[x : x + step] for x in range(0, len(at), step)):
             two = np.repeat(low[some] != high[some], len(i))
-            found.append(points.bounded((first[some][:, None] + i).ravel(), (first[some][:, None] + j).ravel(), two))
-    found += [tree_pairs(points, int(first[k]), int(edges[k + 1])) for k in np.flatnonzero(size > LEAF) if points.comp[first[k] : edges[k + 1]].min() != points.comp[first[k] : edges[k + 1]].max()]
-    return tuple(map(np.concatenate, zip(*found, strict=True)))
+            yield points.bounded((first[some][:, None] + i).ravel(), (first[some][:, None] + j).ravel(), two)
+    for k in np.flatnonzero(size > LEAF):
+        if points.comp[first[k] : edges[k + 1]].min() != points.comp[first[k] : edges[k + 1]].max():
+            yield from tree_pairs(points, int(first[k]), int(edges[k + 1]))
 
 
 def bounded_pairs(units: DataFrame, percent: int, mode: str) -> DataFrame:
@@ -204,21 +203,29 @@ def bounded_pairs(units: DataFrame, percent: int, mode: str) -> DataFrame:
     """
 
     def solve(b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})
         if len(b) < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return none
         doc = b["doc"].to_numpy()
         points = Points(b["n"].to_numpy(), b["counts"].to_list(), b["comp"].to_numpy(), b["side"].to_numpy(), percent)
-        p, q, bound = unit_pairs(points, b["unit"].to_numpy())
+        found = unit_pairs(points, b["unit"].to_numpy())
         if mode == "every":
             # A pair that shares several cells is given by the first of them alone.
-            cell, cells = b["cell"].to_numpy(), b["cells"].to_list()
-            once = np.array([min(set(cells[i]) & set(cells[j])) == cell[i] for i, j in zip(p, q, strict=True)], bool)
-            return pd.DataFrame({"a": doc[p[once]], "b": doc[q[once]], "score": bound[once]})
-        x, y = doc[np.concatenate([p, q])], doc[np.concatenate([q, p])]
-        rank = -np.concatenate([bound, bound]) if mode == "best" else (sh.mix(y.view(np.uint64)) >> np.uint64(11)).astype(float)
-        up = np.lexsort((y, rank, x))
-        head = up[np.concatenate([[True], x[up][1:] != x[up][:-1]])] if len(x) else up
-        return pd.DataFrame({"a": x[head], "b": y[head], "score": rank[head]})
+            cell, cells, out = b["cell"].to_numpy(), b["cells"].to_list(), [none]
+            for p, q, bound in found:
+                once = np.array([min(set(cells[i]) & set(cells[j])) == cell[i] for i, j in zip(p, q, strict=True)], bool)
+                out.append(pd.DataFrame({"a": doc[p[once]], "b": doc[q[once]], "score": bound[once]}))
+            return pd.concat(out)
+        best, partner = np.full(len(doc), np.inf), np.full(len(doc), -1)
+        for p, q, bound in found:
+            x, y = np.concatenate([p, q]), np.concatenate([q, p])
+            rank = -np.concatenate([bound, bound]) if mode == "best" else (sh.mix(doc[y].view(np.uint64)) >> np.uint64(11)).astype(float)
+            up = np.lexsort((doc[y], rank, x))
+            head = up[np.concatenate([[True], x[up][1:] != x[up][:-1]])] if len(x) else up
+            head = head[rank[head] < best[x[head]]]
+            best[x[head]], partner[x[head]] = rank[head], y[head]
+        some = partner >= 0
+        return pd.DataFrame({"a": doc[some], "b": doc[partner[some]], "score": best[some]})
 
     asked = units.select("unit", "cell", "side", "doc", "n", "comp", "counts", "cells" if mode == "every" else F.array().cast("array<long>").alias("cells"))
     found = by_unit(asked, solve, "a long, b long, score double")

@@ -90,7 +90,7 @@ def test_tree_gives_all_bounded_pairs():
     sets += [np.unique(np.concatenate([s, ngram_join.sh.mix(np.arange(3, dtype=np.uint64) + np.uint64(10**6))])) for s in sets[:200]]
     n, comp = np.array([len(s) for s in sets]), np.arange(len(sets))
     points = ngram_join.Points(n, [ngram_join.point(s) for s in sets], comp, np.zeros(len(sets), int), 80)
-    p, q, _ = ngram_join.tree_pairs(points, 0, len(sets))
+    p, q, _ = map(np.concatenate, zip(*ngram_join.tree_pairs(points, 0, len(sets)), strict=True))
     i, j = np.triu_indices(len(sets), 1)
     x, y, _ = points.bounded(i, j, np.zeros(len(i), bool))
     assert {(min(a), max(a)) for a in zip(p, q, strict=True)} == set(zip(x, y, strict=True)) and len(p) == len(x) < len(i) / 20
