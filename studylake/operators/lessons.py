@@ -10,6 +10,8 @@ from studylake.operators.clean import snippet
 
 #: Headers of a concept's parts.
 PARTS = {"## Explanation": "explanation", "## Formulas": "formulas", "## Examples": "examples", "## Important Notes": "important_notes", "## Check Your Understanding": "mcqs"}
+#: What stands for a missing topic or feedback.
+UNTITLED, WELL_DONE, NOT_QUITE, EVALUATED = "Untitled Lesson", "Great job! You chose the correct answer.", "Not quite. Review the explanation and try again.", "Answer evaluated."
 CONTEXT_CHARS = 8000
 CHECK_IN = "struct<question:string,expected_answer:string,hint:string>"
 
@@ -33,7 +35,7 @@ def lesson_heads(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", first)
     kept = F.when((F.col("first") == "## Summary") & (F.col("nth") == 1) & ~F.col("header"), F.struct("line_no", "line"))
     per = rows.groupBy("lesson_id").agg(F.max(F.when(F.col("line_no") == F.col("topic_at"), strip(F.substr("t", F.lit(3))))).alias("topic"), F.array_sort(F.collect_list(kept)).alias("got"))
-    return per.select("lesson_id", F.coalesce("topic", F.lit("Untitled Lesson")).alias("topic"), strip(F.array_join(F.transform("got", lambda x: x["line"]), "\n")).alias("summary"))
+    return per.select("lesson_id", F.coalesce("topic", F.lit(UNTITLED)).alias("topic"), strip(F.array_join(F.transform("got", lambda x: x["line"]), "\n")).alias("summary"))
 
 
 def concept_parts(rows: DataFrame) -> DataFrame:
@@ -220,7 +222,7 @@ def graded() -> list[Column]:
     a, b = up("selected_letter"), up("correct_letter")
     right = F.when((a != "") & (b != ""), a == b).otherwise(low("selected_text") == low("correct_text"))
     why, said = strip(F.coalesce("correct_explanation", F.lit(""))), strip(F.coalesce("selected_explanation", F.lit("")))
-    feedback = F.when(right, F.coalesce(missing(said), F.lit("Great job! You chose the correct answer."))).otherwise(F.coalesce(missing(why), F.lit("Not quite. Review the explanation and try again.")))
+    feedback = F.when(right, F.coalesce(missing(said), F.lit(WELL_DONE))).otherwise(F.coalesce(missing(why), F.lit(NOT_QUITE)))
     none = F.array().cast("array<string>")
     return [right.alias("correct"), F.when(right, 100).otherwise(0).alias("score"), feedback.alias("feedback"), F.when(right & (why != ""), F.array(why)).otherwise(none).alias("key_points"), F.when(~right & (said != ""), F.array(said)).otherwise(none).alias("misconceptions")]
 
@@ -233,7 +235,7 @@ def evaluated(raw: Column) -> Column:
     good = j.isNotNull() & j["broken"].isNull()
     right = F.when(good, F.coalesce(j["correct"], F.lit(False))).otherwise(guess)
     usual = F.when(right, 80.0).otherwise(40.0)
-    return F.struct(right.alias("correct"), F.when(good, F.coalesce(j["score"], usual)).otherwise(usual).alias("score"), F.when(good, F.coalesce(missing(j["feedback"]), F.lit("Answer evaluated."))).otherwise(raw).alias("feedback"))
+    return F.struct(right.alias("correct"), F.when(good, F.coalesce(j["score"], usual)).otherwise(usual).alias("score"), F.when(good, F.coalesce(missing(j["feedback"]), F.lit(EVALUATED))).otherwise(raw).alias("feedback"))
 
 
 def concept_order(sections: DataFrame, lessons: DataFrame) -> DataFrame:

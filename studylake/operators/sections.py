@@ -14,6 +14,8 @@ HEADINGS = (r"(?i)^Chapter\s+\d+[\.:]\s*.+$", r"^\d+\.\d+\s+[A-Z][^\.]+$", r"(?i
 STREETS = r"St|Street|Ave|Avenue|Rd|Road|Dr|Drive|Ln|Lane|Blvd|Boulevard|Pl|Place|Way|Court|Ct"
 NOT_HEADINGS = (r"^[A-Z]+$", r"^\d+\s+\d+", r"^\d{1,2}[-\/]\d{1,2}[-\/]\d{2,4}$", r"(?i)^(Page|Figure|Table|Appendix|Index|References|Bibliography|Glossary)\s+\d+$")
 CHAPTER = r"(?i)Chapter[_\s]*(\d+):\s*(.+)"
+#: Lines that stand for what a sample leaves out.
+MIDDLE, LATER = "\n\n[... middle section ...]\n\n", "\n\n[... later section ...]\n\n"
 CHARS_A_PAGE, LINES_A_PAGE, RADIUS = 2000, 50, 500
 
 
@@ -62,7 +64,7 @@ def sampled(text: Column, most: int = 100_000, part: int = 30_000) -> Column:
     """A long text's beginning, middle and end with lines that say so."""
     n = F.length(text)
     middle = F.floor((n - part) / 2).cast("int")
-    cut = F.concat(F.substring(text, 1, part), F.lit("\n\n[... middle section ...]\n\n"), F.substr(text, middle + 1, F.lit(part)), F.lit("\n\n[... later section ...]\n\n"), F.substr(text, n - part + 1, F.lit(part)))
+    cut = F.concat(F.substring(text, 1, part), F.lit(MIDDLE), F.substr(text, middle + 1, F.lit(part)), F.lit(LATER), F.substr(text, n - part + 1, F.lit(part)))
     return F.when(n > most, cut).otherwise(text)
 
 
