@@ -56,7 +56,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     Each distinct url is judged once, so repeated urls cost nothing. Its tokens fetch the rules indexed under them and
     only those rules' expressions run. The longest fitting site rule decides (ties to the smaller name); without one, a
-    url is blocked if a pattern rule fits, else allowed. A null url has an empty host and path, and is allowed.
+    url is blocked if a pattern rule fits, else allowed. A null url has an empty host and path, and is allowed. An empty
+    table gives no rows; further columns play no part.
     A rule's token is the one that fewest urls hold; rules without literals are tried on all urls.
     """
     urls = pages.select(F.col(url_col).alias("url")).where(F.col("url").isNotNull()).distinct()

@@ -593,3 +593,47 @@ def test_join_of_common_keys(spark):
     held = rows.groupBy("k").agg(F.count("*").alias("n"))
     got = join_spread(rows, held.withColumnRenamed("n", "many"), ["k"], "many", "id", parts=8, least=1)
     assert got.columns == ["id", "k", "salt", "many"] and got.count() == 5000 and got.where("many = 4000").count() == 4000
+
+
+GIVEN = "/root/testdata/sf0.01"
+
+
+def test_recall_on_the_given_table_with_several_shards(spark):
+    data = spark.read.parquet(f"{GIVEN}/embeddings.parquet")
+    got = ann_graph.search(ann_graph.build_index(data, shard_rows=128), data.where("vec_id % 20 = 0")).toPandas()
+    rows = data.toPandas().sort_values("vec_id")
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(float)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        want = [ids[j] for j in np.lexsort((ids, -s)) if j != q][:20]
+        hits, total = hits + len(set(want) & set(got[got["query_id"] == ids[q]]["vec_id"])), total + 20
+    assert hits >= 0.95 * total
+
+
+def test_held_out_accuracy_on_the_given_tables(spark):
+    from studylake.llm import queries
+
+    docs = spark.read.parquet(f"{GIVEN}/documents.parquet").select("doc_id", "lang", "text").toPandas()
+    found = queries.op2_language(spark, GIVEN).toPandas().merge(docs, on="doc_id")
+    held = found[found["held_out"] & found["lang"].notna() & found["text"].notna()]
+    assert len(held) > 200 and (held["lang"] == held["lang_pred"]).mean() >= 0.97
+    labels = spark.read.parquet(f"{GIVEN}/labels.parquet").toPandas()
+    scored = queries.op10_quality(spark, GIVEN).toPandas().merge(labels, on="doc_id")
+    held = scored[scored["held_out"]]
+    high, low = held[held["quality"] == 1]["score"].to_numpy(), held[held["quality"] == 0]["score"].to_numpy()
+    assert len(held) > 60 and ((high[:, None] > low).mean() + 0.5 * (high[:, None] == low).mean()) >= 0.98
+
+
+def test_packing_and_mixing_of_the_given_table(spark):
+    from studylake.llm import queries
+
+    pieces = queries.op4_pack(spark, GIVEN).toPandas()
+    gapless(pieces, 1024)
+    by = pieces.fillna({"source": "~"}).pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
+    share = by.sum() / by.to_numpy().sum()
+    assert (abs(by.div(by.sum(axis=1), axis=0) - share).sum(axis=1) / 2).mean() < 0.05
+    mixed = queries.op3_mix(spark, GIVEN).toPandas()
+    source = spark.read.parquet(f"{GIVEN}/documents.parquet").select("doc_id", "source").toPandas().fillna("~")
+    taken = mixed.merge(source, on="doc_id").groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(taken["taken"] / taken["target"] - 1) < 0.01).all() and (mixed["taken"] <= 3 * mixed["size"]).all()
