@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studylake.llm import langid, line_dedup, mixing, ngram_join, packing
-from studylake.llm.common import held_out, keep, without_ids, word_count
+from studylake.llm.common import forget, held_out, keep, without_ids, word_count
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undetermined or whose best two languages are too near."""
+    """Drops documents whose language is undetermined (null texts and those without a letter, too) or whose best two languages
+    are too near."""
     known = langid.fit_dictionaries(docs.where(~held_out(F.col("doc_id"))))
     return langid.accepted_rows(docs, known)
 
@@ -40,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of all documents into sequences of 1,024."""
+    """Packs the tokens of all documents, copies included, into sequences of 1,024. Gives pieces, not documents."""
     return packing.pack(docs)
 
 
@@ -58,7 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the table of documents, one written table after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if last is not None:
+            forget(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
