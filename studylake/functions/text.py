@@ -11,6 +11,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
+def once(c: Column, f) -> Column:
+    """f(c) with c worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def missing(c: Column) -> Column:
     """Null where the text is null or empty."""
     return F.nullif(c, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from studylake.functions.text import lines, missing, strip
+from studylake.functions.text import lines, missing, once, strip
 
 #: White space, word edges and digits are those of the rules' origin: Unicode blanks, ASCII words.
 BLANK, EDGE_BEFORE, EDGE_AFTER = "[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]", "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -114,7 +114,12 @@ def smart_boundary(text: Column, position: Column, forward: bool = True) -> Colu
 
 def _index(text: Column, pattern: Column) -> Column:
     """Place from 0 where a pattern first fits, null without."""
-    return F.nullif(F.regexp_instr(text, pattern), F.lit(0)) - 1
+    return once(F.regexp_instr(text, pattern), lambda at: F.when(at > 0, at - 1))
+
+
+def found_at(text: Column, what: Column) -> Column:
+    """Place from 1 where a text has another first, null without."""
+    return once(F.instr(text, what), lambda at: F.when(at > 0, at))
 
 
 def _quoted(name: Column) -> Column:
@@ -133,7 +138,7 @@ def split_by_sections(docs: DataFrame, sections: DataFrame) -> DataFrame:
 
     def start(x: Column, i: Column) -> Column:
         region = F.substr(text, low(i) + 1, high(i) - low(i))
-        plain = low(i) + F.nullif(F.instr(F.lower(region), F.lower(x["name"])), F.lit(0)) - 1
+        plain = low(i) + found_at(F.lower(region), F.lower(x["name"])) - 1
         return F.coalesce(_index(text, as_heading(x["name"])), _index(text, as_bold(x["name"])), plain, smart_boundary(text, low(i)))
 
     def end(x: Column, i: Column) -> Column:
@@ -164,7 +169,7 @@ def section_texts(docs: DataFrame, sections: DataFrame) -> DataFrame:
         return F.get(F.filter("places", lambda x: x["page"] == page), F.lit(0))["at"]
 
     def spot(where: Column, what: Column) -> Column:
-        return F.coalesce(F.nullif(F.instr(where, what), F.lit(0)), F.nullif(F.instr(F.lower(where), F.lower(what)), F.lit(0)))
+        return F.coalesce(found_at(where, what), found_at(F.lower(where), F.lower(what)))
 
     def found(x: Column) -> Column:
         ranged = (x["page_start"] > 0) & (x["page_end"] > 0)
