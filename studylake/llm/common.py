@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Rows that carry whole texts or sets go to and from Python in batches of at most `rows` in what is written meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(usual)) if int(usual) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table that keep() wrote and that nothing reads any more."""
     spark = df.sparkSession

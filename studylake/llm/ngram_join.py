@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
 from studylake.llm import shingles as sh
-from studylake.llm.common import by_unit, components, first_units, forget, id_bitmap, in_bitmap, join_spread, keep, more_units, spot
+from studylake.llm.common import by_unit, components, first_units, forget, id_bitmap, in_bitmap, join_spread, keep, more_units, small_batches, spot
 
 #: Smallest and largest table of shingle counts, counts in a row of it; groups of a short text's count vector; shingles a
 #: group of longer ones; points of a leaf, and nodes of a node; pairs that are bounded at once.
@@ -293,8 +293,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of characters other than [\\x20\\x09-\\x0D], A-Z in lower case. A text of fewer than k words is one
     shingle; one without words, or null, has none and is linked with nothing. Ids are integers of at most 62 bits; rows
     that share an id are one document with several texts, each with its own set; a row with a null id stands alone and
-    has no component. Texts with equal sets are one point.
+    has no component. Texts with equal sets are one point. An empty table gives no rows; texts of any length are read
+    whole; further columns play no part.
     """
+    with small_batches(docs.sparkSession):
+        return _near_components(docs, id_col, text_col, k, percent, room)
+
+
+def _near_components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, room: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = keep(features(texts, k, percent, count_table(texts, k)), "ngram-features")
     key = ["n", "s1", "s2"]
