@@ -34,16 +34,17 @@ def parts(texts: Sequence[str | None], room: int = 1 << 20) -> Iterator[tuple[in
         yield first, held
 
 
-def words(raws: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of all texts in order, place of each text's first word and of the end)."""
-    return words_and_lines(raws)[:2]
+def words(raws: Sequence[bytes], gaps: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of all texts in order, place of each text's first word and of the end); gaps tells for each byte
+    whether it is between words, as the space must be."""
+    return words_and_lines(raws, gaps)[:2]
 
 
-def words_and_lines(raws: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_and_lines(raws: Sequence[bytes], gaps: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """words(), and the place of the first word of each line that has words."""
     b = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raws])
-    blank = _BLANK[b]
+    blank = gaps[b]
     first = ~blank
     first[1:] &= blank[:-1]
     starts = np.flatnonzero(first)
