@@ -40,8 +40,8 @@ def words(raws: Sequence[bytes], gaps: np.ndarray = _BLANK) -> tuple[np.ndarray,
     return words_and_lines(raws, gaps)[:2]
 
 
-def words_and_lines(raws: Sequence[bytes], gaps: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """words(), and the place of the first word of each line that has words."""
+def words_and_lines(raws: Sequence[bytes], gaps: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words(), the place of the first word of each line that has words, and of each block of lines after a line without."""
     b = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raws])
     blank = gaps[b]
@@ -50,16 +50,17 @@ def words_and_lines(raws: Sequence[bytes], gaps: np.ndarray = _BLANK) -> tuple[n
     starts = np.flatnonzero(first)
     bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds, starts
+        return np.zeros(0, np.uint64), bounds, starts, starts
     breaks = np.concatenate([[0], np.flatnonzero(b == 10), ends - 1])
-    heads = np.unique(np.searchsorted(starts, breaks))
+    heads, times = np.unique(np.searchsorted(starts, breaks), return_counts=True)
+    blocks = heads[(times > 1) | np.isin(heads, bounds[:-1])]
     number = np.cumsum(first) - 1
     place = np.arange(len(b)) - starts[np.maximum(number, 0)]
     place[blank] = 0
     powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64))
     value = (b.astype(np.uint64) + np.uint64(1)) * powers[place]
     value[blank] = 0
-    return mix(np.add.reduceat(value, starts)), bounds, heads[heads < len(starts)]
+    return mix(np.add.reduceat(value, starts)), bounds, heads[heads < len(starts)], blocks[blocks < len(starts)]
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

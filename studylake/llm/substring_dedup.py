@@ -1,7 +1,7 @@
 """Substring dedup: MinHash bands over paragraphs, exact Jaccard of colliding ones, clusters by components.
 
-A text's paragraphs are its lines of `span` words or more, and, as repeated passages begin and end anywhere, also within
-a line, runs of `span` words that start where the text itself says so: at the smallest pair-of-words hash in some `gap`
+A text's paragraphs are its lines of a shingle's words or more, its blocks of lines between blank ones, and, as repeated
+passages begin and end anywhere, also within a line, runs of `span` words that start where the text itself says so: at the smallest pair-of-words hash in some `gap`
 consecutive places. Whatever stands around it, a passage of gap + span + 1 words or more (50 by default) holds at least
 one whole run, found at the same words in every copy. Texts of fewer words than a run are one paragraph as well.
 """
@@ -69,16 +69,16 @@ class Paragraphs(NamedTuple):
 
 
 def paragraphs(raws: list[bytes], gap: int, span: int) -> Paragraphs:
-    hashes, bounds, heads = sh.words_and_lines(raws)
+    hashes, bounds, *heads = sh.words_and_lines(raws)
     n = np.diff(bounds)
-    ends = np.append(heads[1:], len(hashes))
+    lengths = np.concatenate([np.diff(x, append=len(hashes)) for x in heads])
+    heads = np.concatenate(heads)
     chosen = np.flatnonzero(starts(sh.shingles(hashes, 2), gap, bounds))
     owner = np.searchsorted(bounds, chosen, side="right") - 1
     chosen = chosen[chosen + span <= bounds[owner + 1]]
     first, short = bounds[:-1][n >= span], bounds[:-1][n < span]
-    heads, ends = heads[ends - heads >= span], ends[ends - heads >= span]
     at = np.concatenate([heads, chosen, first, short])
-    size = np.concatenate([ends - heads, np.full(len(chosen) + len(first), span), n[n < span]])
+    size = np.concatenate([lengths, np.full(len(chosen) + len(first), span), n[n < span]])
     once = np.unique(np.stack([at, size], axis=1)[size >= SHINGLE], axis=0) if len(at) else np.zeros((0, 2), int)
     at, size = once[:, 0], once[:, 1]
     text = np.searchsorted(bounds, at, side="right") - 1
@@ -126,8 +126,8 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     passage, with the smallest id that is kept for any of them. A pair of paragraphs at similarity 0.8 shares one of
     three bands of two minimum hashes with probability 0.953 (see recall), a nearer one with more.
 
-    Null and empty texts, and those under five words, have no paragraphs; shorter lines than a run are none; an empty table gives no rows; a text of any
-    length is read whole. Ids are integers; rows that share an id share its places, so a repeated row is not a copy of
+    Null and empty texts, and those under five words, have no paragraphs, and lines under five words are none alone; an
+    empty table gives no rows; a text of any length is read whole. Ids are integers; rows that share an id share its places, so a repeated row is not a copy of
     itself; rows with a null id are left out. Further columns play no part.
 
     Paragraphs are not stored: bands are counted by class, and the texts are read again for the sets to verify and for
@@ -197,7 +197,9 @@ def _sets(members: DataFrame, texts: DataFrame, gap: int, span: int) -> DataFram
 
     few = by_bitmap(texts, "id", *id_bitmap(asked, "of"), True)
     found = few.join(asked, F.col("id") == F.col("of")).select("of", "text", "classes").mapInPandas(sets, "whole long, id long, start int, size int, s binary")
-    out = keep(found.dropDuplicates(["whole"]), "passage-sets")
+    # Of a class's places the first, so that runs agree.
+    found = found.groupBy("whole").agg(F.min(F.struct("id", "start", "size", "s")).alias("at"))
+    out = keep(found.select("whole", "at.*"), "passage-sets")
     forget(asked)
     return out
 
@@ -282,7 +284,8 @@ def _similar(members: DataFrame, held: DataFrame, similarity: float, room: int)
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the words of each passage cut out of the text (what stands between other words stays as it is).
 
-    All columns of docs stay. A text without passages stays as it is, null included.
+    All columns of docs stay. A text without passages stays as it is, null included, as do rows with a null id; rows that
+    share an id lose the same words. An empty table of passages changes nothing, one of docs gives no rows.
     """
     cut_id, cuts_col = unused(docs.columns, "cut_id", "cuts")
     cuts = passages.groupBy(F.col("id").alias(cut_id)).agg(F.sort_array(F.collect_list(F.array(F.col("start_word").cast("int"), F.col("end_word").cast("int")))).alias(cuts_col))
