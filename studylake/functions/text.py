@@ -32,9 +32,16 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sorts texts with the numbers in them by value: each run of digits is padded to ten."""
+    """Sorts texts with the numbers in them by value, of any length: before each run of digits, without zeros in front, stands
+    their number, and before that the number of its own digits, which is one digit."""
     runs = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 10, "0")).otherwise(F.lower(x))), "")
+
+    def number(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+(?=[0-9])", "")
+        size = F.length(digits).cast("string")
+        return F.concat(F.length(size).cast("string"), size, digits)
+
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(F.lower(x))), "")
 
 
 def lines(df: DataFrame, text: str, *keys: str) -> DataFrame:

@@ -109,7 +109,7 @@ CHAPTERS = CORPUS + """, src AS (SELECT DISTINCT doc_id AS document_id, doc_id %
         UNION ALL SELECT course_id, chapter FROM running UNION ALL SELECT course_id, chapter FROM src))"""
 
 
-@query("WITH " + CHAPTERS + """ SELECT course_id, chapter, CAST(row_number() OVER (PARTITION BY course_id ORDER BY chapter = 'Uncategorized', CASE WHEN chapter LIKE 'Chapter %' THEN 'chapter ' || lpad(substr(chapter, 9), 10, '0') ELSE lpad(chapter, 10, '0') END) AS INTEGER) AS place FROM every""")
+@query("WITH " + CHAPTERS + """ SELECT course_id, chapter, CAST(row_number() OVER (PARTITION BY course_id ORDER BY chapter = 'Uncategorized', CASE WHEN chapter LIKE 'Chapter %' THEN 'chapter ' || lpad(substr(chapter, 9), 40, '0') ELSE lpad(chapter, 40, '0') END) AS INTEGER) AS place FROM every""")
 def cat10_chapter_list(spark, sf):
     k = F.col("doc_id")
     sources = table(spark, sf, "labels").select(k.alias("document_id"), (k % 4).alias("course_id"), F.when(F.col("quality") != 0, (k % 30).cast("string")).alias("chapter"))

@@ -157,7 +157,7 @@ def ana14_displayed_concepts(spark, sf):
 
 
 @query(WITH_SHOWN + """
-    SELECT owner_id, concept_id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY CASE WHEN chapter = 'Uncategorized' THEN 'uncategorized' ELSE 'chapter ' || lpad(regexp_extract(chapter, '[0-9]+'), 10, '0') END,
+    SELECT owner_id, concept_id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY CASE WHEN chapter = 'Uncategorized' THEN 'uncategorized' ELSE 'chapter ' || lpad(regexp_extract(chapter, '[0-9]+'), 40, '0') END,
         coalesce(nullif(section_number, 0), 999), concept_number NULLS LAST, name) AS INTEGER) AS place FROM levels""")
 def ana15_concept_order(spark, sf):
     return m.displayed_concepts(states(spark, sf), d.sections(spark, sf)).select("owner_id", "concept_id", "place")

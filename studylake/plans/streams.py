@@ -12,6 +12,7 @@ from studylake.plans.layout import MD8, md8_converted
 from studylake.plans.registry import query
 from studylake.plans.usage import ADMITTED
 from studylake.sources import derive as d
+from studylake.sources import versions
 from studylake.sources.derive import ctes
 from studylake.sources.tables import shared_dir, table, write_documents
 from studylake.streaming import streams as st
@@ -92,9 +93,19 @@ def str6_job_states(spark, sf):
 @query("""WITH e AS (SELECT user_id * 100 + day(ts) AS session_id, epoch_us(ts) // 1000 AS ms, * FROM events), c AS (SELECT session_id, min(ms) AS completed_ms FROM e WHERE event_type = 'purchase' GROUP BY 1)
     SELECT session_id, min(ms) AS started_ms, completed_ms, CAST(count(*) FILTER (WHERE ms < completed_ms) AS BIGINT) AS check_ins, CAST(count(*) FILTER (WHERE ms < completed_ms AND value >= 30) AS BIGINT) AS correct FROM e JOIN c USING (session_id) GROUP BY 1, 3""")
 def str7_completed_sessions(spark, sf):
+    return drained(spark, st.completed_sessions(sessions_stream(spark, sf), "60 days"))
+
+
+def sessions_stream(spark, sf):
     ms = F.floor(F.unix_micros(F.col("ts")) / 1000)
-    e = timed(spark, sf).select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id"), "ts", ms.alias("ts_ms"), F.when(F.col("event_type") == "purchase", "complete").otherwise("track").alias("kind"), (F.col("value") >= 30).alias("was_correct"))
-    return drained(spark, st.completed_sessions(e, "60 days"))
+    return timed(spark, sf).select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id"), "ts", ms.alias("ts_ms"), F.when(F.col("event_type") == "purchase", "complete").otherwise("track").alias("kind"), (F.col("value") >= 30).alias("was_correct"))
+
+
+@query("""WITH e AS (SELECT user_id * 100 + day(ts) AS session_id, epoch_us(ts) // 1000 AS ms, * FROM events)
+    SELECT session_id, min(ms) AS started_ms, max(ms) AS last_ms, CAST(count(*) AS BIGINT) AS check_ins, CAST(count(*) FILTER (WHERE value >= 30) AS BIGINT) AS correct FROM e GROUP BY session_id
+    HAVING NOT bool_or(event_type = 'purchase') AND max(ms) + 2 * 86400000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events) - 10 * 86400000""")
+def str7_abandoned_sessions(spark, sf):
+    return drained(spark, st.abandoned_sessions(sessions_stream(spark, sf), "10 days", 2 * 86_400_000))
 
 
 @query("SELECT DISTINCT user_id AS document_id, event_id % 3 AS section_id, value >= 30 AS with_check_ins FROM events")
@@ -115,4 +126,4 @@ def snk3_streamed_upsert(spark, sf):
     path = f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}"
     counters = st.usage_counters(timed(spark, sf).select("user_id", "ts", (F.col("event_id") % 20).alias("pages")), "60 days")
     counters.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(st.upsert_usage(f"{path}/rows")).outputMode("update").start().awaitTermination()
-    return st.latest_usage(spark.read.schema(counters.schema.add("batch_id", IntegerType())).parquet(f"{path}/rows"))
+    return versions.snapshot(spark, f"{path}/rows").select("user_id", "month", "pdfs_uploaded", "pages_processed")

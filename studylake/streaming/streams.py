@@ -1,24 +1,51 @@
 """Structured Streaming forms of the event flows. Each has a batch twin whose result it reaches on the same rows.
 
-Event time decides: rows later than the watermark are left out of a stream and made good by the batch twin.
+Flows with rules of their own are stateful processors with typed state in RocksDB, on the executors' disks and in the
+checkpoint: a key's rows come as an iterator of frames, of which only the columns that a rule needs are held. Event time
+decides: rows later than the watermark are left out of a stream; late_apart writes them to a side table and counts them, so
+that the batch twin can make them good.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from studylake.operators.usage import RATE_LIMITS, WINDOW_MS, admit
+from studylake.sources import versions
 
 STATE_OUT = "owner_id long, concept_id long, event_id long, was_correct boolean, total_attempts long, correct_attempts long, consecutive_correct long, old_state string, new_state string"
-COUNTS = StructType([StructField("total", LongType()), StructField("correct", LongType()), StructField("streak", LongType()), StructField("state", StringType())])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of an output frame.
+SLICE = 10_000
+
+
+def stateful(rows: DataFrame, group: list[str], processor: StatefulProcessor, out: str, mode: str, time: str = "none") -> DataFrame:
+    """rows with a processor for each key. State stores of the session are RocksDB from here on, as typed state needs."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.groupBy(*group).transformWithStateInPandas(processor, out, mode, time)
+
+
+def in_order(rows: Iterator[pd.DataFrame], columns: list[str], order: list[str]) -> list[np.ndarray]:
+    """The columns of a key's rows in an order, taken from the frames one after the other."""
+    parts = [[b[c].to_numpy() for c in dict.fromkeys([*columns, *order])] for b in rows if len(b)]
+    whole = dict(zip(dict.fromkeys([*columns, *order]), map(np.concatenate, zip(*parts, strict=True)), strict=True)) if parts else {}
+    if not whole:
+        return [np.zeros(0) for _ in columns]
+    at = np.lexsort([whole[c] for c in reversed(order)])
+    return [whole[c][at] for c in columns]
+
+
+def frames(rows: list[tuple], columns: str) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in columns.split(", ")]
+    for i in range(0, len(rows), SLICE):
+        yield pd.DataFrame(rows[i : i + SLICE], columns=names)
 
 
 def next_state(total: int, correct: int, streak: int, old: str) -> str:
@@ -37,18 +64,25 @@ def live_mastery(attempts: DataFrame) -> DataFrame:
     Within a micro-batch answers are taken in the order (ts, event_id); the counters of each owner's concept are the state.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, correct, streak, now = state.get if state.exists else (0, 0, 0, "not_learned")
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    return stateful(attempts, ["owner_id", "concept_id"], Mastery(), STATE_OUT, "append")
+
+
+class Mastery(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "total long, correct long, streak long, state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        total, correct, streak, now = self.counts.get() if self.counts.exists() else (0, 0, 0, "not_learned")
         out = []
-        for event, right in zip(rows["event_id"], rows["was_correct"], strict=True):
+        for event, right in zip(*in_order(rows, ["event_id", "was_correct"], ["ts", "event_id"]), strict=True):
             total, correct, streak, old = total + 1, correct + int(right), streak + 1 if right else 0, now
             now = next_state(total, correct, streak, old)
-            out.append((key[0], key[1], event, right, total, correct, streak, old, now))
-        state.update((total, correct, streak, now))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE_OUT.split(", ")])
+            out.append((*key, event, bool(right), total, correct, streak, old, now))
+        self.counts.update((total, correct, streak, now))
+        yield from frames(out, STATE_OUT)
 
-    return attempts.groupBy("owner_id", "concept_id").applyInPandasWithState(fold, STATE_OUT, COUNTS, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
 def usage_counters(uploads: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -56,27 +90,34 @@ def usage_counters(uploads: DataFrame, delay: str = "1 day") -> DataFrame:
     return uploads.withWatermark("ts", delay).groupBy("user_id", F.trunc("ts", "MM").alias("month")).agg(F.count("*").alias("pdfs_uploaded"), F.sum("pages").alias("pages_processed"))
 
 
+ADMITTED = "owner_id long, type string, ts_ms long, request_id long, allowed boolean"
+
+
 def rate_admission(requests: DataFrame, limits: dict[str, int] = RATE_LIMITS, expire: bool = True) -> DataFrame:
-    """Admission of a stream (owner_id, type, ts_ms, request_id) under the sliding window; a quiet owner's state goes after
-    twice the window, unless expire is false, as for a stream that is only run over what there is."""
-    schema = StructType([StructField("times", StringType())])
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = deque(int(x) for x in state.get[0].split(",") if x) if state.exists else deque()
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "request_id"])
-        limit, allowed = limits.get(key[1], min(limits.values())), []
-        for t in rows["ts_ms"]:
-            allowed.append(admit(held, int(t), limit))
-        state.update((",".join(map(str, held)),))
-        if expire:
-            state.setTimeoutDuration(2 * WINDOW_MS)
-        yield rows[["owner_id", "type", "ts_ms", "request_id"]].assign(allowed=allowed)
-
-    out = StructType([StructField("owner_id", LongType()), StructField("type", StringType()), StructField("ts_ms", LongType()), StructField("request_id", LongType()), StructField("allowed", BooleanType())])
-    return requests.groupBy("owner_id", "type").applyInPandasWithState(fold, out, schema, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+    """Admission of a stream (owner_id, type, ts_ms, request_id) under the sliding window. The times that fill an owner's window
+    are a list in the state; they go by themselves after twice the window, unless expire is false, as for a stream that is
+    only run over what there is."""
+    return stateful(requests, ["owner_id", "type"], Admission(limits, expire), ADMITTED, "append", "processingTime" if expire else "none")
+
+
+class Admission(StatefulProcessor):
+    def __init__(self, limits: dict[str, int], expire: bool):
+        self.limits, self.ttl = limits, 2 * WINDOW_MS if expire else None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.times = handle.getListState("times", "ts_ms long", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = deque(t for (t,) in self.times.get()) if self.times.exists() else deque()
+        limit, out = self.limits.get(key[1], min(self.limits.values())), []
+        for t, request in zip(*in_order(rows, ["ts_ms", "request_id"], ["ts_ms", "request_id"]), strict=True):
+            out.append((*key, int(t), int(request), admit(held, int(t), limit)))
+        if held:
+            self.times.put([(t,) for t in held])
+        yield from frames(out, ADMITTED)
+
+    def close(self) -> None:
+        pass
 
 
 def minute_counts(requests: DataFrame, delay: str = "2 minutes") -> DataFrame:
@@ -89,49 +130,66 @@ def unique_events(events: DataFrame, key: str = "event_id", delay: str = "1 day"
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def _expiry(state: GroupState, last_ms: int, idle_ms: int) -> None:
-    """Lets a state go when event time is idle_ms past its last event; at once after the watermark if it is older."""
-    state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
+class Forgetful(StatefulProcessor):
+    """A processor whose key goes when event time is idle_ms past its last event: one timer a key stands at that time, or just
+    after the watermark where that is already later."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def remind(self, last_ms: int, timerValues) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(max(last_ms + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def close(self) -> None:
+        pass
+
+
+JOB_OUT = "job_id long, status string, progress long, started_us long, updated_us long"
+
+
+class Jobs(Forgetful):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "us long, update_id long, status string, progress long, started long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        *last, started = self.job.get() if self.job.exists() else (None, None, None, None, None)
+        for b in rows:
+            micros = b["ts"].astype("datetime64[us]").astype("int64")
+            i = int(np.lexsort((b["update_id"], micros))[-1])
+            new = [int(micros.iloc[i]), int(b["update_id"].iloc[i]), b["status"].iloc[i], int(b["progress"].iloc[i])]
+            last = new if last[0] is None else max(last, new, key=lambda x: x[:2])
+            started = int(micros.min()) if started is None else min(started, int(micros.min()))
+        self.job.update((*last, started))
+        self.remind(last[0] // 1000, timerValues)
+        yield from frames([(key[0], last[2], min(100, max(0, last[3])), started, last[0])], JOB_OUT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.job.clear()
+        return iter(())
 
 
 def job_states(updates: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000) -> DataFrame:
     """Latest state of each job of a stream (job_id, ts, update_id, status, progress), for update mode: a row for each job that
     a micro-batch touches. A job without updates for idle_ms of event time is forgotten."""
-    schema = StructType([StructField("ts", LongType()), StructField("update_id", LongType()), StructField("status", StringType()), StructField("progress", LongType()), StructField("started", LongType())])
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches))
-        micros = rows["ts"].astype("datetime64[us]").astype("int64")
-        i = int(np.lexsort((rows["update_id"], micros))[-1])
-        last = (int(micros.iloc[i]), int(rows["update_id"].iloc[i]), rows["status"].iloc[i], int(rows["progress"].iloc[i]))
-        started = int(micros.min())
-        if state.exists:
-            last, started = max(last, state.get[:4], key=lambda x: x[:2]), min(started, state.get[4])
-        state.update((*last, started))
-        _expiry(state, last[0] // 1000, idle_ms)
-        yield pd.DataFrame({"job_id": [key[0]], "status": [last[2]], "progress": [min(100, max(0, last[3]))], "started_us": [started], "updated_us": [last[0]]})
-
-    out = "job_id long, status string, progress long, started_us long, updated_us long"
-    j = updates.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(fold, out, schema, "update", GroupStateTimeout.EventTimeTimeout)
+    j = stateful(updates.withWatermark("ts", delay), ["job_id"], Jobs(idle_ms), JOB_OUT, "update", "eventTime")
     return j.select("job_id", "status", "progress", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("updated_us").alias("updated_at"))
 
 
-def completed_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000) -> DataFrame:
-    """Sessions of a stream (session_id, ts, ts_ms, kind in start, track, complete; was_correct), given out at their first
-    completion; what follows it is refused. A session without events for idle_ms of event time, complete or abandoned, is
-    forgotten."""
-    schema = StructType([StructField("start", LongType()), StructField("n", LongType()), StructField("right", LongType()), StructField("done", BooleanType()), StructField("last", LongType())])
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, n, right, done, last = state.get if state.exists else (None, 0, 0, False, 0)
+SESSION_OUT = "session_id long, how string, started_ms long, ended_ms long, check_ins long, correct long"
+
+
+class Sessions(Forgetful):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "start long, n long, correct long, done boolean, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        start, n, right, done, last = self.session.get() if self.session.exists() else (None, 0, 0, False, 0)
         out = []
-        for t, kind, ok in pd.concat(list(batches)).sort_values("ts_ms", kind="stable")[["ts_ms", "kind", "was_correct"]].itertuples(index=False):
+        for t, kind, ok in zip(*in_order(rows, ["ts_ms", "kind", "was_correct"], ["ts_ms"]), strict=True):
             last = max(last, int(t))
             if done:
                 continue
@@ -140,13 +198,34 @@ def completed_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7
                 n, right = n + 1, right + int(bool(ok))
             elif kind == "complete":
                 done = True
-                out.append((key[0], start, int(t), n, right))
-        state.update((start, n, right, done, last))
-        _expiry(state, last, idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "started_ms", "completed_ms", "check_ins", "correct"])
+                out.append((key[0], "completed", start, int(t), n, right))
+        self.session.update((start, n, right, done, last))
+        self.remind(last, timerValues)
+        yield from frames(out, SESSION_OUT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.session.exists():
+            start, n, right, done, last = self.session.get()
+            self.session.clear()
+            if not done:
+                yield from frames([(key[0], "abandoned", start, last, n, right)], SESSION_OUT)
 
-    watched = events.withWatermark("ts", delay).groupBy("session_id")
-    return watched.applyInPandasWithState(fold, "session_id long, started_ms long, completed_ms long, check_ins long, correct long", schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+def ended_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Sessions of a stream (session_id, ts, ts_ms, kind in start, track, complete; was_correct) when they end, how telling in
+    which way: completed at their first completion, what follows it being refused, or abandoned when event time is idle_ms
+    past their last event. Then they are forgotten, completed ones as well."""
+    return stateful(events.withWatermark("ts", delay), ["session_id"], Sessions(idle_ms), SESSION_OUT, "append", "eventTime")
+
+
+def completed_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """The completed ones of ended_sessions."""
+    return ended_sessions(events, delay, idle_ms).where("how = 'completed'").select("session_id", "started_ms", F.col("ended_ms").alias("completed_ms"), "check_ins", "correct")
+
+
+def abandoned_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """The abandoned ones of ended_sessions."""
+    return ended_sessions(events, delay, idle_ms).where("how = 'abandoned'").select("session_id", "started_ms", F.col("ended_ms").alias("last_ms"), "check_ins", "correct")
 
 
 def first_requests(requests: DataFrame, delay: str = "24 hours") -> DataFrame:
@@ -154,16 +233,43 @@ def first_requests(requests: DataFrame, delay: str = "24 hours") -> DataFrame:
     return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["document_id", "section_id", "with_check_ins"])
 
 
-def upsert_usage(path: str):
-    """A foreachBatch function that adds to Parquet at path a new version of each month touched by a batch of usage_counters
-    (latest_usage reads the last); a batch that comes twice replaces its own versions, so it leaves the same table."""
+def late_apart(path: str, on_time: Callable[[DataFrame, int], None], delay_ms: int, ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that parts a micro-batch by event time: rows more than delay_ms behind the latest of all earlier
+    micro-batches go to path/late, the others to on_time.
+
+    The mark of each batch, its latest time and its number of late rows, is a row of path/marks. A batch that comes again
+    finds the marks before its own and replaces what it wrote, so both tables are those of one run.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        spark = batch.sparkSession
+        found = late_marks(spark, path).where(F.col("batch_id") < batch_id).agg(F.max("latest_us")).first()[0]
+        us = F.unix_micros(F.col(ts))
+        late = F.coalesce(us < F.lit(None if found is None else found - 1000 * delay_ms).cast("long"), F.lit(False))
+        batch = batch.persist()
+        try:
+            batch.where(late).write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+            on_time(batch.where(~late), batch_id)
+            mark = batch.agg(F.max(us).alias("latest_us"), F.count_if(late).alias("late_rows"))
+            mark.write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write
 
 
+def late_marks(spark, path: str) -> DataFrame:
+    """(latest_us, late_rows, batch_id) of the micro-batches that late_apart has written."""
+    kind = "latest_us long, late_rows long, batch_id int"
+    return spark.read.schema(kind).parquet(f"{path}/marks") if versions.exists(spark, f"{path}/marks") else spark.createDataFrame([], kind)
+
+
+def upsert_usage(path: str, deltas: int = 8) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that puts the months touched by a batch of usage_counters into the table at path (see versions):
+    a batch is a delta, every `deltas` of them are merged into a new base, and readers see a batch whole or not at all."""
+    return versions.upsert(path, ["user_id", "month"], deltas)
+
+
 def latest_usage(rows: DataFrame) -> DataFrame:
-    """The last version of each user's month among what upsert_usage wrote."""
+    """The last version of each user's month among rows with batch_id."""
     return rows.groupBy("user_id", "month").agg(F.max_by(F.struct("pdfs_uploaded", "pages_processed"), "batch_id").alias("u")).select("user_id", "month", "u.*")

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from studylake.functions.text import natural_key
 from studylake.operators import clean, layout, lessons, mastery, sections, usage
 from studylake.sources import tables
 from studylake.streaming import streams
@@ -132,3 +133,9 @@ def test_extraction_json_and_rejects(spark):
 def test_lesson_without_concepts_gives_no_row(spark):
     df = spark.createDataFrame([(1, "# Only a topic\n## Summary\nx"), (2, None), (3, "")], "lesson_id long, markdown string")
     assert lessons.lessons_of(df, "markdown").count() == 0
+
+
+def test_natural_order_of_numbers_of_any_length(spark):
+    want = ["1", "Chapter 2", "chapter 009", "Chapter 10", "Chapter 99", "Chapter 123456789", "Chapter 9999999999", "Chapter 99999999999", "Chapter 100000000000", "Chapter " + "9" * 99, "Chapter 1" + "0" * 100, "section"]
+    rows = spark.createDataFrame([(x,) for x in reversed(want)], "name string")
+    assert [r["name"] for r in rows.orderBy(natural_key(F.col("name"))).collect()] == want

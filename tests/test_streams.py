@@ -1,6 +1,7 @@
 """Streams over several micro-batches: carried state, expiry, repeated batches; the listing of stored objects."""
 
 import os
+import time
 from datetime import datetime, timedelta
 from functools import partial
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from studylake.plans import streams as plans
-from studylake.sources import tables
+from studylake.sources import tables, versions
 from studylake.streaming import streams as st
 
 SMALL = "/root/testdata/sf0.001"
@@ -68,26 +69,98 @@ def test_jobs_without_updates_are_forgotten(spark, tmp_path):
     assert tuple(last[1]) == ("again", 7, START + 32 * DAY)
 
 
-def test_abandoned_sessions_are_forgotten(spark, tmp_path):
-    def event(session, day, kind, right=True):
-        return (session, START + day * DAY, day * 86_400_000, kind, right)
+def session(number, day, kind, right=True):
+    return (number, START + day * DAY, day * 86_400_000, kind, right)
+
+
+SESSIONS = [[session(1, 0, "track"), session(2, 0, "track"), session(2, 1, "complete")], [session(3, 30, "track")], [session(3, 31, "track", False)], [session(1, 32, "complete"), session(3, 32, "complete"), session(3, 33, "complete")]]
+SESSION = "session_id long, ts timestamp, ts_ms long, kind string, was_correct boolean"
 
-    rows = [[event(1, 0, "track"), event(2, 0, "track"), event(2, 1, "complete")], [event(3, 30, "track")], [event(3, 31, "track", False)], [event(1, 32, "complete"), event(3, 32, "complete"), event(3, 33, "complete")]]
-    done = st.completed_sessions(batches(spark, tmp_path, rows, "session_id long, ts timestamp, ts_ms long, kind string, was_correct boolean"))
+
+def test_abandoned_sessions_are_forgotten(spark, tmp_path):
+    done = st.completed_sessions(batches(spark, tmp_path, SESSIONS, SESSION))
     got = sorted(tuple(r) for r in plans.drained(spark, done).collect())
     ms = 86_400_000
     assert got == [(1, 32 * ms, 32 * ms, 0, 0), (2, 0, ms, 1, 1), (3, 30 * ms, 32 * ms, 2, 1)]
 
 
+def test_abandoned_sessions_are_given_out(spark, tmp_path):
+    left = st.abandoned_sessions(batches(spark, tmp_path, SESSIONS, SESSION))
+    assert [tuple(r) for r in plans.drained(spark, left).collect()] == [(1, 0, 0, 1, 1)]
+
+
+USAGE = "user_id long, month date, pdfs_uploaded long, pages_processed long"
+
+
 def test_a_repeated_batch_leaves_the_same_usage(spark, tmp_path):
-    kind = "user_id long, month date, pdfs_uploaded long, pages_processed long"
     month = START.date()
     write = st.upsert_usage(f"{tmp_path}/usage")
-    write(spark.createDataFrame([(1, month, 2, 10), (2, month, 1, 4)], kind), 0)
+    write(spark.createDataFrame([(1, month, 2, 10), (2, month, 1, 4)], USAGE), 0)
     for _ in range(2):
-        write(spark.createDataFrame([(1, month, 3, 17)], kind), 1)
-    got = st.latest_usage(spark.read.parquet(f"{tmp_path}/usage")).collect()
+        write(spark.createDataFrame([(1, month, 3, 17)], USAGE), 1)
+    got = versions.snapshot(spark, f"{tmp_path}/usage").collect()
     assert sorted(tuple(r) for r in got) == [(1, month, 3, 17), (2, month, 1, 4)]
+    assert versions.snapshot(spark, f"{tmp_path}/none") is None
+
+
+def test_upserts_stay_bounded_and_readers_keep_their_snapshot(spark, tmp_path):
+    month, path, want = START.date(), f"{tmp_path}/usage", {}
+    write = st.upsert_usage(path, deltas=3)
+    held = None
+    for batch in range(14):
+        rows = [(batch % 5, month, batch, 2 * batch), (None, month, batch, 1)]
+        write(spark.createDataFrame(rows, USAGE), batch)
+        want |= {r[0]: r for r in rows}
+        if held is not None:  # a reader of the version before still reads it whole
+            assert sorted(tuple(r) for r in held[0].where("user_id IS NOT NULL").collect()) == held[1]
+        held = versions.snapshot(spark, path), sorted(r for u, r in want.items() if u is not None)
+        assert len(os.listdir(f"{path}/data")) <= 5
+        assert len([n for n in os.listdir(f"{path}/manifests") if n.endswith(".json")]) <= 2
+    assert {r["user_id"]: tuple(r) for r in held[0].collect()} == want
+    # Of two writers that saw the same version one is refused.
+    last = versions.manifests(spark, path)[-1]
+    versions.commit(spark, path, last | {"number": last["number"] + 1})
+    with pytest.raises(RuntimeError, match="another writer"):
+        versions.commit(spark, path, last | {"number": last["number"] + 1})
+
+
+def test_late_rows_and_the_stream_make_the_batch(spark, tmp_path):
+    """A stream of hourly counts drops late rows; with the side table it reaches what the batch counts."""
+    minute = timedelta(minutes=1)
+    rows = [[(1, START), (2, START)], [(1, START + 200 * minute), (2, START + 1 * minute)], [(1, START + 5 * minute), (2, START + 201 * minute), (1, START + 150 * minute)], [(2, START + 2 * minute), (1, START + 500 * minute)]]
+    source = batches(spark, tmp_path, rows, "user_id long, ts timestamp")
+
+    def on_time(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{tmp_path}/on-time/batch_id={batch_id}")
+
+    write = st.late_apart(f"{tmp_path}/out", on_time, 60 * 60_000)
+    twice = lambda b, i: (write(b, i), write(b, i) if i == 2 else None)  # noqa: E731  a batch that comes again
+    source.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").foreachBatch(twice).start().awaitTermination()
+    marks = {r["batch_id"]: r["late_rows"] for r in st.late_marks(spark, f"{tmp_path}/out").collect()}
+    assert marks == {0: 0, 1: 0, 2: 1, 3: 1}
+    count = lambda df: df.groupBy("user_id", F.window("ts", "60 seconds").start.alias("minute")).agg(F.count("*").alias("requests"))
+    kind = "user_id long, ts timestamp"
+    live, late = spark.read.schema(kind).parquet(f"{tmp_path}/on-time"), spark.read.schema(kind).parquet(f"{tmp_path}/out/late")
+    assert late.count() == 2
+    merged = count(live).unionByName(count(late)).groupBy("user_id", "minute").agg(F.sum("requests").alias("requests"))
+    want = count(spark.createDataFrame([r for part in rows for r in part], kind))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_state_is_in_rocksdb_and_lists_go_with_time(spark, tmp_path):
+    rows = [[(1, "lesson", 0, 1), (1, "lesson", 1, 2)], [(1, "lesson", 2, 3), (1, "lesson", 60_000, 4)]]
+    source = batches(spark, tmp_path, rows, "owner_id long, type string, ts_ms long, request_id long")
+    # With lists that expire by the clock a stream goes on without new rows, so it is stopped here.
+    stream = st.rate_admission(source, {"lesson": 2})
+    query = stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").format("memory").queryName("admitted").outputMode("append").start()
+    try:
+        end = time.time() + 120
+        while spark.table("admitted").count() < 4 and time.time() < end:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == st.ROCKSDB
+    assert {r["request_id"]: r["allowed"] for r in spark.table("admitted").collect()} == {1: True, 2: True, 3: False, 4: True}
 
 
 def test_listing_of_stored_objects(spark):
