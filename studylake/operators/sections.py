@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from studylake.functions.text import lines, missing, once, strip
+from studylake.functions import matching
+from studylake.functions.text import lines, missing, strip
 
 #: White space, word edges and digits are those of the rules' origin: Unicode blanks, ASCII words.
 BLANK, EDGE_BEFORE, EDGE_AFTER = "[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]", "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -112,94 +118,88 @@ def smart_boundary(text: Column, position: Column, forward: bool = True) -> Colu
     return F.when((position < 0) | (position >= n), n if forward else F.lit(0)).otherwise(inside).cast("int")
 
 
-def _index(text: Column, pattern: Column) -> Column:
-    """Place from 0 where a pattern first fits, null without."""
-    return once(F.regexp_instr(text, pattern), lambda at: F.when(at > 0, at - 1))
-
-
-def found_at(text: Column, what: Column) -> Column:
-    """Place from 1 where a text has another first, null without."""
-    return once(F.instr(text, what), lambda at: F.when(at > 0, at))
+def _of_document(docs: DataFrame, sections: DataFrame, text: str, more: list[str], columns: list[str], solve, out: str) -> DataFrame:
+    """solve(text, further values, sections) for each document in one row with its sections by number; its results, a tuple for
+    each section, with doc_id, section_number and name. A document's text is read once and only parts leave its row."""
+    names = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_number", *columns))).alias("s"))
+    rows = docs.join(names, "doc_id").select("doc_id", text, *more, "s")
+    kinds = dict(rows.dtypes)
+    number = dict(sections.dtypes)["section_number"]
 
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                found = list(solve(r[text] or "", [r[c] for c in more], r["s"]))
+                cells = [(r["doc_id"], x["section_number"], x["name"], *y) for x, y in zip(r["s"], found, strict=True)]
+                kind = b.schema.field("s").type.value_type
+                types = [b.schema.field("doc_id").type, kind.field("section_number").type, pa.string(), *[None] * (len(cells[0]) - 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)], ["doc_id", "section_number", "name", *[x.split()[0] for x in out.split(", ")]])
 
-def _quoted(name: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+    return rows.mapInArrow(each, f"doc_id {kinds['doc_id']}, section_number {number}, name string, {out}")
 
 
 def split_by_sections(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """Each section's part of its document's Markdown: from its heading, bold name or name in its share of the text to the
-    next one's; else to a smart boundary. Places are found in the document's row and only the parts leave it."""
-    names = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_number", "name"))).alias("s"))
-    rows = docs.join(names, "doc_id").select("doc_id", "markdown", "s")
-    text, n, count = F.col("markdown"), F.length("markdown"), F.size("s")
-    low, high = lambda i: F.floor(i * n / count).cast("int"), lambda i: F.floor((i + 1) * n / count).cast("int")
-    as_heading = lambda x: F.concat(F.lit(r"(?im)^#{1,3}\s*".replace(r"\s", BLANK)), _quoted(x))
-    as_bold = lambda x: F.concat(F.lit(r"(?i)\*\*"), _quoted(x), F.lit(r"\*\*"))
-
-    def start(x: Column, i: Column) -> Column:
-        region = F.substr(text, low(i) + 1, high(i) - low(i))
-        plain = low(i) + found_at(F.lower(region), F.lower(x["name"])) - 1
-        return F.coalesce(_index(text, as_heading(x["name"])), _index(text, as_bold(x["name"])), plain, smart_boundary(text, low(i)))
-
-    def end(x: Column, i: Column) -> Column:
-        after, following = F.substr(text, x["start"] + 2), F.get("s", i + 1)["name"]
-        found = x["start"] + 1 + F.coalesce(_index(after, as_heading(following)), _index(after, as_bold(following)))
-        return F.when(i == count - 1, n).otherwise(F.coalesce(found, smart_boundary(text, high(i), False)))
+    next one's; else to a smart boundary. All names are looked up by one scan of the text (functions.matching)."""
 
-    def part(x: Column) -> Column:
-        a, b = F.least(x["start"], x["end"]), F.greatest(x["start"], x["end"])
-        return F.struct(x["section_number"].alias("section_number"), x["name"].alias("name"), strip(F.substr(text, a + 1, b - a)).alias("markdown_text"))
+    def parts(text: str, _, own: list[dict]) -> Iterator[tuple[str]]:
+        return ((text[a:e],) for a, e in matching.section_spans(text, [x["name"] for x in own]))
 
-    rows = rows.withColumn("s", F.transform("s", lambda x, i: x.withField("start", start(x, i))))
-    rows = rows.withColumn("s", F.transform("s", lambda x, i: x.withField("end", end(x, i))))
-    return rows.select("doc_id", F.inline(F.transform("s", part)))
+    found = _of_document(docs, sections, "markdown", [], ["name"], parts, "markdown_text string")
+    return found.withColumn("markdown_text", strip(F.col("markdown_text")))
 
 
 def section_texts(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """Text and strategy of each section (doc_id, section_number, name, page_start, page_end): by page markers, by
-    characters a page, by name, by equal parts. docs has text and, where known, pages. Only the parts leave a document's row."""
-    names = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_number", "name", "page_start", "page_end"))).alias("s"))
-    marks = F.regexp_extract_all("text", F.lit(r"(?m)^## Page (\d+)$"), F.lit(1))
-    rows = docs.join(names, "doc_id").withColumn("places", F.transform(marks, lambda x: F.struct(x.cast("int").alias("page"), _index(F.col("text"), F.concat(F.lit("(?m)^## Page "), x, F.lit("$"))).alias("at"))))
-    text, n, count = F.col("text"), F.length("text"), F.size("s")
-    total = F.coalesce(F.nullif("pages", F.lit(0)), F.ceil(n / CHARS_A_PAGE)).cast("int")
-    each = F.floor(F.try_divide(n, total)).cast("int")
-
-    def place(page: Column) -> Column:
-        return F.get(F.filter("places", lambda x: x["page"] == page), F.lit(0))["at"]
-
-    def spot(where: Column, what: Column) -> Column:
-        return F.coalesce(found_at(where, what), found_at(F.lower(where), F.lower(what)))
-
-    def found(x: Column) -> Column:
-        ranged = (x["page_start"] > 0) & (x["page_end"] > 0)
-        low, high = F.greatest(F.lit(0), (x["page_start"] - 1) * each), F.least(n, x["page_end"] * each)
-        counted = F.when(ranged & (total > 0), F.substr(text, F.least(low, high) + 1, F.abs(high - low)))
-        first = place(x["page_start"])
-        marked = F.when(ranged & first.isNotNull(), F.substr(text, first + 1, F.greatest(F.lit(0), F.coalesce(place(x["page_end"]), n) - first)))
-        return x.withField("m", missing(marked)).withField("p", missing(counted)).withField("at", spot(text, x["name"]))
-
-    def part(x: Column, i: Column) -> Column:
-        stop = spot(F.substr(text, x["at"] + 1), F.get("s", i + 1)["name"])
-        named = missing(F.when(x["at"].isNotNull(), F.coalesce(F.substr(text, x["at"], stop), F.substr(text, x["at"]))))
-        size = F.floor(n / count).cast("int")
-        how = F.when(x["m"].isNotNull(), "page_markers").when(x["p"].isNotNull(), "page_range_calc").when(x["at"].isNotNull(), "name_search").otherwise("proportional_chunking")
-        extracted = F.coalesce(x["m"], x["p"], named, F.substr(text, i * size + 1, size))
-        return F.struct(x["section_number"].alias("section_number"), x["name"].alias("name"), how.alias("strategy"), extracted.alias("extracted"))
-
-    rows = rows.withColumn("s", F.transform("s", found))
-    return rows.select("doc_id", F.inline(F.transform("s", part)))
-
-
-def quality(extracted: Column, name: Column, others: Column, full: Column) -> Column:
-    """Score 0 to 1 of an extracted text: own name in it, fit length, few other sections' names."""
-    low = F.lower(extracted)
-    ratio = F.length(extracted) / F.length(full)
+    characters a page, by name, by equal parts. docs has text and, where known, pages. Markers and all names are looked up by
+    one scan of the text."""
+
+    def parts(text: str, more: list, own: list[dict]) -> Iterator[tuple[str, str]]:
+        n, spots, at = len(text), matching.Spots(text, [x["name"] for x in own]), {}
+        for m in re.finditer(r"^## Page ([0-9]+)$", text, re.MULTILINE):
+            at.setdefault(int(m[1]), m.start())
+        total = more[0] or -(-n // CHARS_A_PAGE)
+        for i, x in enumerate(own):
+            a, e = x["page_start"] or 0, x["page_end"] or 0
+            marked = counted = named = None
+            if a > 0 and e > 0:
+                if total > 0:
+                    low, high = max(0, (a - 1) * (n // total)), min(n, e * (n // total))
+                    counted = text[min(low, high) : max(low, high)]
+                if a in at:
+                    marked = text[at[a] : max(at[a], at.get(e, n))]
+            first = spots.first(x["name"])
+            if first is not None:
+                named = text[first : spots.first(own[i + 1]["name"], first + 1) if i + 1 < len(own) else None]
+            how = "page_markers" if marked else "page_range_calc" if counted else "name_search" if first is not None else "proportional_chunking"
+            size = n // len(own)
+            yield how, marked or counted or named or text[i * size : i * size + size]
+
+    return _of_document(docs, sections, "text", ["pages"], ["name", "page_start", "page_end"], parts, "strategy string, extracted string")
+
+
+def quality(own: Column, ratio: Column, others: Column) -> Column:
+    """Score 0 to 1 of an extracted text: own name in it, share of the whole text, number of other sections' names in it."""
     size = F.when((ratio > 0.05) & (ratio < 0.5), 0.3).when(ratio >= 0.5, -0.2).otherwise(0.0)
-    n = F.size(F.filter(others, lambda x: F.contains(low, F.lower(x))))
-    other = F.when(n == 0, 0.4).when(n == 1, 0.2).otherwise(-0.2)
-    score = F.when(F.contains(low, F.lower(name)), 0.3).otherwise(0.0) + size + other
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
+    other = F.when(others == 0, 0.4).when(others == 1, 0.2).otherwise(-0.2)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(own, 0.3).otherwise(0.0) + size + other)), 6)
+
+
+def scored(extracted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, section_number, name, quality) of extracted texts (doc_id, section_number, name, extracted); sizes has doc_id
+    and size, the length of the whole text. Each text is scanned once for all names of its document."""
+
+    def parts(_, __, own: list[dict]) -> Iterator[tuple[bool, int, int]]:
+        times, names = Counter(x["name"].lower() for x in own if x["name"] is not None), Counter(x["name"] for x in own)
+        scan = matching.automaton(times)
+        for x in own:
+            text, name = x["extracted"] or "", x["name"]
+            found = matching.contained(text.lower(), scan) | ({""} & times.keys())
+            has = name is not None and name.lower() in found
+            yield has, len(text), sum(times[f] for f in found) - (names[name] if has else 0)
+
+    found = _of_document(sizes.select("doc_id", F.lit("").alias("text"), "size"), extracted, "text", ["size"], ["name", "extracted"], parts, "own boolean, length long, others long")
+    return found.join(sizes.select("doc_id", "size"), "doc_id").select("doc_id", "section_number", "name", quality(F.col("own"), F.col("length") / F.col("size"), F.col("others")).alias("quality"))
 
 
 def extract_sections(docs: DataFrame, proposed: DataFrame) -> DataFrame:

@@ -138,9 +138,7 @@ def sec11_quality(spark, sf):
     parts = s.markdown_sections(docs, "markdown").select("doc_id", "section_number", "name", F.concat(F.lit("## "), "name", F.lit("\n\n"), "markdown_text").alias("body"))
     more = lambda i, when: F.when(when, F.coalesce(F.concat(F.lit("\n\n"), F.lead("body", i).over(order)), F.lit(""))).otherwise("")
     parts = parts.withColumn("extracted", F.concat("body", more(1, (k % 3 == 0) | (k % 4 == 0)), more(2, k % 4 == 0)))
-    names = parts.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    j = parts.join(names, "doc_id").join(docs, "doc_id")
-    return j.select("doc_id", "section_number", s.quality(F.col("extracted"), F.col("name"), F.array_remove("names", F.col("name")), F.col("markdown")).alias("quality"))
+    return s.scored(parts, docs.select("doc_id", F.length("markdown").alias("size"))).select("doc_id", "section_number", "quality")
 
 
 @query(WITH_HEADS + TOC + ", " + PROPOSED + ", fdocs AS (SELECT doc_id, text, 'Doc ' || doc_id AS title FROM headings_text WHERE doc_id NOT IN (SELECT doc_id FROM toc WHERE n BETWEEN 6 AND 15) AND doc_id NOT IN (SELECT doc_id FROM pn WHERE k >= 2)), " + FALLBACK + """

@@ -2,9 +2,11 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
+from studylake.functions import matching
 from studylake.functions.text import natural_key
 from studylake.operators import clean, layout, lessons, mastery, sections, usage
 from studylake.sources import tables
@@ -116,6 +118,69 @@ def test_names_that_begin_other_names(spark):
     assert got == ["#", "## Part 10\n\nten\n\n## Part 1\n\none", "**Bold One**\n\nbold"]
 
 
+def plain_spans(text, names):
+    """The rules name by name, each with a scan of its own."""
+    blank = "[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]".replace("\\s", " \\t\\n\\x0b\\f\\r")
+
+    def search(name, least):
+        after = text[least:]
+        for pattern in (f"^#{{1,3}}{blank}*{re.escape(name)}", rf"\*\*{re.escape(name)}\*\*"):
+            if m := re.search(pattern, after, re.MULTILINE | re.IGNORECASE | re.ASCII):
+                return least + m.start()
+        return None
+
+    n, k, starts, out = len(text), len(names), [], []
+    for i, name in enumerate(names):
+        low, high = i * n // k, (i + 1) * n // k
+        at = search(name, 0)
+        if at is None and (inside := text[low:high].lower().find(name.lower())) >= 0:
+            at = low + inside
+        starts.append(plain_boundary(text, low) if at is None else at)
+    for i, start in enumerate(starts):
+        end = n if i == k - 1 else search(names[i + 1], start + 1)
+        end = plain_boundary(text, (i + 1) * n // k, False) if end is None else end
+        out.append(text[min(start, end) : max(start, end)].strip())
+    return out
+
+
+def section_cases():
+    r = random.Random(11)
+    for case in range(60):
+        names = [r.choice(("Part", "part", "Kapitel", "A", "One two", "x.*y", "# y")) + r.choice(("", " 1", " 10", " 2", ":")) for _ in range(r.randrange(1, 9))]
+        pieces = ["#", "##", "###", "####", "**", "\n", "\n\n", " ", "\u00a0", "word. ", "end! ", *names, *[x.upper() for x in names], *[f"\n## {x}\n" for x in names], *[f"**{x}**" for x in names]]
+        yield case, "".join(r.choice(pieces) for _ in range(r.randrange(1, 120))), names
+
+
+def test_sections_by_one_scan_are_those_of_many(spark):
+    cases = list(section_cases())
+    docs = spark.createDataFrame([(i, t) for i, t, _ in cases], "doc_id int, markdown string")
+    own = spark.createDataFrame([(i, k, n) for i, _, names in cases for k, n in enumerate(names)], "doc_id int, section_number int, name string")
+    got = {(x["doc_id"], x["section_number"]): x["markdown_text"] for x in sections.split_by_sections(docs, own).collect()}
+    assert got == {(i, k): x for i, t, names in cases for k, x in enumerate(plain_spans(t, names))}
+
+
+def test_section_scores_count_other_names(spark):
+    rows = [(1, k, name, text) for k, (name, text) in enumerate([("Alpha", "ALPHA and beta"), ("Beta", "nothing"), ("beta", "alpha Beta gamma"), ("Gamma", "gamma"), (None, "alpha"), ("Gam", None)])]
+    own = spark.createDataFrame(rows, "doc_id int, section_number int, name string, extracted string")
+    got = [x["quality"] for x in sections.scored(own, spark.createDataFrame([(1, 100)], "doc_id int, size int")).orderBy("section_number").collect()]
+    want = []
+    for _, _, name, text in rows:
+        low = (text or "").lower()
+        others = sum(x is not None and x != name and x.lower() in low for _, _, x, _ in rows)
+        ratio = len(low) / 100
+        want.append(round(max(0.0, min(1.0, 0.3 * (name is not None and name.lower() in low) + (0.3 if 0.05 < ratio < 0.5 else -0.2 if ratio >= 0.5 else 0) + (0.4, 0.2, -0.2)[min(others, 2)])), 6))
+    assert got == want
+
+
+def test_thousands_of_sections_take_time_in_proportion():
+    names = [f"Section number {i} of a long document" for i in range(2000)]
+    text = "# T\n\n" + "\n\n".join(f"## {n}\n\n" + "Some words stand here. " * 9 for n in names)
+    began = time.process_time()
+    spans = list(matching.section_spans(text, names))
+    assert [text[a:].startswith(f"## {n}\n") for n, (a, _) in zip(names, spans, strict=True)].count(False) < 3
+    assert time.process_time() - began < 2
+
+
 def test_limits(spark):
     asked = [(1, "free", 1, 0, 5, 0), (2, "free", 0, 0, 11, 0), (3, "tier2", 9, 99, 50, 2), (4, "tier2", 9, 99, 50, 1)]
     df = spark.createDataFrame(asked, "user_id long, tier string, pdfs_uploaded long, chapters_generated long, pages long, chapters long")
