@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from studylake.functions.text import micros
+from studylake.sources.tables import stored
 
 #: Limits of each tier (-1: none) with its rank and price a month.
 TIERS = (("free", 0, 1, 10, 0, 0), ("tier1", 1, -1, -1, -1, 17), ("tier2", 2, -1, -1, 100, 40))
@@ -132,11 +133,12 @@ def admit(held: deque, t: int, limit: int) -> bool:
     return False
 
 
-def rate_admission(requests: DataFrame, limits: dict[str, int] = RATE_LIMITS) -> DataFrame:
+def rate_admission(requests: DataFrame, limits: dict[str, int] = RATE_LIMITS, slice_rows: int = 50_000) -> DataFrame:
     """Each request with allowed and remaining under the sliding window.
 
     Requests are met burst by burst (with_bursts). A burst that never fills the window (rate_status) is admitted
-    throughout by plain windows; the requests of others stream in order through the sequential rule, which holds no more
+    throughout by plain windows. Others are cut into slices of about slice_rows requests, whole minutes each, that are
+    admitted in parallel (slice_starts); a slice's requests stream in order through the sequential rule, which holds no more
     than the window.
     """
     group = ("owner_id", "type", "burst")
@@ -145,21 +147,104 @@ def rate_admission(requests: DataFrame, limits: dict[str, int] = RATE_LIMITS) ->
     now = Window.partitionBy(*group, "ts_ms")
     left = F.col("limit") - F.row_number().over(now.orderBy("request_id")) - (F.col("count") - F.count("*").over(now))
     calm = marked.where("most <= limit").select("owner_id", "type", "ts_ms", "request_id", F.lit(True).alias("allowed"), left.cast("long").alias("remaining"))
+    busy = with_slices(marked.where("most > limit").select(*group, "ts_ms", "request_id", "limit"), slice_rows)
+    if busy.where("slice > 0").isEmpty():
+        starts = None
+    else:
+        busy = stored(busy, "busy-requests")
+        starts = slice_starts(busy)
+    admitted = _folded(busy, starts, 1, _admissions, "owner_id long, type string, ts_ms long, request_id long, allowed boolean, remaining long")
+    return calm.unionByName(admitted)
 
-    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, deque()
-        for b in batches:
-            allowed, remaining = [], []
-            for now, t, limit in zip(zip(b["owner_id"], b["type"], b["burst"], strict=True), b["ts_ms"], b["limit"], strict=True):
-                if now != key:
-                    key, held = now, deque()
-                allowed.append(admit(held, t, limit))
-                remaining.append(limit - len(held) if allowed[-1] else 0)
-            yield b[["owner_id", "type", "ts_ms", "request_id"]].assign(allowed=allowed, remaining=remaining)
-
-    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    busy = marked.where("most > limit").repartition(parts, *group).sortWithinPartitions(*group, "ts_ms", "request_id")
-    return calm.unionByName(busy.mapInPandas(rows, "owner_id long, type string, ts_ms long, request_id long, allowed boolean, remaining long"))
+
+def with_slices(busy: DataFrame, slice_rows: int) -> DataFrame:
+    """busy with slice, the number of the minutes that make about slice_rows requests of a burst; only counts of minutes meet in
+    one window."""
+    group, minute = ["owner_id", "type", "burst"], F.floor(F.col("ts_ms") / WINDOW_MS)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    minutes = busy.groupBy(*group, minute.alias("minute")).agg(F.count("*").alias("n")).select(*group, "minute", F.floor(before / slice_rows).cast("int").alias("slice"))
+    return busy.withColumn("minute", minute).join(minutes, [*group, "minute"]).drop("minute")
+
+
+SLICE = "owner_id long, type string, burst long, slice int, first_ms long, start array<long>, end array<long>"
+
+
+def slice_starts(busy: DataFrame) -> DataFrame:
+    """(owner_id, type, burst, slice, start): the admitted times that fill the window when a slice begins.
+
+    All slices are folded at once from an empty window. Then each gets the last window of the one before, and only those
+    for which that is another window than they began with are folded again, until none is. With each round a task goes
+    on through twice as many consecutive slices, so that where windows never meet again the rounds are the logarithm of the
+    slices; where they do, as after any lull, two or three rounds are all.
+    """
+    key, size = ["owner_id", "type", "burst", "slice"], 1
+    states = stored(_folded(busy, None, 1, _states, SLICE), "slice-states")
+    while True:
+        handed = F.lag("end").over(Window.partitionBy(*key[:3]).orderBy("slice"))
+        wanted = F.filter(F.coalesce(handed, F.array().cast("array<long>")), lambda t: t > F.col("first_ms") - WINDOW_MS)
+        wrong = states.withColumn("wanted", wanted).where("wanted <> start").withColumn("run", F.floor(F.col("slice") / size).cast("int"))
+        firsts = wrong.groupBy(*key[:3], "run").agg(F.min_by(F.struct("slice", "wanted"), "slice").alias("x")).select(*key[:3], "run", F.col("x.slice").alias("slice"), F.col("x.wanted").alias("start"))
+        if firsts.isEmpty():
+            return states.select(*key, "start")
+        firsts = stored(firsts, "slice-starts")
+        again = busy.withColumn("run", F.floor(F.col("slice") / size).cast("int")).join(firsts.select(*key[:3], "run", F.col("slice").alias("least")), [*key[:3], "run"]).where("slice >= least")
+        new = stored(_folded(again.drop("run", "least"), firsts.drop("run"), size, _states, SLICE), "slice-states")
+        states = stored(states.join(new.select(*key), key, "left_anti").unionByName(new), "slice-states")
+        size *= 2
+
+
+def _folded(busy: DataFrame, starts: DataFrame | None, size: int, fold, out: str) -> DataFrame:
+    """fold over the requests of runs of `size` slices, each run in order with its start, if it has one, in front."""
+    run = F.floor(F.col("slice") / size).cast("int")
+    rows = busy.select("owner_id", "type", "burst", "slice", F.lit(1).alias("side"), "ts_ms", "request_id", "limit", F.lit(None).cast("array<long>").alias("start"))
+    if starts is not None:
+        rows = rows.unionByName(starts.withColumns({"side": F.lit(0), "ts_ms": F.lit(-1).cast("long"), "request_id": F.lit(-1).cast("long"), "limit": F.lit(0)}))
+    placed = rows.withColumn("run", run).repartition("owner_id", "type", "burst", "run")
+    return placed.sortWithinPartitions("owner_id", "type", "burst", "run", "slice", "side", "ts_ms", "request_id").mapInPandas(fold, out)
+
+
+def _turns(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    """(row, window, whether a slice begins): the window that a request finds."""
+    key, at, held = None, None, deque()
+    for b in batches:
+        for r in b.itertuples(index=False):
+            now = (r.owner_id, r.type, r.burst, r.run)
+            if now != key:
+                key, at, held = now, None, deque()
+            if r.side == 0:
+                held = deque(int(t) for t in r.start)
+                continue
+            while held and held[0] <= r.ts_ms - WINDOW_MS:
+                held.popleft()
+            yield r, held, at != r.slice
+            at = r.slice
+        yield None, None, False
+
+
+def _admissions(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = []
+    for r, held, _ in _turns(batches):
+        if r is None:
+            yield pd.DataFrame(out, columns=["owner_id", "type", "ts_ms", "request_id", "allowed", "remaining"])
+            out = []
+            continue
+        allowed = admit(held, int(r.ts_ms), r.limit)
+        out.append((r.owner_id, r.type, r.ts_ms, r.request_id, allowed, r.limit - len(held) if allowed else 0))
+
+
+def _states(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, now, last = [c.split()[0] for c in SLICE.split(", ")], None, None
+    for r, held, begins in _turns(batches):
+        if r is None:
+            continue
+        if begins:
+            if now is not None:
+                yield pd.DataFrame([(*now, [int(t) for t in last])], columns=names)
+            now = r.owner_id, r.type, r.burst, r.slice, r.ts_ms, [int(t) for t in held]
+        admit(held, int(r.ts_ms), r.limit)
+        last = held
+    if now is not None:
+        yield pd.DataFrame([(*now, [int(t) for t in last])], columns=names)
 
 
 def fixed_windows(requests: DataFrame, limit: int = 100) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written into the shared folder and read again: its lineage ends there, and no executor's loss undoes it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checked(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     """df if it has the columns with these types, else an error that names the first that differs."""
     have = dict(df.dtypes)

@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from studylake.functions import matching
@@ -75,6 +76,26 @@ def test_rate_admission(spark):
             assert got[i] == want
 
 
+@pytest.mark.parametrize("kind", ["steady", "random", "lulls"])
+def test_a_busy_owner_is_admitted_in_slices(spark, kind):
+    """Steady requests keep the slices' windows apart to the end; others let them meet."""
+    r = random.Random(6)
+    n = 4000
+    gaps = {"steady": lambda i: 700, "random": lambda i: r.randrange(1, 1500), "lulls": lambda i: 40_000 if i % 90 == 0 else 400}[kind]
+    rows, t = [], 0
+    for i in range(n):
+        t += gaps(i)
+        rows.append((i % 400 == 7, t, i))
+    df = spark.createDataFrame([(int(o), "lesson", t, i) for o, t, i in rows], "owner_id long, type string, ts_ms long, request_id long")
+    got = {x["request_id"]: (x["allowed"], x["remaining"]) for x in usage.rate_admission(df, {"lesson": 23}, slice_rows=150).collect()}
+    assert len(got) == n
+    for o in (0, 1):
+        own = [(t, i) for x, t, i in rows if x == o]
+        assert [got[i] for _, i in own] == plain_admission([t for t, _ in own], 23)
+    busy = usage.with_slices(df.withColumns({"burst": F.lit(0).cast("long"), "limit": F.lit(23)}), 150)
+    assert busy.select("owner_id", "slice").distinct().count() > 15
+
+
 def plain_boundary(text, position, forward=True):
     """The rule in plain Python."""
     if position < 0 or position >= len(text):
