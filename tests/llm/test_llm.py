@@ -232,8 +232,20 @@ def test_url_filter(spark):
     urls = ["http://a.example.com/en/x?y", "http://WWW.example.com/en/", "https://x.net/es/1", "http://net/fr/", "http://com", "http://b.org/?replytocom=7", None, "", "http://notexample.com.evil/en/", "http://b.org/?replytocom=7"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     sites = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-    got = {r["id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark, sites)).collect()}
+    rules = url_filter.rule_table(spark, sites)
+    got = {r["id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules).collect()}
     assert got == {0: ("example.com/en/", "block"), 1: ("www.example.com/en/", "allow"), 2: ("net/es/", "block"), 3: ("net/fr/", "block"), 4: (None, "allow"), 5: (None, "block"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: (None, "block")}
+    # Further columns and clashing names; a url of 100,000 characters; as many rules as are not sent to all tasks; one url on most pages.
+    long = "http://a.example.com/en/" + "x/" * 50_000 + "?replytocom=1"
+    more = pages.union(spark.createDataFrame([(100, long)], "page_id long, url string")).union(spark.range(200, 3200).selectExpr("id", "'http://WWW.example.com/en/'"))
+    clash = more.withColumns({c: F.lit("x") for c in ("token", "rule", "pages", "salt", "judged", "id", "n")})
+    for few in (10_000, 0):
+        again = url_filter.judge_urls(clash, rules, few=few).collect()
+        assert len(again) == 3011
+        by = {r["id"]: (r["rule"], r["verdict"]) for r in again}
+        assert {i: by[i] for i in got} == got and by[100] == ("example.com/en/", "block")
+        assert {by[i] for i in range(200, 3200)} == {got[1]}
+    assert url_filter.judge_urls(pages.where("false"), rules).count() == 0
 
 
 def plain_mix(rows, weights=(1, 2, 3), most=3, seed=7, fills=3):
