@@ -293,3 +293,39 @@ def source_similarity(sources: DataFrame, text: str, group: list[str], key: str,
     j = both.join(sizes.select(*group, F.col(key).alias("a"), F.col("n").alias("na")), [*group, "a"]).join(sizes.select(*group, F.col(key).alias("b"), F.col("n").alias("nb")), [*group, "b"])
     share = F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6)
     return j.select(*group, "a", "b", "shared", share.alias("similarity"), (share < least).alias("conflict_detected"))
+
+
+def source_classes(sources: DataFrame, text: str, group: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): sources of a group with equal sets of paragraphs are one class, named by its smallest key. members
+    has a row (group, key, of) for each source, classes one (group, of, n, p) for each class with its n paragraphs' hashes, in
+    order. Sources without a paragraph are in no class."""
+    cut = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), strip)
+    marks = F.sort_array(F.array_distinct(F.transform(F.filter(cut, lambda p: p != ""), lambda p: F.xxhash64(p))))
+    sets = sources.select(*group, key, marks.alias("p")).where(F.size("p") > 0)
+    classes = sets.groupBy(*group, "p").agg(F.min(key).alias("of")).withColumn("n", F.size("p"))
+    named = [F.col(c).alias(f"__{c}") for c in group]
+    heads = classes.select(*named, F.xxhash64("p").alias("mark"), F.col("p").alias("__p"), "of")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
+    members = sets.withColumn("own", F.xxhash64("p")).join(heads, [*same, F.col("own") == F.col("mark"), F.col("p") == F.col("__p")]).select(*group, key, "of")
+    return members, classes.select(*group, "of", "n", "p")
+
+
+def agreeing_classes(classes: DataFrame, group: list[str], least: float = 0.1) -> DataFrame:
+    """Pairs (group, a, b, shared, similarity) of classes of one group whose paragraphs have a Jaccard similarity of least or
+    more; all others are in conflict, and none of them is made.
+
+    A class is listed under its rarest paragraphs only, n less the ceiling of least * n and one more, which two classes that
+    agree enough cannot both lack. So a paragraph of very many sources is listed for those alone that have few others. The
+    candidates' sets are then compared whole.
+    """
+    each = classes.select(*group, "of", "n", F.explode("p").alias("mark"))
+    often = each.groupBy(*group, "mark").agg(F.count("*").alias("holders"))
+    kept = Window.partitionBy(*group, "of").orderBy("holders", "mark")
+    listed = each.join(often, [*group, "mark"]).withColumn("place", F.row_number().over(kept)).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1).where("holders > 1")
+    a, b = (listed.select(*group, "mark", F.col("of").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    near = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
+    pairs = a.join(b, [*group, "mark"]).where((F.col("a") < F.col("b")) & near).select(*group, "a", "b").distinct()
+    held = lambda x: classes.select(*group, F.col("of").alias(x), F.col("p").alias(f"p{x}"))
+    both = pairs.join(held("a"), [*group, "a"]).join(held("b"), [*group, "b"]).withColumn("shared", F.size(F.array_intersect("pa", "pb")).cast("long"))
+    share = F.col("shared") / (F.size("pa") + F.size("pb") - F.col("shared"))
+    return both.withColumn("similarity", F.round(share, 6)).where(share >= least).select(*group, "a", "b", "shared", "similarity")

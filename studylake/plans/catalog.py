@@ -158,6 +158,12 @@ def job2_active_jobs(spark, sf):
     return c.active_jobs(d.jobs(spark, sf), "42").select("job_id", "owner_id", "status")
 
 
+@query(ctes("jobs") + "SELECT job_id, owner_id, status FROM jobs WHERE status IN ('queued', 'processing') AND json_extract_string(data, '$.resource') = '42'")
+def job2_active_jobs_of_any_payload(spark, sf):
+    found, _ = t.payloads(d.jobs(spark, sf), F.col("data"))
+    return found.where(F.col("status").isin(*c.ACTIVE) & (t.field("payload", "$.resource", "string") == "42")).select("job_id", "owner_id", "status")
+
+
 @query(ctes("jobs") + "SELECT type, status, CAST(count(*) AS BIGINT) AS jobs, avg((epoch_us(completed_at) - epoch_us(created_at)) / 1e6) AS avg_seconds FROM jobs GROUP BY ALL")
 def job3_job_statistics(spark, sf):
     return c.job_statistics(d.jobs(spark, sf))
@@ -194,6 +200,13 @@ def snk4_json_or_fallback(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(k["k"], F.lit(-1)).alias("k"))
 
 
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT event_id, -1 FROM events WHERE event_id % 5 = 0")
+def snk4_payload_or_rejects(spark, sf):
+    broken = F.when(F.col("event_id") % 10 == 0, F.lit(None).cast("string")).when(F.col("event_id") % 5 == 0, "not json").otherwise(F.col("props"))
+    found, rejects = t.payloads(table(spark, sf, "events"), broken)
+    return found.select("event_id", t.field("payload", "$.k", "bigint").alias("k")).unionByName(rejects.select("event_id", F.lit(-1).cast("long").alias("k")))
+
+
 @query("""
     WITH q AS (SELECT label, vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
     d AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(list_zip(q, embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))))), 6) AS distance FROM q JOIN embeddings USING (label) WHERE query_id <> vec_id)

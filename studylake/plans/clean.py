@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from studylake.operators import clean as c
@@ -12,7 +14,7 @@ from studylake.sources.derive import ctes
 from studylake.sources.tables import table
 
 
-#: The rules as literals, so that they are told apart from the operator's own.
+#: The rules as literals, so that they are told apart from the operator's own.
 NOISE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(TEXT, '(?im)第\s*\d+\s*页', '', 'g'), '(?im)Page\s+\d+', '', 'g'), '(?im)^\s*\d+\s*$', '', 'g'), '(?im)\d+\s*/\s*\d+', '', 'g'),
     '(?im)- \d+ -', '', 'g'), '(?im)---+\n+', chr(10), 'g'), '(?im)===+\n+', chr(10), 'g'), '(?im)___+\n+', chr(10), 'g'), '(?im)^\s*Copyright.*?$', '', 'g'), '(?im)^\s*©.*?$', '', 'g'),
@@ -215,6 +217,43 @@ def src1_extraction_content(spark, sf):
     return t.content(raw, "pages").groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.min_by("text", "ordinal").alias("first_text"))
 
 
+def extraction_files(spark, sf):
+    """The documents' pages as JSON files of about a hundred documents, an array over several lines each; every seventh is cut off."""
+    pages = d.pages(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
+    each = pages.select(F.floor(F.col("doc_id") / 100).alias("bucket"), F.to_json(F.struct("doc_id", "pages")).alias("j"))
+    files = each.groupBy("bucket").agg(F.array_join(F.array_sort(F.collect_list("j")), ",\n").alias("j"))
+    path = f"{t.shared_dir(spark)}/extractions-{uuid.uuid4().hex}"
+    text = F.concat(F.lit("[\n"), "j", F.when(F.col("bucket") % 7 == 3, F.lit("")).otherwise(F.lit("\n]")))
+    files.select("bucket", text.alias("value")).repartition("bucket").write.partitionBy("bucket").text(path)
+    return path
+
+
+@query(ctes("pages") + " SELECT doc_id, CAST(count(*) AS BIGINT) AS n_pages, md5(string_agg(text, '|' ORDER BY page)) AS digest FROM pages WHERE (doc_id // 100) % 7 <> 3 GROUP BY doc_id")
+def src1_extraction_files(spark, sf):
+    found, _ = t.read_extractions(spark, extraction_files(spark, sf))
+    rows = t.content(found, "pages").groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return rows.select("doc_id", "n_pages", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "|")).alias("digest"))
+
+
+@query(ctes("pages") + " SELECT CAST(doc_id // 100 AS INTEGER) AS bucket, CAST(count(*) AS BIGINT) AS pages FROM pages WHERE (doc_id // 100) % 7 = 3 GROUP BY 1")
+def src1_rejected_files(spark, sf):
+    _, rejects = t.read_extractions(spark, extraction_files(spark, sf))
+    held = F.size(F.regexp_extract_all("broken", F.lit(r'\{"page":'), F.lit(0)))
+    return rejects.select(F.regexp_extract("file", r"bucket=(\d+)", 1).cast("int").alias("bucket"), held.cast("long").alias("pages"))
+
+
+CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double"}
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 3 = 0 AND c_acctbal > 0")
+def src5_relational_customers(spark, sf):
+    """Through the embedded database of Spark's jars, which lives in the driver's process: for local sessions."""
+    url = f"jdbc:derby:memory:studylake{uuid.uuid4().hex};create=true"
+    rows = table(spark, sf, "customer").select(*[F.col(c).cast(k).alias(c) for c, k in CUSTOMER.items()])
+    t.write_relational(rows, url, "customer", CUSTOMER, column_types="c_name VARCHAR(200)")
+    return t.read_relational(spark, url, "customer", CUSTOMER, "c_custkey", rows_a_part=500).where("c_acctbal > 0 AND c_custkey % 3 = 0")
+
+
 @query("SELECT r_regionkey, r_name FROM region")
 def src5_checked_table(spark, sf):
     return t.checked(table(spark, sf, "region"), {"r_regionkey": "int", "r_name": "string"}).select("r_regionkey", "r_name")

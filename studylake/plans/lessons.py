@@ -8,7 +8,7 @@ from studylake.operators import lessons as l
 from studylake.plans.registry import query
 from studylake.sources import derive as d
 from studylake.sources.derive import ctes
-from studylake.sources.tables import table
+from studylake.sources.tables import field, payloads, shapes, table
 
 #: A lesson for each part: two concepts, with all kinds of parts.
 BODY = (
@@ -69,12 +69,40 @@ def lsn6_code_blocks(spark, sf):
     return p.select(F.col("p_partkey").alias("lesson_id"), l.code_block(raw).alias("example"))
 
 
+def answers(spark, sf, obj):
+    """obj as a model's answer: alone, in a fence, in a sentence, or none."""
+    k = F.col("p_partkey")
+    raw = F.when(k % 5 == 0, F.lit("not json")).when(k % 5 == 1, F.concat(F.lit("Here:\n```json\n"), obj, F.lit("\n```"))).when(k % 5 == 2, F.concat(F.lit("so "), obj, F.lit(" end"))).otherwise(obj)
+    return table(spark, sf, "part").select(k.alias("lesson_id"), raw.alias("raw"))
+
+
 @query(P + "p_name AS topic FROM part WHERE p_partkey % 5 <> 0")
 def lsn7_parsed_json(spark, sf):
-    k = F.col("p_partkey")
     obj = F.to_json(F.struct(F.col("p_name").alias("topic")))
-    raw = F.when(k % 5 == 0, F.lit("not json")).when(k % 5 == 1, F.concat(F.lit("Here:\n```json\n"), obj, F.lit("\n```"))).when(k % 5 == 2, F.concat(F.lit("so "), obj, F.lit(" end"))).otherwise(obj)
-    return l.parsed_json(table(spark, sf, "part").select(k.alias("lesson_id"), raw.alias("raw")), "raw", "topic string")[0].select("lesson_id", "parsed.topic")
+    return l.parsed_json(answers(spark, sf, obj), "raw", "topic string")[0].select("lesson_id", "parsed.topic")
+
+
+def mixed_payloads(spark, sf):
+    """Answers of two shapes."""
+    plain = F.to_json(F.struct(F.col("p_name").alias("topic"), F.col("p_size").alias("size")))
+    deep = F.to_json(F.struct(F.struct(F.col("p_name").alias("topic")).alias("lesson"), F.array(F.col("p_size")).alias("sizes")))
+    rows = answers(spark, sf, F.when(F.col("p_partkey") % 2 == 0, plain).otherwise(deep))
+    return payloads(rows, l.json_text(F.col("raw")))
+
+
+@query("SELECT p_partkey AS lesson_id, p_name AS topic, CAST(p_size AS BIGINT) AS size FROM part WHERE p_partkey % 5 <> 0")
+def lsn7_payloads_of_any_shape(spark, sf):
+    found, _ = mixed_payloads(spark, sf)
+    topic = F.coalesce(field("payload", "$.topic", "string"), field("payload", "$.lesson.topic", "string"))
+    return found.select("lesson_id", topic.alias("topic"), F.coalesce(field("payload", "$.size", "bigint"), field("payload", "$.sizes[0]", "bigint")).alias("size"))
+
+
+@query("""SELECT p_partkey % 2 AS kind, CAST(count(*) FILTER (WHERE p_partkey % 5 <> 0) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE p_partkey % 5 = 0) AS BIGINT) AS rejects,
+    CASE p_partkey % 2 WHEN 0 THEN 'OBJECT<size: BIGINT, topic: STRING>' ELSE 'OBJECT<lesson: OBJECT<topic: STRING>, sizes: ARRAY<BIGINT>>' END AS shape FROM part GROUP BY p_partkey % 2""")
+def lsn7_shapes_and_rejects(spark, sf):
+    found, bad = mixed_payloads(spark, sf)
+    kind = (F.col("lesson_id") % 2).alias("kind")
+    return shapes(found.withColumn("kind", kind), "payload", "kind").join(bad.groupBy(kind).agg(F.count("*").alias("rejects")), "kind")
 
 
 @query("SELECT p_partkey AS lesson_id, p_size % 4 >= 2 AND p_size % 5 >= 3 AND p_size % 3 >= 2 AND p_size % 7 <> 0 AS lesson_ok, p_size % 2 = 0 AND p_size % 6 <= 3 AS mcq_ok FROM part")

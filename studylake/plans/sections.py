@@ -11,6 +11,7 @@ from studylake.sources.derive import ctes
 from studylake.sources.tables import table
 
 LINES = """ln AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM headings_text)), tr AS (SELECT *, regexp_replace(line, '\\A\\s+|\\s+\\z', '', 'g') AS t FROM ln)"""
+#: Heading patterns as literals of the SQL's own.
 VALID = r"NOT (length(t) < 8 OR (regexp_matches(t, '\d+') AND regexp_matches(t, '(?i)\b(St|Street|Ave|Avenue|Rd|Road|Dr|Drive|Ln|Lane|Blvd|Boulevard|Pl|Place|Way|Court|Ct)\b')) OR regexp_matches(t, '^[A-Z]+$') OR regexp_matches(t, '^\d+\s+\d+') OR regexp_matches(t, '^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$') OR regexp_matches(t, '(?i)^(Page|Figure|Table|Appendix|Index|References|Bibliography|Glossary)\s+\d+$'))"
 FITS = r"""regexp_matches(t, '(?i)^Chapter\s+\d+[\.:]\s*.+$') OR regexp_matches(t, '^\d+\.\d+\s+[A-Z][^\.]+$') OR regexp_matches(t, '(?i)^Section\s+\d+[\.:]\s*.+$')
     OR regexp_matches(t, '^[A-Z][A-Z\s]{8,50}[A-Z]$') OR regexp_matches(t, '^\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){2,6}$')"""
@@ -227,3 +228,20 @@ def chp7_joined_sources(spark, sf):
 def chp8_source_similarity(spark, sf):
     sources = table(spark, sf, "documents").withColumn("chapter", F.floor(F.col("doc_id") / 100))
     return s.source_similarity(sources, "text", ["lang", "chapter"], "doc_id")
+
+
+CLASSES = r"""p AS (SELECT DISTINCT lang, chapter, doc_id, p FROM (SELECT lang, doc_id // 100 AS chapter, doc_id, regexp_replace(unnest(string_split(text, chr(10))), '\A\s+|\s+\z', '', 'g') AS p FROM documents) WHERE p <> ''),
+    sets AS (SELECT lang, chapter, doc_id, count(*) AS n, string_agg(md5(p), '' ORDER BY p) AS marks FROM p GROUP BY ALL), named AS (SELECT *, min(doc_id) OVER (PARTITION BY lang, chapter, marks) AS class FROM sets)"""
+
+
+@query("WITH " + CLASSES + " SELECT lang, chapter, doc_id, class FROM named")
+def chp8_source_classes(spark, sf):
+    sources = table(spark, sf, "documents").withColumn("chapter", F.floor(F.col("doc_id") / 100))
+    return s.source_classes(sources, "text", ["lang", "chapter"], "doc_id")[0].withColumnRenamed("of", "class")
+
+
+@query("WITH " + CLASSES + """, heads AS (SELECT * FROM named WHERE class = doc_id), j AS (SELECT x.lang, x.chapter, x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM p x JOIN p y ON x.lang = y.lang AND x.chapter = y.chapter AND x.p = y.p AND x.doc_id < y.doc_id GROUP BY ALL)
+    SELECT j.lang, j.chapter, a, b, CAST(shared AS BIGINT) AS shared, round(CAST(shared AS DOUBLE) / (na.n + nb.n - shared), 6) AS similarity FROM j JOIN heads na ON na.doc_id = a JOIN heads nb ON nb.doc_id = b WHERE 10 * shared >= na.n + nb.n - shared""")
+def chp8_agreeing_sources(spark, sf):
+    sources = table(spark, sf, "documents").withColumn("chapter", F.floor(F.col("doc_id") / 100))
+    return s.agreeing_classes(s.source_classes(sources, "text", ["lang", "chapter"], "doc_id")[1], ["lang", "chapter"])

@@ -117,7 +117,7 @@ def str8_first_requests(spark, sf):
 @query("SELECT doc_id, md5(markdown) AS digest FROM (" + MD8 + ")")
 def snk1_written_documents(spark, sf):
     path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
-    write_documents(md8_converted(spark, sf).select("doc_id", "markdown"), path)
+    write_documents(md8_converted(spark, sf).select("doc_id", "markdown"), path, rows=table(spark, sf, "documents").count())
     return spark.read.schema("doc_id long, markdown string, bucket long").parquet(path).select("doc_id", F.md5("markdown").alias("digest"))
 
 

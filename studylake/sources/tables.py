@@ -49,9 +49,60 @@ def checked(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     return df
 
 
-def read_extractions(spark: SparkSession, path: str) -> DataFrame:
-    """Extraction objects from JSON files, one document a file or a line."""
-    return spark.read.schema(EXTRACTION).json(path, multiLine=True)
+def read_extractions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(extractions, rejects) of JSON files, each with one object or an array of them, over any lines. Files that can't be parsed
+    are rejects (file, broken): their whole text, with the place they came from. Fields that a document lacks are null."""
+    found = spark.read.schema(f"{EXTRACTION}, broken string").option("columnNameOfCorruptRecord", "broken").json(path, multiLine=True)
+    rows = found.withColumn("file", F.col("_metadata.file_path"))
+    # Spark gives the text of broken files only to queries that read a further column as well: any hash is.
+    any_row = F.hash("doc_id") >= -(1 << 31)
+    return rows.where("broken IS NULL").drop("broken", "file"), rows.where(F.col("broken").isNotNull() & any_row).select("file", "broken")
+
+
+def read_relational(spark: SparkSession, url: str, name: str, schema: dict[str, str], key: str, driver: str | None = None, rows_a_part: int = 100_000) -> DataFrame:
+    """A table of a database, read in ranges of an integer key by as many tasks as its rows ask for; the bounds are the key's
+    least and largest. Filters and columns that are asked for later are pushed to the database. Rows with a null key are read
+    with the first range. The columns' types are checked."""
+    options = {"url": url} | ({"driver": driver} if driver else {})
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    low, high, n = spark.read.format("jdbc").options(**options, query=f"SELECT min({quoted}) AS low, max({quoted}) AS high, count(*) AS n FROM {name}").load().first()
+    reader = spark.read.format("jdbc").options(**options, dbtable=name)
+    if n and low != high:
+        reader = reader.options(partitionColumn=key, lowerBound=low, upperBound=high + 1, numPartitions=max(1, -(-n // rows_a_part)))
+    return checked(reader.load(), schema)
+
+
+def write_relational(df: DataFrame, url: str, name: str, schema: dict[str, str], driver: str | None = None, column_types: str = "", parts: int = 8) -> None:
+    """Puts df in the place of a database's table: written by several tasks into a table of its own, counted, and put in place
+    in one transaction, so a reader sees the old rows or the new. A wrong schema, or a write that lost rows, leaves the old table."""
+    spark = df.sparkSession
+    stage = f"{name}_{uuid.uuid4().hex[:12]}"
+    options = {"url": url} | ({"driver": driver} if driver else {})
+    rows = checked(df.select(*schema), schema)
+    rows.write.format("jdbc").options(**options, dbtable=stage, numPartitions=parts, **({"createTableColumnTypes": column_types} if column_types else {})).mode("errorifexists").save()
+    manager = spark._jvm.java.sql.DriverManager
+    connection = manager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        found = statement.executeQuery(f"SELECT count(*) FROM {stage}")
+        found.next()
+        wrote, want = found.getLong(1), rows.count()
+        found.close()
+        there = connection.getMetaData().getTables(None, None, name.upper(), None)
+        old = there.next()
+        there.close()
+        if wrote != want:
+            statement.execute(f"DROP TABLE {stage}")
+            connection.commit()
+            raise RuntimeError(f"{wrote} of {want} rows reached {name}")
+        if old:
+            statement.execute(f"DROP TABLE {name}")
+        statement.execute(f"RENAME TABLE {stage} TO {name}")
+        connection.commit()
+    finally:
+        connection.rollback()
+        connection.close()
 
 
 def content(extractions: DataFrame, kind: str) -> DataFrame:
@@ -87,10 +138,26 @@ def json_or(c: Column, schema: str, fallback: Column) -> Column:
     return F.coalesce(F.from_json(c, schema), fallback)
 
 
-def write_documents(df: DataFrame, path: str, buckets: int = 64, rows_a_file: int = 10_000) -> None:
+def payloads(df: DataFrame, raw: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows with the JSON of raw as a variant, payload; rejects): for objects of any shape. Null and malformed JSON are rejects."""
+    rows = df.withColumn("payload", F.try_parse_json(raw))
+    return rows.where("payload IS NOT NULL"), rows.where("payload IS NULL").drop("payload")
+
+
+def field(payload: str, path: str, kind: str) -> Column:
+    """A path of a variant as a type; null where it is absent or of another kind."""
+    return F.try_variant_get(F.col(payload), path, kind)
+
+
+def shapes(rows: DataFrame, payload: str, *group: str) -> DataFrame:
+    """(group, rows, shape): the schema that all payloads of a group have together."""
+    return rows.groupBy(*group).agg(F.count("*").alias("rows"), F.schema_of_variant_agg(payload).alias("shape"))
+
+
+def write_documents(df: DataFrame, path: str, buckets: int = 64, rows_a_file: int = 10_000, rows: int | None = None) -> None:
     """(doc_id, markdown) as Parquet, partitioned by a bucket of the id; a bucket has as many files as its rows ask for, so
-    the number of tasks grows with the documents."""
-    files = max(1, -(-df.count() // (buckets * rows_a_file)))
+    the number of tasks grows with the documents. rows is their number where it is known, else they are counted."""
+    files = max(1, -(-(df.count() if rows is None else rows) // (buckets * rows_a_file)))
     placed = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     spread = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(files))
     placed.repartition(min(buckets * files, 100_000), "bucket", spread).write.option("maxRecordsPerFile", 2 * rows_a_file).partitionBy("bucket").parquet(path)

@@ -225,3 +225,59 @@ def test_natural_order_of_numbers_of_any_length(spark):
     want = ["1", "Chapter 2", "chapter 009", "Chapter 10", "Chapter 99", "Chapter 123456789", "Chapter 9999999999", "Chapter 99999999999", "Chapter 100000000000", "Chapter " + "9" * 99, "Chapter 1" + "0" * 100, "section"]
     rows = spark.createDataFrame([(x,) for x in reversed(want)], "name string")
     assert [r["name"] for r in rows.orderBy(natural_key(F.col("name"))).collect()] == want
+
+
+def test_extraction_files_and_their_rejects(spark, tmp_path):
+    for name, text in {"a": '[{"doc_id": 1,\n "pages": [{"page": 1, "text": "x"}]},\n {"doc_id": 2}]', "b": '{"doc_id": 3, "tables": []}', "c": '[{"doc_id": 4},', "d": '{"doc_id": "four", "pages": []}', "e": ""}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    good, bad = tables.read_extractions(spark, str(tmp_path))
+    assert sorted((r["doc_id"], r["pages"] is None) for r in good.collect()) == [(1, False), (2, True), (3, True)]
+    assert sorted(r["file"].rsplit("/", 1)[1] for r in bad.collect()) == ["c.json", "d.json"]
+    assert [tuple(r) for r in tables.content(good, "pages").collect()] == [(1, 0, 1, "x")]
+
+
+def test_relational_tables_are_replaced_whole(spark):
+    url, schema = "jdbc:derby:memory:rules;create=true", {"k": "bigint", "t": "string"}
+    first = spark.range(1000).select(F.col("id").alias("k"), F.concat(F.lit("t"), F.col("id")).alias("t"))
+    tables.write_relational(first, url, "things", schema, column_types="t VARCHAR(20)")
+    tables.write_relational(first.where("k < 700"), url, "things", schema, column_types="t VARCHAR(20)")
+    found = tables.read_relational(spark, url, "things", schema, "k", rows_a_part=100)
+    assert found.rdd.getNumPartitions() == 7 and found.count() == found.distinct().count() == 700
+    plan = found.where("k > 690")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(k), *GreaterThan(k,690)]" in plan
+    with pytest.raises(TypeError, match="k is int"):
+        tables.write_relational(first.withColumn("k", F.col("k").cast("int")), url, "things", schema)
+    with pytest.raises(TypeError, match="t is string"):
+        tables.read_relational(spark, url, "things", schema | {"t": "date"}, "k")
+    assert tables.read_relational(spark, url, "things", schema, "k").count() == 700
+
+
+def test_payloads_of_any_shape(spark):
+    raws = ['{"a": {"b": [1, 2]}}', '{"a": 7}', "[3]", "not-json", None, ""]
+    found, bad = tables.payloads(spark.createDataFrame(list(enumerate(raws)), "i int, raw string"), F.col("raw"))
+    got = {r["i"]: (r["x"], r["y"]) for r in found.select("i", tables.field("payload", "$.a.b[1]", "bigint").alias("x"), tables.field("payload", "$.a", "bigint").alias("y")).collect()}
+    assert got == {0: (2, None), 1: (None, 7), 2: (None, None)}
+    assert sorted(r["i"] for r in bad.collect()) == [3, 4, 5]
+
+
+def test_agreeing_sources(spark):
+    r = random.Random(2)
+    words = [f"p{i}" for i in range(40)]
+    texts = ["\n".join(r.choices(words, k=r.randrange(0, 12))) for _ in range(150)] + ["p1\np2", "p2\n p1\n\np1", None, ""]
+    have = spark.createDataFrame([(i % 2 if i % 9 else None, i, t) for i, t in enumerate(texts)], "chapter int, key int, text string")
+    members, classes = sections.source_classes(have, "text", ["chapter"], "key")
+    sets = {(i % 2 if i % 9 else None, i): frozenset(x.strip() for x in (t or "").split("\n") if x.strip()) for i, t in enumerate(texts)}
+    want = {k: min(j for (c, j), s in sets.items() if c == k[0] and s == own) for k, own in sets.items() if own}
+    assert {(x["chapter"], x["key"]): x["of"] for x in members.collect()} == want
+    for least in (0.1, 0.5):
+        pairs = set()
+        heads = [(c, i) for (c, i), of in want.items() if i == of and c is not None]
+        for c, i in heads:
+            for c2, j in heads:
+                a, b = sets[c, i], sets[c2, j]
+                if c == c2 and i < j and len(a & b) / len(a | b) >= least:
+                    pairs.add((c, i, j, len(a & b), round(len(a & b) / len(a | b), 6)))
+        assert {tuple(x) for x in sections.agreeing_classes(classes.where("chapter IS NOT NULL"), ["chapter"], least).collect()} == pairs
+    # One paragraph in thousands of sources that have others of their own makes no pairs.
+    many = spark.range(3000).select(F.lit(1).alias("chapter"), F.col("id").cast("int").alias("key"), F.concat_ws("\n", F.lit("shared"), *[F.concat(F.lit(f"own{i} "), F.col("id")) for i in range(30)]).alias("text"))
+    assert sections.agreeing_classes(sections.source_classes(many, "text", ["chapter"], "key")[1], ["chapter"]).count() == 0
