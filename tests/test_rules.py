@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from studylake.functions import matching
 from studylake.functions.text import natural_key
-from studylake.operators import clean, layout, lessons, mastery, sections, usage
+from studylake.operators import clean, layout, lessons, mastery, retrieve, sections, usage
 from studylake.sources import tables
 from studylake.streaming import streams
 
@@ -281,3 +281,24 @@ def test_agreeing_sources(spark):
     # One paragraph in thousands of sources that have others of their own makes no pairs.
     many = spark.range(3000).select(F.lit(1).alias("chapter"), F.col("id").cast("int").alias("key"), F.concat_ws("\n", F.lit("shared"), *[F.concat(F.lit(f"own{i} "), F.col("id")) for i in range(30)]).alias("text"))
     assert sections.agreeing_classes(sections.source_classes(many, "text", ["chapter"], "key")[1], ["chapter"]).count() == 0
+
+
+@pytest.mark.parametrize("rows", [65_536, 40])
+def test_nearest_chunks_of_tenants(spark, rows):
+    """Tenants of many and of few chunks, norms far apart and equal, copies and ties."""
+    r = random.Random(9)
+    chunks = []
+    for i in range(900):
+        owner = 1 if i % 3 else i % 7 + 2
+        scale = r.choice((1.0, 1.0, 5.0, 40.0))
+        chunks.append((owner, i, [round(r.gauss(0, scale), 2) for _ in range(4)] if i % 10 else [1.0, 2.0, 3.0, 4.0]))
+    chunks += [(1, 1000, None), (20, 1001, [1.0, 1.0, 1.0, 1.0])]
+    have = spark.createDataFrame(chunks, "owner_id long, vec_id long, v array<double>")
+    asked = have.where("vec_id % 5 = 0 AND v IS NOT NULL").select("owner_id", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["distance"]) for x in retrieve.nearest_chunks(asked, have, 5, rows).collect()}
+    want = {}
+    for owner, q, v in chunks:
+        if v and q % 5 == 0:
+            near = sorted((round(sum((a - b) ** 2 for a, b in zip(v, w)) ** 0.5, 6), i) for o, i, w in chunks if o == owner and i != q and w)
+            want |= {(q, k + 1): (i, d) for k, (d, i) in enumerate(near[:5])}
+    assert got == want
