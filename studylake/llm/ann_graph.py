@@ -124,17 +124,20 @@ def lifted(v: np.ndarray) -> np.ndarray:
     return np.concatenate([v, np.sqrt(np.maximum(0, squares.max(initial=0) - squares))[:, None]], 1).astype(np.float32)
 
 
-def build_index(data: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard_rows: int = 8192, degree: int = 32, width: int = 64, alpha: float = 1.2) -> DataFrame:
+def build_index(data: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard_rows: int | None = None, degree: int = 32, width: int = 64, alpha: float = 1.2) -> DataFrame:
     """Returns the index: each distinct vector as a node of its shard's graph, with its edges; node 0 starts searches.
 
-    Vectors are dealt to shards of about shard_rows by a hash; each shard's graph is one group of bounded size. Equal
+    Vectors are dealt to shards of about shard_rows by a hash: a 256th of all, but 8,192 at least and 65,536 at most, if it
+    isn't given. So a query searches at most 256 graphs until each is as large as a task can build; only then does their
+    number grow. Each shard's graph is one group of bounded size. Equal
     vectors are one node with the k + 1 smallest of their ids, which is all that a search for k can return of them; so
     repeated rows count once. Rows with a null id and vectors that are null, zero, of an unusual length or hold null or
-    non-finite components (see usable) are not indexed. An empty table gives an empty index.
+    non-finite components (see usable) are not indexed. An empty table gives an empty index; further columns play no part.
     """
     rows = usable(data, id_col, vector_col, zero=False)
     nodes = smallest_ids(rows.distinct(), k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    shards = max(1, -(-nodes.count() // shard_rows))
+    n = nodes.count()
+    shards = max(1, -(-n // (shard_rows or min(65_536, max(8192, n // 256)))))
 
     def one(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("ids", key=lambda c: c.map(lambda x: x[0]), ignore_index=True)
@@ -183,7 +186,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     Every shard is searched by every query. A shard's graph comes first in its task and the queries stream through it;
     `room` of them, more than a shard has nodes, share one copy of the graph, so that copies are a small part of what is
     sent. Queries that are null, zero, of an unusual length or hold null or non-finite components have no answers;
-    repeated query rows count once; an empty index or no queries give no rows.
+    repeated query rows count once; an empty index or no queries give no rows; further columns play no part.
     """
     asked = usable(queries, id_col, vector_col, zero=False).distinct()
     slices = max(1, -(-asked.count() // room))

@@ -527,6 +527,39 @@ def test_knn_join_with_repeated_rows(spark):
     assert len(once) == 20 * 16 and sorted(map(tuple, twice)) == sorted(map(tuple, once))
 
 
+def test_knn_join_of_an_id_with_very_many_vectors(spark):
+    """An id with more vectors than the bounds allow for, further columns with clashing names, default rooms."""
+    x, df = vectors(spark)
+    r = np.random.default_rng(2)
+    more = r.normal(size=(knn_join.SPARE + 30, x.shape[1])).astype(np.float32) * 3
+    both = df.union(spark.createDataFrame([(40, v.tolist()) for v in more], "vec_id long, embedding array<float>"))
+    clash = both.withColumns({c: F.lit("x") for c in ("id", "v", "cell", "own", "need", "raw", "qb", "score")})
+    got = knn_join.voronoi_join(clash, F.col("id") % 20 == 0).toPandas()
+    whole = lambda m: np.floor(64 * m.astype(float)).astype(int)
+    m = np.concatenate([whole(x), whole(more), np.zeros((1, x.shape[1]), int)])
+    ids = np.array([*range(len(x)), *[40] * len(more), 1020])
+    for q in np.unique(ids[ids % 20 == 0]):
+        found = {}
+        for row in m[ids == q]:
+            for i, s in zip(ids, m @ row, strict=True):
+                if i != q:
+                    found.setdefault((i, s, row.tobytes()), s)
+        g = got[got["query_id"] == q].sort_values("rank")
+        want = sorted(found.values(), reverse=True)[:20]
+        assert g["score"].tolist() == want
+    searched = ann_graph.search(ann_graph.build_index(clash), clash.where("vec_id % 20 = 0 AND vec_id <> 40")).count()
+    assert searched == 20 * (len(x) // 20 - 1)
+
+
+def test_ann_ties_go_to_the_smaller_id(spark):
+    same = [(i, [1.0, 0.0, 0.0] if i % 3 else [0.0, 2.0, 0.0]) for i in range(90)]
+    df = spark.createDataFrame(same, "vec_id long, embedding array<float>")
+    got = ann_graph.search(ann_graph.build_index(df), df.where("vec_id % 20 = 0")).toPandas()
+    for q in range(0, 90, 20):
+        own = [i for i, v in same if i != q and v == dict(same)[q]]
+        assert got[got["query_id"] == q].sort_values("rank")["vec_id"].tolist() == own[:20]
+
+
 def test_knn_join_replicates_little_of_clustered_vectors(spark):
     r = np.random.default_rng(6)
     x = np.repeat(r.normal(size=(24, 16)) * 3, 50, axis=0) + r.normal(size=(1200, 16)) * 0.05
@@ -536,7 +569,7 @@ def test_knn_join_replicates_little_of_clustered_vectors(spark):
     held = knn_join.to_cells(rows, centres)
     sums = knn_join.summaries(held, 21)
     size = {r["cell"]: r["n"] for r in sums}
-    asked = knn_join.with_needs(held.where("id % 20 = 0"), centres, sums, 21).collect()
+    asked = knn_join.with_needs(held.where("id % 20 = 0").withColumn("own", F.lit(1)), centres, sums, 21).collect()
     share = np.mean([sum(size[c] for c in a["cells"]) / len(x) for a in asked])
     assert len(asked) == 60 and share < 0.3
     m = np.floor(64 * x.astype(np.float32).astype(float)).astype(int)
