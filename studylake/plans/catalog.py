@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from studylake.operators import catalog as c
@@ -9,6 +11,7 @@ from studylake.operators import retrieve
 from studylake.plans.registry import query
 from studylake.sources import derive as d
 from studylake.sources import tables as t
+from studylake.sources import versions
 from studylake.sources.derive import ctes
 from studylake.sources.tables import table
 
@@ -193,6 +196,15 @@ def snk2_insert_or_ignore(spark, sf):
     return t.insert_or_ignore(s.where("source_id % 3 = 0"), s.where("source_id % 3 <> 0"), ["document_id", "chapter_number"], ["source_id"])
 
 
+@query(ctes("chapter_sources") + " SELECT document_id, chapter_number, min(source_id) AS source_id FROM (SELECT *, min(source_id % 3) OVER (PARTITION BY document_id, chapter_number) AS turn FROM chapter_sources) WHERE source_id % 3 = turn GROUP BY 1, 2")
+def snk2_inserted_in_turns(spark, sf):
+    """Three writers, one after the other: each puts in what the ones before have not."""
+    s, path = d.chapter_sources(spark, sf).select("document_id", "chapter_number", "source_id"), f"{t.shared_dir(spark)}/inserted-{uuid.uuid4().hex}"
+    for turn in range(3):
+        versions.insert(s.where(F.col("source_id") % 3 == turn), path, ["document_id", "chapter_number"], ["source_id"])
+    return versions.snapshot(spark, path).select("document_id", "chapter_number", "source_id")
+
+
 @query("SELECT event_id, coalesce(CAST(json_extract(CASE WHEN event_id % 5 <> 0 THEN props END, '$.k') AS BIGINT), -1) AS k FROM events")
 def snk4_json_or_fallback(spark, sf):
     broken = F.when(F.col("event_id") % 10 == 0, F.lit(None).cast("string")).when(F.col("event_id") % 5 == 0, "not json").otherwise(F.col("props"))

@@ -77,6 +77,23 @@ def str4_minute_counts(spark, sf):
     return rows.groupBy("user_id", "minute_number").agg(F.max_by("requests", "batch_id").alias("requests"))
 
 
+@query("SELECT user_id, epoch_us(date_trunc('minute', ts)) // 60000000 AS minute_number, CAST(count(*) AS BIGINT) AS requests FROM events GROUP BY 1, 2")
+def str4_counts_with_late_rows(spark, sf):
+    """Rows behind the watermark are kept apart and added to what the stream has counted."""
+    path = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    minute = F.floor(F.unix_seconds("ts") / 60).alias("minute_number")
+    counted = lambda df: df.groupBy("user_id", minute).agg(F.count("*").alias("requests"))
+
+    def on_time(batch, batch_id):
+        counted(batch).write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}")
+
+    rows = timed(spark, sf).select("user_id", "ts")
+    rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(st.late_apart(path, on_time, 2 * 60_000)).start().awaitTermination()
+    live = spark.read.schema("user_id long, minute_number long, requests long").parquet(f"{path}/counts").drop("batch_id")
+    late = spark.read.schema(rows.schema).parquet(f"{path}/late")
+    return live.unionByName(counted(late)).groupBy("user_id", "minute_number").agg(F.sum("requests").alias("requests"))
+
+
 @query("SELECT DISTINCT event_id // 2 AS event_id FROM events")
 def str5_unique_events(spark, sf):
     twice = timed(spark, sf).select(F.floor(F.col("event_id") / 2).alias("event_id"), "ts")

@@ -9,12 +9,15 @@ readers theirs. A manifest also names the last batch it holds: a batch that come
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from studylake.sources.tables import insert_or_ignore, stored
+
 
 def _fs(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -78,26 +81,53 @@ def upsert(path: str, key: list[str], deltas: int = 8) -> Callable[[DataFrame, i
     once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = manifests(spark, path)
-        last = known[-1] if known else {"number": -1, "batch": -1, "parts": []}
-        if batch_id <= last["batch"]:
-            return
-        number = last["number"] + 1
-        folder = f"delta-{number:012d}-{batch_id}"
-        batch.write.mode("overwrite").parquet(f"{path}/data/{folder}")
-        now = {"number": number, "batch": batch_id, "parts": [*last["parts"], folder], "folder": folder, "key": key, "schema": json.loads(batch.schema.json())}
-        if len(now["parts"]) > deltas:
-            base = f"base-{number:012d}-{batch_id}"
-            _merged(spark, path, now).write.mode("overwrite").parquet(f"{path}/data/{base}")
-            now |= {"parts": [base], "folder": base}
-        commit(spark, path, now)
-        named = {x for m in [*known[-1:], now] for x in m["parts"]}
-        fs, at = _fs(spark, f"{path}/data")
-        for f in fs.listStatus(at):
-            if f.getPath().getName() not in named:
-                fs.delete(f.getPath(), True)
-        for m in known[:-1]:
-            fs.delete(_fs(spark, f"{path}/manifests/{m['number']:012d}.json")[1], False)
+        known = manifests(batch.sparkSession, path)
+        if not known or batch_id > known[-1]["batch"]:
+            _put(batch, path, key, known, batch_id, deltas)
 
     return write
+
+
+def insert(rows: DataFrame, path: str, key: list[str], first: list[str], deltas: int = 8, tries: int = 5) -> int:
+    """Puts into the table the rows whose key it doesn't have, the first of each key in an order, and returns their number.
+
+    What it has is read from the last manifest, and the new rows are named by the next; where another writer has put that in
+    the meantime, the rows are told apart again, so no key enters twice. Nulls in a key match each other.
+    """
+    spark = rows.sparkSession
+    for _ in range(tries):
+        known = manifests(spark, path)
+        old = _merged(spark, path, known[-1]) if known else rows.limit(0)
+        fresh = stored(insert_or_ignore(old, rows, key, first).select(*rows.columns), "fresh-rows")
+        n = fresh.count()
+        if not n:
+            return 0
+        try:
+            _put(fresh, path, key, known, known[-1]["batch"] if known else -1, deltas)
+            return n
+        except RuntimeError:
+            continue
+    raise RuntimeError(f"other writers were first {tries} times at {path}")
+
+
+def _put(rows: DataFrame, path: str, key: list[str], known: list[dict], batch_id: int, deltas: int) -> None:
+    spark = rows.sparkSession
+    last = known[-1] if known else {"number": -1, "parts": []}
+    number, mark = last["number"] + 1, uuid.uuid4().hex[:8]
+    folder = f"delta-{number:012d}-{mark}"
+    rows.write.parquet(f"{path}/data/{folder}")
+    now = {"number": number, "batch": batch_id, "parts": [*last["parts"], folder], "folder": folder, "key": key, "schema": json.loads(rows.schema.json())}
+    if len(now["parts"]) > deltas:
+        base = f"base-{number:012d}-{mark}"
+        _merged(spark, path, now).write.parquet(f"{path}/data/{base}")
+        now |= {"parts": [base], "folder": base}
+    commit(spark, path, now)
+    # What neither of the last two manifests names goes, but for what another writer may be about to name.
+    named = {x for m in [*known[-1:], now] for x in m["parts"]}
+    fs, at = _fs(spark, f"{path}/data")
+    for f in fs.listStatus(at):
+        name = f.getPath().getName()
+        if name not in named and int(name.split("-")[1]) <= number:
+            fs.delete(f.getPath(), True)
+    for m in known[:-1]:
+        fs.delete(_fs(spark, f"{path}/manifests/{m['number']:012d}.json")[1], False)

@@ -124,6 +124,26 @@ def test_upserts_stay_bounded_and_readers_keep_their_snapshot(spark, tmp_path):
         versions.commit(spark, path, last | {"number": last["number"] + 1})
 
 
+def test_inserts_of_several_writers(spark, tmp_path, monkeypatch):
+    path, kind = f"{tmp_path}/lessons", "owner long, section long, id long"
+    put = lambda rows: versions.insert(spark.createDataFrame(rows, kind), path, ["owner", "section"], ["id"])
+    assert put([(1, 1, 9), (1, 1, 7), (None, 2, 3)]) == 2
+    assert put([(1, 1, 1), (1, 2, 5), (None, 2, 1)]) == 1
+    real, lost = versions.manifests, []
+
+    def slow(session, at):  # another writer is first between this one's reading and its commit
+        found = real(session, at)
+        if not lost:
+            lost.append(1)
+            assert put([(2, 2, 2)]) == 1
+        return found
+
+    monkeypatch.setattr(versions, "manifests", slow)
+    assert put([(2, 2, 8), (3, 3, 3)]) == 1
+    monkeypatch.undo()
+    assert sorted((r["owner"] or 0, r["section"], r["id"]) for r in versions.snapshot(spark, path).collect()) == [(0, 2, 3), (1, 1, 7), (1, 2, 5), (2, 2, 2), (3, 3, 3)]
+
+
 def test_late_rows_and_the_stream_make_the_batch(spark, tmp_path):
     """A stream of hourly counts drops late rows; with the side table it reaches what the batch counts."""
     minute = timedelta(minutes=1)
