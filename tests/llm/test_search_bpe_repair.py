@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -227,3 +228,14 @@ def test_repair_query_has_all_conversations(spark):
     got = queries.op13_turn_repair(spark, SMALL)
     every = spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id").distinct()
     assert got.count() == every.count() == got.join(every, "conv_id").where(F.col("audit").isNotNull()).count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SMALL).toPandas(), duck.execute(queries.ORACLE_SQL[name]).df()
+    columns = sorted(want.columns)
+    shown = lambda df: sorted(tuple("~" if x is None or x != x else str(x) for x in r) for r in df[columns].itertuples(index=False))
+    assert sorted(got.columns) == columns and shown(got) == shown(want)
