@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, line dedup, near-duplicate join, mixing sources to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. A stage
-works on every row that its predecessor kept: texts may be null or empty, ids may repeat (the mix takes documents up to
-three times) and further columns pass through.
+works on every row that its predecessor kept: texts may be null, empty or of any length, ids may repeat (the mix takes
+documents up to three times) and further columns pass through, whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
+    """Keeps the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8). Null texts and
+    those without words are near nothing and stay, as do rows with a null id; rows that share an id stay or go together."""
     found = ngram_join.near_components(docs)
     lost = keep(found.where("component <> id").select(F.col("id").alias("lost")).distinct(), "near-duplicates")
     return without_ids(docs, "doc_id", lost, "lost")
