@@ -41,7 +41,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A key of at least min_chars code points held by at least min_docs documents loses its lines everywhere but in the
     largest id holding it. A null or empty text is one empty line and stays ''. Rows that share an id count as one
     document; equal rows get equal results. A row with a null id adds to no count and loses each such line.
-    An empty table gives no rows. A text of any length is one row throughout; its lines are told apart by their places.
+    An empty table gives no rows; further columns play no part. A text of any length is one row throughout; its lines are told apart by their places.
     Keys are told apart by 128 bits of hash. Counts are partly added before they are shuffled; the lines of a key that a
     large part of all lines have are salted when they are joined to it, so none is gathered in one task.
     """

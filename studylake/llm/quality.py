@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits trees to at most about sample labelled documents, drawn by a hash of the id: the only rows the driver sees.
 
     Labels other than 0 and 1 are left out. Repeated label rows, and rows of repeated documents, count as often as they
-    stand. Texts of any length are read whole. Without labelled documents the trees give a constant.
+    stand. Texts of any length are read whole. Without labelled documents the trees give a constant. Further columns, in
+    either table, play no part.
     """
     marks = labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     n = marks.count()
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns (id, text_key, score) for each row: the probability of label 1. Null and empty texts are scored too, texts
-    of any length whole; equal texts have equal scores; an empty table gives no rows."""
+    of any length whole; equal texts have equal scores; an empty table gives no rows; further columns play no part."""
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
