@@ -141,6 +141,29 @@ def slices(raws: Sequence[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.nda
     return joined, begins, ends, np.searchsorted(begins, np.concatenate([[0], stops + 1]))
 
 
+def cut_long(raw: bytes, room: int = ROOM) -> Iterator[bytes]:
+    """A text in parts of room to about twice as many bytes, if it has them: cut before a space between two of a-z, where a token
+    begins whatever stands around. Where no such space comes, a part is longer."""
+    at = 0
+    while len(raw) - at > 2 * room:
+        low = at + room
+        while low < len(raw):
+            b = np.frombuffer(raw, np.uint8, min(room, len(raw) - low), low)
+            small = (b >= 97) & (b <= 122)
+            found = np.flatnonzero(small[:-2] & (b[1:-1] == 32) & small[2:])
+            if len(found):
+                cut = low + int(found[0]) + 1
+                yield raw[at:cut]
+                at = cut
+                break
+            low += max(1, len(b) - 2)
+            if len(b) < 3:
+                low = len(raw)
+        else:
+            break
+    yield raw[at:]
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a pre-token: while some two neighbours have a rank together, those of the lowest rank become one, the
     leftmost of equals first."""
@@ -265,6 +288,16 @@ class Merger:
         ahead = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
         return ids, reached - np.repeat(ahead[:-1], np.diff(bounds)), bounds
 
+    def encode_long(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """encode of one text, part by part (cut_long), so that only its ids and their ends are held whole."""
+        ids, ends, ahead = [], [], 0
+        for part in cut_long(raw):
+            some, reached, _ = self.encode([part])
+            ids.append(some)
+            ends.append((reached + ahead).astype(np.int32))
+            ahead += len(part)
+        return np.concatenate(ids), np.concatenate(ends), np.array([0, sum(map(len, ids))])
+
     def decode(self, ids: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all texts, where each ends): every token's bytes go to the place that its retained end tells."""
         lengths = self.lengths[ids]
@@ -309,7 +342,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
     Code points become classes, classes symbols of an automaton, and the states before all symbols are found by composing
     their transition functions (states_before), for many texts at once; no regular expression is run. The slices between
-    the boundaries are merged by ranks, the ids of frequent ones kept. Results are those of tiktoken's encode_ordinary with
+    the boundaries are merged by ranks, the ids of frequent ones kept; long texts are read part by part (cut_long). Results are those of tiktoken's encode_ordinary with
     the rank file and the public pattern that the automaton stands for; special tokens are text. ranks is a path that all
     executors can read. A null or empty text has no ids, a text of any length is one row (of at most 2^31 bytes), equal rows
     have equal ids, an empty table gives no rows; further columns play no part. Ids may be null.
@@ -322,7 +355,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         for b in batches:
             raws = [x or b"" for x in b.column(1).to_pylist()]
             for a, e in _runs(np.array([len(x) for x in raws], np.int64)):
-                ids, ends, bounds = own.encode(raws[a:e])
+                if e - a == 1:
+                    ids, ends, bounds = own.encode_long(raws[a])
+                else:
+                    ids, ends, bounds = own.encode(raws[a:e])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), _lists(ids, bounds), _lists(ends, bounds)], ["id", "ids", "ends"])
 
     return narrow.mapInArrow(rows, f"id {dict(narrow.dtypes)['id']}, {ENCODED}")

@@ -239,3 +239,18 @@ def test_same_rows_as_sql(spark, name):
     columns = sorted(want.columns)
     shown = lambda df: sorted(tuple("~" if x is None or x != x else str(x) for x in r) for r in df[columns].itertuples(index=False))
     assert sorted(got.columns) == columns and shown(got) == shown(want)
+
+
+def test_parts_of_long_texts_have_the_tokens_of_the_whole():
+    r, own, bpe = random.Random(5), byte_bpe.Merger(RANKS), tiktoken_encoding()
+    letters = [*"aab zS'''strevmdl 12٣  \n\t\r éß漢字🙂!., ", "'s", "'re", "'ll", "  ", " \n"]
+    for room in (7, 20, 64):
+        for _ in range(500):
+            text = "".join(r.choices(letters, k=r.randint(0, 400)))
+            parts = list(byte_bpe.cut_long(text.encode(), room))
+            assert b"".join(parts) == text.encode()
+            assert [x for p in parts for x in own.encode([p])[0].tolist()] == bpe.encode_ordinary(text)
+    long = "Some words of a long text, isn't it? " * 100_000
+    ids, ends, bounds = own.encode_long(long.encode())
+    assert len(list(byte_bpe.cut_long(long.encode()))) > 2 and ids.tolist() == bpe.encode_ordinary(long)
+    assert ends[-1] == len(long) and bounds.tolist() == [0, len(ids)] and len(list(byte_bpe.cut_long(b"x" * 5_000_000))) == 1
