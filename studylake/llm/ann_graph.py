@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studylake.llm.common import task_count
 from studylake.llm.vectors import RESULT, best, matrix, smallest_ids, top_of_row, usable
 
 INDEX = "shard long, node int, ids array<long>, raw binary, edges array<int>"
@@ -189,7 +190,8 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     repeated query rows count once; an empty index or no queries give no rows; further columns play no part.
     """
     asked = usable(queries, id_col, vector_col, zero=False).distinct()
-    slices = max(1, -(-asked.count() // room))
+    n = asked.count()
+    slices = max(1, -(-n // room))
     shards = [r[0] for r in index.select("shard").distinct().collect()]
     none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("edges", "array<int>"))]
     cut = F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice")
@@ -212,7 +214,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
                     for at in range(0, len(own), 512):
                         yield shard.answers(own[at : at + 512], lines[at : at + 512], k, width)
 
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = task_count(index.sparkSession, n * len(shards), 4 * room)
     streams = graph.unionByName(sent).repartition(parts, "shard", "slice").sortWithinPartitions("shard", "slice", "asks", "node")
     return best(streams.mapInPandas(rows, RESULT), k).select("query_id", "rank", "vec_id", "score")
 

@@ -213,8 +213,14 @@ def more_units(members: DataFrame, room: int) -> DataFrame:
     return units(small, F.lit(0), F.lit(0)).unionByName(across).unionByName(among)
 
 
-def by_unit(units: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """solve applied to frames that hold whole units; a unit's rows are consecutive but may go on in the next Arrow batch."""
+def task_count(spark: SparkSession, rows: int, each: int = 1 << 19) -> int:
+    """As many tasks as shuffle partitions are set, or more where a task would otherwise get over `each` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def by_unit(units: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows_of_units: int) -> DataFrame:
+    """solve applied to frames that hold whole units; a unit's rows are consecutive but may go on in the next Arrow batch.
+    rows_of_units, about as many as units has, sets the number of tasks."""
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -227,8 +233,7 @@ def by_unit(units: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], sch
         if rest is not None and len(rest):
             yield solve(rest)
 
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(parts, "unit").sortWithinPartitions("unit").mapInPandas(rows, schema)
+    return units.repartition(task_count(units.sparkSession, rows_of_units), "unit").sortWithinPartitions("unit").mapInPandas(rows, schema)
 
 
 def spot(c: str, bits: int) -> Column:

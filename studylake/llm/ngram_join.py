@@ -194,9 +194,9 @@ def unit_pairs(points: Points, unit: np.ndarray) -> Iterator[tuple[np.ndarray, n
             yield from tree_pairs(points, int(first[k]), int(edges[k + 1]))
 
 
-def bounded_pairs(units: DataFrame, percent: int, mode: str) -> DataFrame:
+def bounded_pairs(units: DataFrame, percent: int, mode: str, rows: int) -> DataFrame:
     """Pairs (a, b) that the trees of units (unit, cell, side, doc, n, comp, counts, cells) leave, each once; cells lists the
-    point's cells with others.
+    point's cells with others, rows is about as many as units has.
 
     mode "first": for each point only the partner that comes first in one random order, so that groups become stars;
     "best": the one with the best bound; "every": all.
@@ -228,7 +228,7 @@ def bounded_pairs(units: DataFrame, percent: int, mode: str) -> DataFrame:
         return pd.DataFrame({"a": doc[some], "b": doc[partner[some]], "score": best[some]})
 
     asked = units.select("unit", "cell", "side", "doc", "n", "comp", "counts", "cells" if mode == "every" else F.array().cast("array<long>").alias("cells"))
-    found = by_unit(asked, solve, "a long, b long, score double")
+    found = by_unit(asked, solve, "a long, b long, score double", rows)
     if mode != "every":
         found = found.groupBy("a").agg(F.min_by("b", F.struct("score", "b")).alias("b"))
     # The first of a pair sends its set to the second: in a star that is the centre.
@@ -326,7 +326,7 @@ def _near_components(docs: DataFrame, id_col: str, text_col: str, k: int, percen
         now = units.select("unit", F.col("group").alias("cell"), "side", F.col("member").alias("doc"), "comp").join(points.select("doc", "n", "counts"), "doc")
         if mode == "every":
             now = now.join(cells.groupBy(F.col("member").alias("doc")).agg(F.collect_set("group").alias("cells")), "doc")
-        pairs = bounded_pairs(now, percent, mode)
+        pairs = bounded_pairs(now, percent, mode, (cells if label is None else labelled).count())
         if tried:
             known_pairs = reduce(DataFrame.unionByName, tried).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
             pairs = pairs.join(known_pairs, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")

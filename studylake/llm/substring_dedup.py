@@ -127,8 +127,8 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     three bands of two minimum hashes with probability 0.953 (see recall), a nearer one with more.
 
     Null and empty texts, and those under five words, have no paragraphs, and lines under five words are none alone; an
-    empty table gives no rows; a text of any length is read whole. Ids are integers; rows that share an id share its places, so a repeated row is not a copy of
-    itself; rows with a null id are left out. Further columns play no part.
+    empty table gives no rows; a text of any length is read whole. Ids are integers; rows that share an id share its
+    places, so a repeated row is not a copy of itself; rows with a null id are left out. Further columns play no part.
 
     Paragraphs are not stored: bands are counted by class, and the texts are read again for the sets to verify and for
     the places of what is to be removed. Bitmaps of at most 16 MB spare most rows the shuffle; what they let through is
@@ -246,8 +246,8 @@ def links_of(whole: np.ndarray, ids: np.ndarray, start: np.ndarray, length: np.n
     return out
 
 
-def _unit_links(units: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) within each of units (unit, side, member, comp); held gives the sets."""
+def _unit_links(units: DataFrame, held: DataFrame, similarity: float, rows: int) -> DataFrame:
+    """The links (a, b) within each of units (unit, side, member, comp), of about so many rows; held gives the sets."""
 
     def solve(b: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
@@ -261,20 +261,20 @@ def _unit_links(units: DataFrame, held: DataFrame, similarity: float) -> DataFra
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     placed = units.join(held, F.col("member") == F.col("whole")).select("unit", "side", "whole", "id", "start", "size", "comp", "s")
-    return by_unit(placed, solve, "a long, b long")
+    return by_unit(placed, solve, "a long, b long", rows)
 
 
 def _similar(members: DataFrame, held: DataFrame, similarity: float, room: int) -> DataFrame:
     """Components (node, component) of the classes of bands (group, n, member): every pair that shares a band and is similar
     enough is linked or joined by a path of links. A band of at most room classes is one unit, in which all pairs are
     met; a larger one is met in parts, and again those parts that are not yet one component."""
-    links = keep(_unit_links(first_units(members, room).withColumn("comp", F.col("member")), held, similarity), "passage-links")
+    links = keep(_unit_links(first_units(members, room).withColumn("comp", F.col("member")), held, similarity, members.count()), "passage-links")
     label = components(links)
     large = members.where(F.col("n") > room)
     if not large.isEmpty():
         labelled = large.join(label, F.col("member") == F.col("node"), "left").select("group", "n", "member", F.coalesce("component", "member").alias("comp"))
         labelled = keep(labelled, "passage-labelled")
-        more = keep(links.unionByName(_unit_links(more_units(labelled, room), held, similarity)), "passage-links")
+        more = keep(links.unionByName(_unit_links(more_units(labelled, room), held, similarity, labelled.count())), "passage-links")
         forget(label), forget(labelled), forget(links)
         links, label = more, components(more)
     forget(links), forget(held)
