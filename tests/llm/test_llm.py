@@ -3,11 +3,12 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from studylake.llm import ann_graph, knn_join, langid, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, url_filter
-from studylake.llm.common import components, held_out, join_spread, uniform, word_count
+from studylake.llm.common import by_unit, components, held_out, join_spread, task_count, uniform, word_count
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, component int"
 WORDS = "the of and to in is was for on that with as by at from it an be this which or are not have has had".split()
@@ -684,6 +685,28 @@ def test_join_of_common_keys(spark):
     assert got.columns == ["id", "k", "salt", "many"] and got.count() == 5000 and got.where("many = 4000").count() == 4000
 
 
+def test_tasks_follow_the_counted_rows(spark):
+    """Units stay whole whatever the number of tasks and however few rows a batch has."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert task_count(spark, 0) == task_count(spark, 10, 10) == least and task_count(spark, 10 * least + 1, 10) == least + 1
+    units = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(0)).otherwise(F.col("id") % 300).alias("unit"), "id")
+
+    def totals(b):
+        return b.groupby("unit")["id"].agg(["size", "sum"]).reset_index().astype("int64") if len(b) else pd.DataFrame(columns=["unit", "size", "sum"], dtype="int64")
+
+    want = {tuple(r) for r in units.groupBy("unit").agg(F.count("*"), F.sum("id")).collect()}
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for rows, tasks in ((0, least), (20 << 19, max(least, 20))):
+            found = by_unit(units, totals, "unit long, size long, sum long", rows)
+            assert found.rdd.getNumPartitions() == tasks
+            got = [tuple(r) for r in found.collect()]
+            assert len(got) == len(want) and set(got) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+
+
 GIVEN = "/root/testdata/sf0.01"
 
 
