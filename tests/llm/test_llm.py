@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studylake.llm import ann_graph, knn_join, langid, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, url_filter
-from studylake.llm.common import by_unit, components, held_out, join_spread, task_count, uniform, word_count
+from studylake.llm.common import by_bitmap, by_unit, components, held_out, id_bitmap, join_spread, task_count, uniform, without_ids, word_count
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, component int"
 WORDS = "the of and to in is was for on that with as by at from it an be this which or are not have has had".split()
@@ -685,6 +685,21 @@ def test_join_of_common_keys(spark):
     assert got.columns == ["id", "k", "salt", "many"] and got.count() == 5000 and got.where("many = 4000").count() == 4000
 
 
+def test_whole_texts_do_not_go_through_python_to_lose_ids(spark):
+    ids = [None if i % 10 == 0 else i for i in range(3000)]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 3000, 7)], "lost long")
+    left = without_ids(docs, "doc_id", gone, "lost")
+    assert sorted(r["text"] for r in left.collect()) == sorted(f"text {k}" for k, i in enumerate(ids) if i is None or i % 7)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan and "MapInPandas" not in plan
+    table, bits = id_bitmap(gone, "lost")
+    parts = [[r["text"] for r in by_bitmap(docs, "doc_id", table, bits, hit).collect()] for hit in (True, False)]
+    assert sorted(sum(parts, [])) == sorted(f"text {k}" for k in range(3000))
+    assert {f"text {k}" for k, i in enumerate(ids) if i is None} <= set(parts[1])
+    assert {f"text {k}" for k, i in enumerate(ids) if i is not None and i % 7 == 0} <= set(parts[0])
+
+
 def test_tasks_follow_the_counted_rows(spark):
     """Units stay whole whatever the number of tasks and however few rows a batch has."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
