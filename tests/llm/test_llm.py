@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studylake.llm import ann_graph, knn_join, langid, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, url_filter
-from studylake.llm.common import by_bitmap, by_unit, components, held_out, id_bitmap, join_spread, task_count, uniform, without_ids, word_count
+from studylake.llm.common import by_bitmap, by_unit, components, forget, held_out, id_bitmap, join_spread, keep, task_count, uniform, without_ids, word_count
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, component int"
 WORDS = "the of and to in is was for on that with as by at from it an be this which or are not have has had".split()
@@ -685,6 +685,26 @@ def test_join_of_common_keys(spark):
     assert got.columns == ["id", "k", "salt", "many"] and got.count() == 5000 and got.where("many = 4000").count() == 4000
 
 
+def test_a_kept_table_leaves_no_shuffle_files(spark):
+    import time
+
+    disk, name = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def files():
+        return {f for f in (str(x) for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())) if "/shuffle_" in f}
+
+    before, usual = files(), spark.conf.get(name, None)
+    df = spark.range(10_000).groupBy(F.xxhash64("id").alias("k")).count()
+    held = keep(df, "shuffled")
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert held.count() == df.count() == 10_000 and spark.conf.get(name, None) == usual
+    forget(held)
+
+
 def test_whole_texts_do_not_go_through_python_to_lose_ids(spark):
     ids = [None if i % 10 == 0 else i for i in range(3000)]
     docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
