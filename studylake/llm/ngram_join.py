@@ -34,6 +34,8 @@ from studylake.llm.common import by_unit, components, first_units, forget, id_bi
 #: Smallest and largest table of shingle counts, counts in a row of it; groups of a short text's count vector; shingles a
 #: group of longer ones; points of a leaf, and nodes of a node; pairs that are bounded at once.
 TABLE, CHUNK, GROUPS, FILL, LEAF, FAN, STEP = (1 << 15, 1 << 20), 1 << 10, 64, 8, 16, 8, 1 << 15
+#: Bytes of text that are hashed at once: a worker keeps the memory of the arrays for it, some forty times as much.
+PART = 1 << 18
 
 
 def bucket(s: np.ndarray, size: int) -> np.ndarray:
@@ -49,7 +51,7 @@ def count_table(texts: DataFrame, k: int) -> np.ndarray:
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.int32)
         for b in batches:
-            for _, raws in sh.parts(b["text"]):
+            for _, raws in sh.parts(b["text"], PART):
                 every = list(sh.sets(raws, k))
                 total += np.bincount(bucket(np.concatenate(every), size), minlength=size).astype(np.int32)
         chunks = total.reshape(-1, CHUNK)
@@ -94,7 +96,7 @@ def features(texts: DataFrame, k: int, percent: int, table: np.ndarray) -> DataF
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for first, raws in sh.parts(b["text"]):
+            for first, raws in sh.parts(b["text"], PART):
                 out: dict[str, list] = {"n": [], "s1": [], "s2": [], "cells": [], "counts": []}
                 for s in sh.sets(raws, k):
                     n = len(s)
@@ -279,7 +281,7 @@ def _sets(texts: DataFrame, live: DataFrame, k: int) -> DataFrame:
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b[in_bitmap(table, b["spot"].to_numpy())]
-            for first, raws in sh.parts(b["text"]):
+            for first, raws in sh.parts(b["text"], PART):
                 every = list(sh.sets(raws, k))
                 yield pd.DataFrame({"id": b["id"].iloc[first : first + len(raws)].reset_index(drop=True), "s1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in every], "s": [s.tobytes() for s in every]})
 

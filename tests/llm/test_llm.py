@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from studylake.llm import ann_graph, knn_join, langid, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, url_filter
+from studylake.llm import ann_graph, knn_join, langid, line_dedup, mixing, ngram_join, packing, quality, shingles, substring_dedup, url_filter
 from studylake.llm.common import by_bitmap, by_unit, components, forget, held_out, id_bitmap, join_spread, keep, task_count, uniform, without_ids, word_count
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, component int"
@@ -654,6 +654,37 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
         assert g["length"].sum() == found[i] * g["doc_tokens"].iloc[0]
 
 
+def test_pipeline_holds_little_text_in_python(spark, tmp_path):
+    import tracemalloc
+
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"rows": [len(b)], "size": [b["text"].str.len().sum()]})
+
+    some = [prose(i, 200) for i in range(20)]
+    docs = frame(spark, [f"{some[i % 20]} {i}" for i in range(2500)]).withColumn("text", F.repeat("text", 3)).coalesce(1)
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    usual = [spark.conf.get(x) for x in names]
+    try:
+        kept = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+        found = kept.mapInPandas(sizes, "rows long, size long").toPandas()
+    finally:
+        for x, value in zip(names, usual, strict=True):
+            spark.conf.set(x, value)
+    assert found["rows"].sum() == 2500 and found["rows"].max() <= 1024 and found["size"].max() <= 1.2 * (1 << 20)
+
+    raws = [f"{some[i % 20]} {i}" for i in range(2000)]
+    tracemalloc.start()
+    try:
+        for _, part in shingles.parts(raws, ngram_join.PART):
+            list(shingles.sets(part, 5))
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_pipeline_of_no_documents(spark, tmp_path):
     import corpus_pipeline
 
