@@ -118,11 +118,16 @@ def sessions_stream(spark, sf):
     return timed(spark, sf).select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id"), "ts", ms.alias("ts_ms"), F.when(F.col("event_type") == "purchase", "complete").otherwise("track").alias("kind"), (F.col("value") >= 30).alias("was_correct"))
 
 
+def session_buckets(spark, sf):
+    """A bucket for each 2,048 events."""
+    return max(1, -(-table(spark, sf, "events").count() // 2048))
+
+
 @query("""WITH e AS (SELECT user_id * 100 + day(ts) AS session_id, epoch_us(ts) // 1000 AS ms, * FROM events)
     SELECT session_id, min(ms) AS started_ms, max(ms) AS last_ms, CAST(count(*) AS BIGINT) AS check_ins, CAST(count(*) FILTER (WHERE value >= 30) AS BIGINT) AS correct FROM e GROUP BY session_id
     HAVING NOT bool_or(event_type = 'purchase') AND max(ms) + 2 * 86400000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events) - 10 * 86400000""")
 def str7_abandoned_sessions(spark, sf):
-    return drained(spark, st.abandoned_sessions(sessions_stream(spark, sf), "10 days", 2 * 86_400_000))
+    return drained(spark, st.abandoned_sessions(sessions_stream(spark, sf), "10 days", 2 * 86_400_000, session_buckets(spark, sf)))
 
 
 @query("SELECT DISTINCT user_id AS document_id, event_id % 3 AS section_id, value >= 30 AS with_check_ins FROM events")

@@ -179,53 +179,114 @@ def job_states(updates: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_4
 
 
 SESSION_OUT = "session_id long, how string, started_ms long, ended_ms long, check_ins long, correct long"
+#: Steps of a session. Of those at one time a completion comes first: what is not before it doesn't count.
+COMPLETE, RIGHT, WRONG, OTHER = range(4)
+#: Bucket of the rows without a session's id.
+NO_ID = -1
+LAST_MS = np.iinfo(np.int64).max
+#: What is held of a session, and a bucket's sessions as state: an array of each column, and the time of the bucket's timer.
+SESSION = np.dtype([("session_id", "i8"), ("start", "i8"), ("n", "i8"), ("correct", "i8"), ("last", "i8"), ("due", "i8"), ("done", "?")])
+BUCKET = "timer long, session_id array<long>, start array<long>, n array<long>, correct array<long>, last array<long>, due array<long>, done array<boolean>"
 
 
-class Sessions(Forgetful):
+class Sessions(StatefulProcessor):
+    """The sessions of a bucket, all at once: Python and the state store are called for each bucket, not for each session. A
+    session is due when event time is idle_ms past its last event, or just after the watermark where that is already later; a
+    bucket's one timer stands at the time when the first of its sessions is due."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "start long, n long, correct long, done boolean, last long")
+        self.bucket = handle.getValueState("bucket", BUCKET)
+
+    def held(self) -> tuple[int | None, np.ndarray]:
+        """The bucket's timer, if it has sessions, and these in the order of their ids."""
+        if not self.bucket.exists():
+            return None, np.zeros(0, SESSION)
+        timer, *columns = self.bucket.get()
+        sessions = np.zeros(len(columns[0]), SESSION)
+        for c, values in zip(SESSION.names, columns, strict=True):
+            sessions[c] = values
+        return timer, sessions
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, n, right, done, last = self.session.get() if self.session.exists() else (None, 0, 0, False, 0)
-        out = []
-        for t, kind, ok in zip(*in_order(rows, ["ts_ms", "kind", "was_correct"], ["ts_ms"]), strict=True):
-            last = max(last, int(t))
-            if done:
-                continue
-            start = int(t) if start is None else start
-            if kind == "track":
-                n, right = n + 1, right + int(bool(ok))
-            elif kind == "complete":
-                done = True
-                out.append((key[0], "completed", start, int(t), n, right))
-        self.session.update((start, n, right, done, last))
-        self.remind(last, timerValues)
-        yield from frames(out, SESSION_OUT)
+        timer, old = self.held()
+        ids, ms, step = in_order(rows, ["session_id", "ts_ms", "step"], ["session_id", "ts_ms", "step"])
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        end = np.append(first[1:], len(ids))
+        # Where each session is completed by these rows, if it is, and what it has before.
+        place = np.arange(len(ids))
+        closed = np.minimum.reduceat(np.where(step == COMPLETE, place, len(ids)), first)
+        before = place < np.repeat(closed, end - first)
+        every = np.union1d(old["session_id"], ids[first])
+        sessions = np.zeros(len(every), SESSION)
+        sessions["session_id"], sessions["start"], sessions["last"] = every, LAST_MS, -LAST_MS
+        sessions[np.searchsorted(every, old["session_id"])] = old
+        at = np.searchsorted(every, ids[first])
+        sessions["start"][at] = np.minimum(sessions["start"][at], ms[first])
+        sessions["last"][at] = np.maximum(sessions["last"][at], ms[end - 1])
+        sessions["due"][at] = np.maximum(sessions["last"][at] + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        sessions["n"][at] += np.add.reduceat(before & ((step == RIGHT) | (step == WRONG)), first, dtype=np.int64)
+        sessions["correct"][at] += np.add.reduceat(before & (step == RIGHT), first, dtype=np.int64)
+        now = (closed < len(ids)) & ~sessions["done"][at]
+        sessions["done"][at[now]] = True
+        yield from self.ended(key, "completed", sessions[at[now]], ms[closed[now]])
+        yield from self.settled(key, sessions, timer, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.session.exists():
-            start, n, right, done, last = self.session.get()
-            self.session.clear()
-            if not done:
-                yield from frames([(key[0], "abandoned", start, last, n, right)], SESSION_OUT)
+        timer, sessions = self.held()
+        yield from self.settled(key, sessions, timer, timerValues, fired=True)
+
+    def settled(self, key, sessions: np.ndarray, timer: int | None, timerValues, fired: bool = False) -> Iterator[pd.DataFrame]:
+        """Forgets the sessions that are due, gives out those of them that were not completed, and keeps the others. Spark
+        deletes a timer that has fired."""
+        gone = sessions["due"] <= timerValues.getCurrentWatermarkInMs()
+        kept = sessions[~gone]
+        then = int(kept["due"].min()) if len(kept) else None
+        if timer not in (None, then) and not fired:
+            self.handle.deleteTimer(timer)
+        if then not in (None, timer):
+            self.handle.registerTimer(then)
+        if len(kept):
+            self.bucket.update((then, *[kept[c].tolist() for c in SESSION.names]))
+        elif timer is not None:
+            self.bucket.clear()
+        left = sessions[gone & ~sessions["done"]]
+        yield from self.ended(key, "abandoned", left, left["last"])
+
+    def ended(self, key, how: str, sessions: np.ndarray, at: np.ndarray) -> Iterator[pd.DataFrame]:
+        for i in range(0, len(sessions), SLICE):
+            x = sessions[i : i + SLICE]
+            yield pd.DataFrame({"session_id": None if key[0] == NO_ID else x["session_id"], "how": how, "started_ms": x["start"], "ended_ms": at[i : i + SLICE], "check_ins": x["n"], "correct": x["correct"]})
 
+    def close(self) -> None:
+        pass
 
-def ended_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+
+def ended_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000, buckets: int = 4096) -> DataFrame:
     """Sessions of a stream (session_id, ts, ts_ms, kind in start, track, complete; was_correct) when they end, how telling in
     which way: completed at their first completion, what follows it being refused, or abandoned when event time is idle_ms
-    past their last event. Then they are forgotten, completed ones as well."""
-    return stateful(events.withWatermark("ts", delay), ["session_id"], Sessions(idle_ms), SESSION_OUT, "append", "eventTime")
+    past their last event. Then they are forgotten, completed ones as well. Rows without a time are in no session.
+
+    The state lies in buckets of sessions by a hash of their id. A bucket that gets rows is read and written whole, so buckets
+    are to be as many as leave up to a thousand live sessions in each, and stay as many while a checkpoint is used."""
+    kind, id_ = F.col("kind"), F.col("session_id")
+    step = F.when(kind == "complete", COMPLETE).when(kind == "track", F.when(F.col("was_correct"), RIGHT).otherwise(WRONG)).otherwise(OTHER)
+    bucket = F.when(id_.isNull(), NO_ID).otherwise(F.pmod(F.xxhash64(id_), F.lit(buckets)).cast("int"))
+    rows = events.withWatermark("ts", delay).where("ts IS NOT NULL AND ts_ms IS NOT NULL").select(bucket.alias("bucket"), F.coalesce(id_, F.lit(0)).alias("session_id"), "ts", "ts_ms", step.alias("step"))
+    return stateful(rows, ["bucket"], Sessions(idle_ms), SESSION_OUT, "append", "eventTime")
 
 
-def completed_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+def completed_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000, buckets: int = 4096) -> DataFrame:
     """The completed ones of ended_sessions."""
-    return ended_sessions(events, delay, idle_ms).where("how = 'completed'").select("session_id", "started_ms", F.col("ended_ms").alias("completed_ms"), "check_ins", "correct")
+    return ended_sessions(events, delay, idle_ms, buckets).where("how = 'completed'").select("session_id", "started_ms", F.col("ended_ms").alias("completed_ms"), "check_ins", "correct")
 
 
-def abandoned_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+def abandoned_sessions(events: DataFrame, delay: str = "1 day", idle_ms: int = 7 * 86_400_000, buckets: int = 4096) -> DataFrame:
     """The abandoned ones of ended_sessions."""
-    return ended_sessions(events, delay, idle_ms).where("how = 'abandoned'").select("session_id", "started_ms", F.col("ended_ms").alias("last_ms"), "check_ins", "correct")
+    return ended_sessions(events, delay, idle_ms, buckets).where("how = 'abandoned'").select("session_id", "started_ms", F.col("ended_ms").alias("last_ms"), "check_ins", "correct")
 
 
 def first_requests(requests: DataFrame, delay: str = "24 hours") -> DataFrame:

@@ -89,6 +89,48 @@ def test_abandoned_sessions_are_given_out(spark, tmp_path):
     assert [tuple(r) for r in plans.drained(spark, left).collect()] == [(1, 0, 0, 1, 1)]
 
 
+def ended(spark, folder, rows, buckets):
+    """What ended_sessions gives out, and the most rows that its state had."""
+    stream = st.ended_sessions(batches(spark, folder, rows, SESSION), buckets=buckets)
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").format("parquet").option("path", f"{folder}/rows").start()
+    query.awaitTermination()
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+    return sorted(map(str, map(tuple, spark.read.schema(stream.schema).parquet(f"{folder}/rows").collect()))), held
+
+
+def at(number, day, kind, right=True):
+    """A row whose time in milliseconds is that of its timestamp."""
+    return (number, START + day * DAY, millis(day), kind, right)
+
+
+def millis(day):
+    return int((START + day * DAY).timestamp()) * 1000
+
+
+def test_sessions_are_held_by_bucket(spark, tmp_path):
+    """State is read and written for each bucket, not for each session."""
+    rows = [[at(i, d, "track", i % 3 > 0) for i in range(500) for d in (0, 1)], [at(i, 2, "complete") for i in range(0, 500, 5)], [at(500, 20, "track")], [at(501, 20, "track")]]
+    got, held = ended(spark, tmp_path, rows, 4)
+    want = [(i, "completed", millis(0), millis(2), 2, 2 * (i % 3 > 0)) if i % 5 == 0 else (i, "abandoned", millis(0), millis(1), 2, 2 * (i % 3 > 0)) for i in range(500)]
+    assert got == sorted(map(str, want))
+    assert held == 4
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_sessions_of_a_bucket_end_by_themselves(spark, tmp_path, buckets):
+    """Idle sessions of a bucket end at their time, to the millisecond, also where others of it get rows; a check-in at the time of
+    the completion is not before it; rows without an id are a session, those without a time are in none."""
+    rows = [
+        [at(1, 0, "track"), at(2, 0, "track"), at(2, 0, "complete"), at(None, 0, "track", None), (4, None, None, "track", True), at(5, 0, "start")],
+        [at(3, 8, "track")],
+        [at(3, 9, "track", False), at(5, 8, "track")],
+        [at(1, 9, "complete"), at(6, 9, "track")],
+        [at(5, 10, "complete"), at(2, 9, "complete")],
+    ]
+    want = [(1, "abandoned", 0, 0, 1, 1), (2, "completed", 0, 0, 0, 0), (None, "abandoned", 0, 0, 1, 0), (1, "completed", 9, 9, 0, 0), (5, "completed", 0, 10, 1, 1), (2, "completed", 9, 9, 0, 0)]
+    assert ended(spark, tmp_path, rows, buckets)[0] == sorted(str((i, how, millis(a), millis(b), *n)) for i, how, a, b, *n in want)
+
+
 USAGE = "user_id long, month date, pdfs_uploaded long, pages_processed long"
 
 
