@@ -110,7 +110,7 @@ def str6_job_states(spark, sf):
 @query("""WITH e AS (SELECT user_id * 100 + day(ts) AS session_id, epoch_us(ts) // 1000 AS ms, * FROM events), c AS (SELECT session_id, min(ms) AS completed_ms FROM e WHERE event_type = 'purchase' GROUP BY 1)
     SELECT session_id, min(ms) AS started_ms, completed_ms, CAST(count(*) FILTER (WHERE ms < completed_ms) AS BIGINT) AS check_ins, CAST(count(*) FILTER (WHERE ms < completed_ms AND value >= 30) AS BIGINT) AS correct FROM e JOIN c USING (session_id) GROUP BY 1, 3""")
 def str7_completed_sessions(spark, sf):
-    return drained(spark, st.completed_sessions(sessions_stream(spark, sf), "60 days"))
+    return drained(spark, st.completed_sessions(sessions_stream(spark, sf).where("session_id IS NOT NULL"), "60 days", buckets=session_buckets(spark, sf)))
 
 
 def sessions_stream(spark, sf):

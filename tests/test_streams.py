@@ -131,6 +131,24 @@ def test_sessions_of_a_bucket_end_by_themselves(spark, tmp_path, buckets):
     assert ended(spark, tmp_path, rows, buckets)[0] == sorted(str((i, how, millis(a), millis(b), *n)) for i, how, a, b, *n in want)
 
 
+@pytest.mark.parametrize(("name", "rows"), [
+    ("str7_abandoned_sessions", [("2024-01-01 10:00", 1, "view", 40.0), ("2024-01-01 10:00", 2, "purchase", 10.0), ("2024-01-01 11:00", None, "view", 50.0), ("2024-01-01 12:00", None, "view", None), ("2024-01-01 09:00", 3, None, 30.0), ("2024-01-01 09:30", 3, "view", 1.0), ("2024-02-20 00:00", 3, "view", 1.0)]),
+    ("str7_completed_sessions", [("2024-01-01 10:00", 1, "view", 40.0), ("2024-01-01 10:00", 1, "purchase", 10.0), ("2024-01-01 11:00", None, "view", 50.0), ("2024-01-01 12:00", None, "purchase", 1.0), (None, 2, "view", 40.0), ("2024-01-01 09:00", 2, "view", 30.0), ("2024-01-01 09:30", 2, "view", None), ("2024-01-01 10:00", 2, "purchase", 30.0)]),
+])
+def test_sessions_of_odd_events_as_in_sql(spark, tmp_path, name, rows):
+    """Check-ins at the time of a completion, events without a user, a time, a type or a value."""
+    events = pd.DataFrame(rows, columns=["ts", "user_id", "event_type", "value"]).astype({"user_id": "Int64"})
+    events["ts"] = pd.to_datetime(events["ts"]).astype("datetime64[us]")
+    events.assign(event_id=range(len(events)), props="{}").to_parquet(f"{tmp_path}/events.parquet", index=False)
+    duck = duckdb.connect()
+    duck.execute("SET TimeZone = 'UTC'")
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = duck.execute(__spark_entry__.oracle_sql()[name]).fetchall()
+    columns = [c[0] for c in duck.description]
+    got = __spark_entry__.queries()[name](spark, str(tmp_path)).select(*columns).collect()
+    assert len(want) > 1 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 USAGE = "user_id long, month date, pdfs_uploaded long, pages_processed long"
 
 
